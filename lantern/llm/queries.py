@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm import bpe, chat, html, lengths, sharding, topk, toxicity
+from lantern.llm import bpe, chat, html, jaccard, lengths, sharding, topk, toxicity
 
 #: Categories of the chain in order, as 0 or 1 over ``labels``.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -40,6 +40,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_token_counts": op2_token_counts,
     "op4_html_extraction": op4_html_extraction,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
     "op8_exact_topk": op8_exact_topk,
@@ -85,6 +90,19 @@ ORACLE_SQL: dict[str, str] = {
             sum(8 + length(head) + 1 + length(body) + 8)::bigint as formatted_chars,
             sum(len(list_filter(regexp_split_to_array(text, '[\s\x0B]+'), lambda x: x <> '')))::bigint as n_tokens
         from e group by conv_id""",
+    "op5_ngram_jaccard": r"""
+        with recursive w as materialized (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        s as materialized (
+            select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)),
+        n as materialized (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        l as materialized (
+            select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 75 * (a.n + b.n - k)),
+        e as materialized (select x, y from l union all select y, x from l),
+        r as (select doc_id as x, doc_id as y from documents union select r.x, e.y from r join e on e.x = r.y)
+        select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.y) as component_id
+        from documents d left join n using (doc_id) join r on r.x = d.doc_id group by d.doc_id""",
     "op8_exact_topk": r"""
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
