@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm import bpe, chat, html, jaccard, lengths, sharding, topk, toxicity
+from lantern.llm import bpe, chat, html, jaccard, lengths, sharding, substring, topk, toxicity
 
 #: Categories of the chain in order, as 0 or 1 over ``labels``.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -57,6 +57,10 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows.filter(F.pmod("vec_id", F.lit(50)) == 0), rows, 5)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.kept_words(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_bpe": op7_bpe,
     "op8_exact_topk": op8_exact_topk,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -112,4 +117,19 @@ ORACLE_SQL: dict[str, str] = {
             from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op9_substring_dedup": r"""
+        with w as materialized (
+            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        s as materialized (
+            select doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) as h
+            from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50)),
+        m as (select h, min(doc_id) as source from s group by h),
+        c as (
+            select doc_id, list_distinct(flatten(list(range(i, i + 50)))) as gone
+            from s join m using (h) where source < doc_id group by doc_id),
+        k as (
+            select doc_id, len(ws) as n_words, coalesce(len(gone), 0) as n_removed,
+                case when gone is null then ws else list_filter(ws, lambda x, j: not list_contains(gone, j)) end as kept
+            from w left join c using (doc_id))
+        select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k""",
 }
