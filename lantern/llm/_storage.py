@@ -29,6 +29,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def light(df: DataFrame, rows: int) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``rows`` rows; a larger one is joined by shuffling."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def purge(spark: SparkSession) -> None:
     """Delete the tables that this process wrote; call it once results that read them are stored."""
     jvm = spark.sparkContext._jvm

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm import bpe, chat, html, jaccard, lengths, sharding, substring, topk, toxicity
+from lantern.llm import bpe, chat, decontaminate, html, jaccard, lengths, sharding, substring, topk, toxicity
 
 #: Categories of the chain in order, as 0 or 1 over ``labels``.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -36,6 +36,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.limits(lengths.length_histogram(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -70,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_html_extraction": op4_html_extraction,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_sharding": op6_sharding,

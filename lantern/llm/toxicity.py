@@ -152,6 +152,24 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows:
     return fit_chain(lists, sample["id"].to_numpy(), {c: sample[f"y_{i}"].to_numpy() for i, c in enumerate(y)})
 
 
+def probabilities(chain: list[Link], texts: list[bytes]) -> np.ndarray:
+    """The probability of each category in order, for each text."""
+    tables = np.zeros((len(chain), 1 << FEATURE_BITS))
+    for table, link in zip(tables, chain):
+        table[link.features] = link.weights
+    used = (tables != 0).any(axis=0)
+    sums = np.zeros((len(chain), len(texts)))
+    for c, feature in feature_chunks(texts):
+        hit = used[feature]
+        d, f = _distinct(c.doc[hit], feature[hit])
+        for s, table in zip(sums, tables):
+            s[c.docs] = np.bincount(d, table[f], len(c.docs))
+    p = np.zeros_like(sums)
+    for i, link in enumerate(chain):
+        p[i] = link.score(sums[i], list(p[:i]))
+    return p
+
+
 def score(docs: DataFrame, chain: list[Link], categories: Sequence[str], threshold: float = 0.5, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(key, p_<category> ..., is_<last category>) of every row; extra columns are not read.
 
@@ -162,27 +180,26 @@ def score(docs: DataFrame, chain: list[Link], categories: Sequence[str], thresho
     shared = spark.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links = shared.value
-        tables = []
-        for link in links:
-            table = np.zeros(1 << FEATURE_BITS)
-            table[link.features] = link.weights
-            tables.append(table)
-        used = np.any([t != 0 for t in tables], axis=0) if tables else None
         for batch in batches:
-            p = np.zeros((len(categories), batch.num_rows))
-            if links:
-                sums = np.zeros((len(links), batch.num_rows))
-                for c, feature in feature_chunks(W.as_bytes(batch.column(1))):
-                    hit = used[feature]
-                    d, f = _distinct(c.doc[hit], feature[hit])
-                    for s, table in zip(sums, tables):
-                        s[c.docs] = np.bincount(d, table[f], len(c.docs))
-                for i, link in enumerate(links):
-                    p[i] = link.score(sums[i], list(p[:i]))
+            p = probabilities(shared.value, W.as_bytes(batch.column(1))) if shared.value else np.zeros((n, batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, p), pa.array(p[-1] >= threshold)], names=names)
 
+    n = len(categories)
     kind = docs.schema[key].dataType.simpleString()
     names = ["key", *[f"p_{c}" for c in categories], f"is_{categories[-1]}"]
     schema = f"key {kind}, " + ", ".join(f"p_{c} double" for c in categories) + f", is_{categories[-1]} boolean"
     return docs.select(docs[key].alias("key"), docs[column].cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def keep(docs: DataFrame, chain: list[Link], threshold: float = 0.5, column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose last category is below the threshold. A narrow pass, no shuffle."""
+    if not chain:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+
+    def verdict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            yield pa.array(probabilities(shared.value, W.as_bytes(text))[-1] >= threshold)
+
+    toxic = F.arrow_udf(verdict, "boolean")
+    return docs.filter(~toxic(docs[column].cast("string")))
