@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lantern.plans import documents, evaluation, evidence, maintenance, retrieval, temporal  # noqa: F401
+from lantern.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "hybrid_search"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
