@@ -10,7 +10,7 @@ MONEY = "decimal(18,2)"
 
 def iso_date(c: Column) -> Column:
     """The date that a text begins with; null if it doesn't begin with one."""
-    return F.try_to_date(F.substring(F.trim(c), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(F.trim(c), 1, 10), "yyyy-MM-dd")
 
 
 def year_end_deadline(event: Column, years: int) -> Column:
