@@ -19,7 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Rows that repeat an id share its fate."""
     groups = jaccard.similar_documents(docs).filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(light(materialise(groups, "gone"), 1_000_000), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = light(materialise(groups, "gone"), 1_000_000)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

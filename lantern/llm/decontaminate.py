@@ -157,4 +157,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: st
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """The documents in which no benchmark item was found. Rows with a null key stay."""
     found = leaks(docs, benchmark, key, column).select(F.col(key).alias("_leak")).distinct()
-    return docs.join(light(materialise(found, "leaks"), 1_000_000), docs[key] == F.col("_leak"), "left_anti")
+    found = light(materialise(found, "leaks"), 1_000_000)
+    return docs.join(found, docs[key] == found["_leak"], "left_anti")
