@@ -136,10 +136,9 @@ def domains_detected(spark, sf_dir):
     return docs.select("doc_id", F.array_join(X.labels_of(F.col("text"), DOMAINS), ",").alias("domains"), X.first_label(F.col("text"), DOMAINS, "unknown").alias("domain"))
 
 
-@query("select doc_id, lower(strip_accents(left(text, 200))) as folded from documents where lang in ('fr', 'es')")
+@query("select doc_id, lower(strip_accents(text)) as folded from documents")
 def folded_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang").isin("fr", "es"))
-    return docs.select("doc_id", X.fold(F.left("text", F.lit(200))).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.fold(F.col("text")).alias("folded"))
 
 
 @query(
@@ -235,12 +234,12 @@ def first_of_equal_texts(spark, sf_dir):
 
 @query(
     """
-    with n as (select conv_id, max(turn) as most, list(distinct turn) as have from conversations where turn >= 1 and turn % 3 <> 2 group by conv_id)
-    select conv_id, array_to_string(list_sort(list_filter(range(1, most + 1), lambda x: not list_contains(have, x))), ',') as missing from n"""
+    with n as (select l_partkey, max(l_quantity::bigint) as most, list(distinct l_quantity::bigint) as have from lineitem group by l_partkey)
+    select l_partkey, array_to_string(list_sort(list_filter(range(1, most + 1), lambda x: not list_contains(have, x))), ',') as missing from n"""
 )
 def sequence_gaps(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").filter("turn >= 1 and turn % 3 <> 2")
-    return selection.missing_numbers(rows, "conv_id", "turn").select("conv_id", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_quantity").cast("long").alias("quantity"))
+    return selection.missing_numbers(rows, "l_partkey", "quantity").select("l_partkey", F.array_join(F.transform("missing", lambda x: x.cast("string")), ",").alias("missing"))
 
 
 @query(

@@ -66,12 +66,14 @@ def claim_errors(spark, sf_dir):
 
 @query(
     """
-    select doc_id, doc_id % 2 = 0 as selected, doc_id % 6 = 0 as claimed, doc_id % 12 = 0 as written,
-        case when doc_id % 2 <> 0 then 'dropped_before_selected' when doc_id % 6 <> 0 then 'dropped_before_claimed' when doc_id % 12 <> 0 then 'dropped_before_written' end as drop_reason from documents"""
+    select d.doc_id, l.doc_id is not null as selected, coalesce(quality = 1, false) as claimed, coalesce(toxic = 1, false) as written,
+        case when l.doc_id is null then 'dropped_before_selected' when quality <> 1 then 'dropped_before_claimed' when toxic <> 1 then 'dropped_before_written' end as drop_reason
+    from documents d left join labels l on d.doc_id = l.doc_id"""
 )
 def stage_lineage(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return evidence.lineage(docs, {"selected": docs.filter("doc_id % 2 = 0"), "claimed": docs.filter("doc_id % 6 = 0"), "written": docs.filter("doc_id % 12 = 0")}, "doc_id")
+    labels = table(spark, sf_dir, "labels")
+    stages = {"selected": labels, "claimed": labels.filter("quality = 1"), "written": labels.filter("toxic = 1")}
+    return evidence.lineage(table(spark, sf_dir, "documents"), stages, "doc_id")
 
 
 @query(

@@ -14,26 +14,26 @@ def index_fingerprints(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.sha2(F.col("text").cast("binary"), 256), "v2").alias("fingerprint"))
 
 
-@query("select doc_id from documents where doc_id % 5 in (0, 1)")
+@query("select doc_id from documents left join labels using (doc_id) where coalesce(quality, 0) = 0")
 def stale_documents(spark, sf_dir):
-    """The stored index lacks a fifth of the documents and has another fifth in an older version."""
+    """The stored index has the labelled documents, those of low quality in an older version."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     own = lambda v: fingerprint(F.sha2(F.col("text").cast("binary"), 256), v)
-    stored = docs.filter("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 1, own("v1")).otherwise(own("v2")).alias("fingerprint"))
+    stored = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.when(F.col("quality") == 0, own("v1")).otherwise(own("v2")).alias("fingerprint"))
     return incremental.stale(docs, stored, "v2").select("doc_id")
 
 
-@query("select source, count(*) as n from (select source from documents where doc_id % 2 = 0 union all select 'rebuilt' from documents where doc_id % 2 = 1) group by source")
+@query("select case when l.doc_id is null then source else 'rebuilt' end as source, count(*) as n from documents d left join labels l on d.doc_id = l.doc_id group by 1")
 def replaced_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    rebuilt = docs.filter("doc_id % 2 = 1").withColumn("source", F.lit("rebuilt"))
+    rebuilt = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("source", F.lit("rebuilt"))
     return incremental.replaced(docs, rebuilt).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("select source, count(*) as n_missing from documents where doc_id % 7 <> 0 group by source")
+@query("select source, count(*) as n_missing from documents where doc_id not in (select doc_id from labels) group by source")
 def backfill_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return incremental.missing(docs, docs.filter("doc_id % 7 = 0"), ["doc_id"]).groupBy("source").agg(F.count("*").alias("n_missing"))
+    return incremental.missing(docs, table(spark, sf_dir, "labels"), ["doc_id"]).groupBy("source").agg(F.count("*").alias("n_missing"))
 
 
 @query("select doc_id, (('0x' || substr(sha256(doc_id::varchar), 1, 16))::uhugeint % 12)::int as shard from documents")
@@ -41,22 +41,23 @@ def hash_shards(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", incremental.shard(F.col("doc_id"), 12).alias("shard"))
 
 
-@query("select doc_id, case when doc_id % 6 = 0 then 'lang,source' else 'lang' end as changed from documents where doc_id % 3 = 0")
+@query("select doc_id, case when toxic = 1 then 'lang,source' else 'lang' end as changed from documents join labels using (doc_id)")
 def metadata_changes(spark, sf_dir):
     old = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    new = old.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "xx").otherwise(F.col("lang"))).withColumn("source", F.when(F.col("doc_id") % 6 == 0, F.lit(None)).otherwise(F.col("source")))
+    rows = old.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    new = rows.select("doc_id", F.when(F.col("toxic").isNotNull(), "xx").otherwise(F.col("lang")).alias("lang"), F.when(F.col("toxic") == 1, F.lit(None)).otherwise(F.col("source")).alias("source"), "n_chars")
     return incremental.changed(old, new, "doc_id", ["lang", "source", "n_chars"]).select("doc_id", F.array_join("changed", ",").alias("changed"))
 
 
 @query(
     """
     with s as (select unnest(generate_series((select min(o_orderdate)::date from orders), (select max(o_orderdate)::date from orders), interval 1 day))::date as day)
-    select day from s where day not in (select o_orderdate::date from orders where o_orderkey % 3 = 0)"""
+    select day from s where day not in (select o_orderdate::date from orders where o_orderpriority = '1-URGENT')"""
 )
 def missing_days(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     lo, hi = orders.agg(F.min(F.to_date("o_orderdate")), F.max(F.to_date("o_orderdate"))).first()
-    done = orders.filter("o_orderkey % 3 = 0").select(F.to_date("o_orderdate").alias("day"))
+    done = orders.filter("o_orderpriority = '1-URGENT'").select(F.to_date("o_orderdate").alias("day"))
     return incremental.missing_days(done, F.lit(lo), F.lit(hi))
 
 
@@ -77,9 +78,9 @@ def profile_report(spark, sf_dir):
     return inventory.profiles_with_balances(profiles, ledger, "account", "amount").select("account", "name", "has_profile", "balance")
 
 
-@query("select count(*) filter (where vec_id % 4 = 0) as indexed, count(*) filter (where vec_id % 4 <> 0) as skipped from embeddings")
+@query("select count(*) filter (where label = 0) as indexed, count(*) filter (where label <> 0) as skipped from embeddings")
 def embedding_load_report(spark, sf_dir):
-    return embedding.load_report(_index(spark, sf_dir, "vec_id % 4 <> 0", 1, "a"), _index(spark, sf_dir, "true", 2, "a"))
+    return embedding.load_report(_index(spark, sf_dir, "label <> 0", 1, "a"), _index(spark, sf_dir, "true", 2, "a"))
 
 
 def _index(spark, sf_dir, condition, at, mark):
@@ -89,12 +90,12 @@ def _index(spark, sf_dir, condition, at, mark):
 
 @query(
     """
-    select vec_id as item_id, 'a' || label as content_hash, case when vec_id % 2 = 0 then 'load 1' else 'load 2' end as metadata, vec_id % 2 = 1 as is_current from embeddings
-    union all select vec_id, 'b' || label, 'load 2', true from embeddings where vec_id % 2 = 0"""
+    select vec_id as item_id, 'a' || label as content_hash, case when label % 2 = 0 then 'load 1' else 'load 2' end as metadata, label % 2 = 1 as is_current from embeddings
+    union all select vec_id, 'b' || label, 'load 2', true from embeddings where label % 2 = 0"""
 )
 def embedding_versions(spark, sf_dir):
     """Half of the items come again unchanged, half with a new content."""
-    incoming = _index(spark, sf_dir, "vec_id % 2 = 1", 2, "a").union(_index(spark, sf_dir, "vec_id % 2 = 0", 2, "b"))
+    incoming = _index(spark, sf_dir, "label % 2 = 1", 2, "a").union(_index(spark, sf_dir, "label % 2 = 0", 2, "b"))
     return embedding.upsert_versions(_index(spark, sf_dir, "true", 1, "a"), incoming).select("item_id", "content_hash", "metadata", "is_current")
 
 

@@ -11,6 +11,7 @@ from lantern.operators import embedding, fulltext, fusion, selection
 from lantern.plans.registry import query, table
 
 FIELDS = {"text": 1.0, "lang": 1.5, "source": 2.5}
+SLOTS = 64
 TOKEN = "[0-9A-Za-zÀ-ÖØ-öø-ÿĄĆĘŁŃŚŹŻąćęłńśźż]"
 
 #: BM25 of the first eight query tokens as prefixes, as common table expressions.
@@ -44,49 +45,58 @@ def bm25_top(spark, sf_dir):
 
 
 
-@query(
-    f"""
-    with src as (select doc_id as k, left(text, 300) as t from documents),
-    tok as (select distinct k, unnest(regexp_extract_all(lower(t), '{TOKEN}{{2,}}')) as w from src),
-    feat as (select k, w as f, 24 + least(length(w), 12) as units from tok
-        union all select k, substr(w, i, 4), 24 + least(length(w), 12) from (select k, w, unnest(range(1, length(w) - 2)) as i from tok where length(w) >= 4)),
-    hashed as (select k, ('0x' || substr(sha256(f), 13, 4))::int as h, units from feat),
-    slots as (select k, h % 64 as slot, sum(case when (h >> 8) % 2 = 0 then units else -units end)::double as u from hashed group by all),
-    norms as (select k, sqrt(sum(u * u)) as size from slots group by k having sum(u * u) > 0)
-    select k as doc_id, slot::int as slot, round(u / size, 6) as value from slots join norms using (k) where u <> 0"""
-)
+#: Hash embeddings of documents (d) and benchmark items (q) as rows of (kind, k, slot, value).
+EMBEDDING_SQL = f"""
+    src as (select 'd' as kind, doc_id as k, text as t from documents union all select 'q', item_id, text from benchmark),
+    tok as (select distinct kind, k, unnest(regexp_extract_all(lower(t), '{TOKEN}{{2,}}')) as w from src),
+    feat as (select kind, k, w as f, 24 + least(length(w), 12) as units from tok
+        union all select kind, k, substr(w, i, 4), 24 + least(length(w), 12) from (select kind, k, w, unnest(range(1, length(w) - 2)) as i from tok where length(w) >= 4)),
+    hashed as (select kind, k, ('0x' || substr(sha256(f), 13, 4))::int as h, units from feat),
+    slots as (select kind, k, h % {SLOTS} as slot, sum(case when (h >> 8) % 2 = 0 then units else -units end)::double as u from hashed group by all),
+    norms as (select kind, k, sqrt(sum(u * u)) as size from slots group by all having sum(u * u) > 0),
+    emb as (select kind, k, slot, round(u / size, 6) as value from slots join norms using (kind, k) where u <> 0)"""
+
+
+@query(f"with {EMBEDDING_SQL} select k as doc_id, slot::int as slot, value from emb where kind = 'd' and value <> 0")
 def hash_embedding(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(300)).alias("text"))
-    made = embedding.hash_embeddings(docs, 64).select("doc_id", F.posexplode("embedding").alias("slot", "value"))
+    made = embedding.hash_embeddings(table(spark, sf_dir, "documents"), SLOTS).select("doc_id", F.posexplode("embedding").alias("slot", "value"))
     return made.filter("value <> 0").select("doc_id", "slot", "value")
 
 
+def semantic(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    docs = embedding.hash_embeddings(table(spark, sf_dir, "documents"), SLOTS)
+    items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    queries = embedding.hash_embeddings(items, SLOTS, key="query_id").withColumnRenamed("embedding", "query_vector")
+    scored = embedding.semantic_scores(docs.join(F.broadcast(queries), F.lit(True)))
+    return fulltext.ranked(scored.select("query_id", "doc_id", F.col("semantic").alias("score")), limit=limit)
+
+
 COSINE = "round(case when list_dot_product(a.e, a.e) > 0 and list_dot_product(b.e, b.e) > 0 then list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) else 0 end, 6)"
 
 
 @query(
     f"""
     with v as (select vec_id, label, embedding::double[] as e from embeddings),
-    s as (select a.vec_id as query_id, b.vec_id, {COSINE} as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 25 = 0),
+    s as (select a.vec_id as query_id, b.vec_id, {COSINE} as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
     r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s where score >= 0.05)
     select query_id, vec_id, score, rank::int as rank from r where rank <= 6"""
 )
 def vector_top(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    queries = vectors.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return embedding.nearest(queries, vectors, 6, least=0.05, condition=F.col("query_id") != F.col("vec_id"))
 
 
 @query(
     f"""
     with v as (select vec_id, label, embedding::double[] as e from embeddings),
-    s as (select a.vec_id as query_id, b.vec_id, {COSINE} as score from v a join v b on a.vec_id <> b.vec_id and a.label = b.label where a.vec_id % 25 = 0),
+    s as (select a.vec_id as query_id, b.vec_id, {COSINE} as score from v a join v b on a.vec_id <> b.vec_id and a.label = b.label where a.vec_id % 100 = 0),
     r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
     select query_id, vec_id, score, rank::int as rank from r where rank <= 4"""
 )
 def vector_top_filtered(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    queries = vectors.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query_vector"))
+    queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query_vector"))
     return embedding.nearest(queries, vectors, 4, condition=(F.col("query_id") != F.col("vec_id")) & (F.col("query_label") == F.col("label")))
 
 
@@ -96,20 +106,20 @@ def vector_norms(spark, sf_dir):
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two channels a query: full text, and documents by length near the query's own number."""
+    """Two channels a query: full text, and hash embeddings."""
     lex = lexical(spark, sf_dir, 30).select("query_id", F.lit("lexical").alias("channel"), F.lit("user").alias("family"), "doc_id", "rank")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    near = docs.join(F.broadcast(queries), F.pmod(F.col("doc_id"), F.lit(40)) == F.pmod(F.col("query_id"), F.lit(40)))
-    near = fulltext.ranked(near.withColumn("score", F.col("n_chars")), limit=30)
-    return lex.unionByName(near.select("query_id", F.lit("metadata").alias("channel"), F.lit("named_institution_length").alias("family"), "doc_id", "rank"))
+    sem = semantic(spark, sf_dir, 30).select("query_id", F.lit("vector").alias("channel"), F.lit("named_institution_vector").alias("family"), "doc_id", "rank")
+    return lex.unionByName(sem)
+
 
+SEMANTIC_SQL = f"""{EMBEDDING_SQL},
+    sims as (select q.k as query_id, d.k as doc_id, round(sum(q.value * d.value), 6) as score from emb q join emb d on q.slot = d.slot and q.kind = 'q' and d.kind = 'd' group by all),
+    near as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from sims)"""
 
-LISTS_SQL = f"""{BM25_SQL},
-    near as (select item_id as query_id, doc_id, row_number() over (partition by item_id order by n_chars desc, doc_id) as rank from documents join benchmark on doc_id % 40 = item_id % 40),
+LISTS_SQL = f"""{BM25_SQL}, {SEMANTIC_SQL},
     lists as (
         select query_id, 'lexical' as channel, 'user' as family, doc_id, rank, 1.0 as w from lex where rank <= 30
-        union all select query_id, 'metadata', 'named_institution_length', doc_id, rank, 2.5 from near where rank <= 30)"""
+        union all select query_id, 'vector', 'named_institution_vector', doc_id, rank, 2.5 from near where rank <= 30)"""
 
 
 @query(
@@ -126,17 +136,16 @@ def rank_fusion(spark, sf_dir):
 
 @query(
     f"""
-    with {BM25_SQL},
-    near as (select item_id as query_id, doc_id, row_number() over (partition by item_id order by n_chars desc, doc_id) as rank from documents join benchmark on doc_id % 40 = item_id % 40),
+    with {BM25_SQL}, {SEMANTIC_SQL},
     b as (select query_id, doc_id, coalesce(l.rank, 100000) as lr, coalesce(n.rank, 100000) as sr from (select * from lex where rank <= 30) l full outer join (select * from near where rank <= 30) n using (query_id, doc_id)),
     s as (select *, round(0.65 / (20 + lr) + 0.35 / (20 + sr), 8) as score from b),
     r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s)
     select query_id, doc_id, lr::int as lexical_rank, sr::int as semantic_rank, score, rank::int as rank from r where rank <= 6"""
 )
 def hybrid_search(spark, sf_dir):
-    """The flagship: full text and a second rank list, fused for every query at once."""
+    """The flagship: BM25 and hash embeddings, fused for every query at once."""
     lists = _lists(spark, sf_dir)
-    return fusion.hybrid(lists.filter("channel = 'lexical'"), lists.filter("channel = 'metadata'"), 6)
+    return fusion.hybrid(lists.filter("channel = 'lexical'"), lists.filter("channel = 'vector'"), 6)
 
 
 @query(
@@ -217,11 +226,11 @@ def context_for_queries(spark, sf_dir):
     """
     with q as (select item_id as query_id, lower(text) as qt from benchmark),
     rules(qp, rp, w) as (values ('tion', 'keit', 2.0), ('the', 'license', 1.5), ('la ', 'les ', 0.5)),
-    a as (select query_id, rp, w from q join rules on regexp_matches(qt, qp) where query_id % 5 = 0)
+    a as (select query_id, rp, w from q join rules on regexp_matches(qt, qp))
     select query_id, doc_id, sum(w) as score from documents join a on regexp_matches(lower(text), rp) group by all"""
 )
 def rule_scores(spark, sf_dir):
-    queries = table(spark, sf_dir, "benchmark").filter("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     rules = spark.createDataFrame([("tion", "keit", 2.0), ("the", "license", 1.5), ("la ", "les ", 0.5)], "query_pattern string, row_pattern string, weight double")
     return fusion.rule_scores(table(spark, sf_dir, "documents"), queries, rules)
 

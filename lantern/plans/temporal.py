@@ -65,19 +65,19 @@ def version_successors(spark, sf_dir):
 @query(
     f"""{LINKS},
     steps as (select source, target from edges),
-    d0 as (select 'c' || c_custkey as seed, 'c' || c_custkey as node, 0 as depth from customer where c_custkey <= 100),
+    d0 as (select 'c' || c_custkey as seed, 'c' || c_custkey as node, 0 as depth from customer),
     d1 as (select seed, target as node, 1 as depth from d0 join steps on node = source),
     d2 as (select seed, target as node, 2 as depth from d1 join steps on node = source)
     select seed, node, min(depth)::int as depth from (select * from d0 union all select * from d1 union all select * from d2) group by all"""
 )
 def related_nodes(spark, sf_dir):
-    seeds = table(spark, sf_dir, "customer").filter("c_custkey <= 100").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("seed"))
+    seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("seed"))
     return graph.related(seeds, _links(spark, sf_dir), 2)
 
 
 @query(
     """
-    with recursive e as (select conv_id, turn as source, turn + 1 as target from conversations where turn % 4 <> 3),
+    with recursive e as (select conv_id, turn as source, turn + 1 as target from conversations),
     r(conv_id, seed, node) as (select conv_id, turn, turn from conversations where turn = 0 union select r.conv_id, r.seed, e.target from r join e on r.conv_id = e.conv_id and r.node = e.source)
     select conv_id * 1000 + seed as seed, conv_id * 1000 + node as node from r"""
 )
@@ -85,18 +85,18 @@ def reference_closure(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     node = F.col("conv_id") * 1000 + F.col("turn")
     seeds = turns.filter("turn = 0").select(node.alias("seed"))
-    return graph.closure(seeds, turns.filter("turn % 4 <> 3").select(node.alias("source"), (node + 1).alias("target")))
+    return graph.closure(seeds, turns.select(node.alias("source"), (node + 1).alias("target")))
 
 
 @query(
     """
-    with r as (select l_orderkey * 10 + l_linenumber as ref_id, l_partkey as article, case when l_linenumber % 2 = 0 then l_suppkey end as paragraph from lineitem where l_orderkey <= 2000),
+    with r as (select l_orderkey * 10 + l_linenumber as ref_id, l_partkey as article, case when l_linenumber % 2 = 0 then l_suppkey end as paragraph from lineitem),
     u as (select p_partkey as article, s as paragraph, p_partkey * 1000 + coalesce(s, 0) as unit_id from part, (select null as s union all select unnest(range(1, 21)))),
     m as (select ref_id, unit_id, (u.paragraph is not null)::int as spec from r join u on r.article = u.article and (r.paragraph is null or r.paragraph = u.paragraph))
     select ref_id, unit_id from (select *, row_number() over (partition by ref_id order by spec, unit_id) as rn from m) where rn = 1"""
 )
 def reference_dependencies(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 2000")
+    lines = table(spark, sf_dir, "lineitem")
     none = F.lit(None).cast("long")
     refs = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), F.col("l_partkey").alias("article"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")).alias("paragraph"), none.alias("point"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("article"), F.explode(F.concat(F.array(none), F.sequence(F.lit(1).cast("long"), F.lit(20).cast("long")))).alias("paragraph"))
