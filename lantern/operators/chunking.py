@@ -57,3 +57,28 @@ def unit_chunks(units: DataFrame, key: str = "doc_id") -> DataFrame:
     order = Window.partitionBy(key).orderBy("start", "citation")
     rows = rows.withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("chunk_text", F.concat_ws("\n", "ancestors", "citation", "text"))
     return rows.select(key, "chunk_index", "citation", "chunk_text", citation_slug(F.col(key), F.col("citation")).alias("provision_id"), chunk_id(F.col(key), F.col("chunk_index"), F.col("chunk_text")).alias("chunk_id"))
+
+
+def merge_texts(texts: Column, least: int = 41, most: int = 500) -> Column:
+    """One text from an ordered array of overlapping chunks.
+
+    The longest end of the text so far, of ``least`` to ``most`` characters, that begins the next chunk is written
+    once; without one a blank line stands between. Blank chunks are left out.
+    """
+    strip = lambda c: F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    parts = F.filter(F.transform(texts, lambda t: strip(F.coalesce(t, F.lit("")))), lambda t: t != "")
+
+    def step(so_far: Column, chunk: Column) -> Column:
+        top = F.least(F.lit(most), F.length(so_far), F.length(chunk))
+        sizes = F.when(top >= least, F.sequence(top, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        fits = F.filter(sizes, lambda n: F.right(so_far, n) == F.left(chunk, n))
+        joined = F.when(F.size(fits) > 0, F.concat(so_far, F.substring(chunk, F.element_at(F.when(F.size(fits) > 0, fits), 1) + 1, F.length(chunk)))).otherwise(F.concat(so_far, F.lit("\n\n"), chunk))
+        return F.when(so_far == "", chunk).otherwise(joined)
+
+    return F.aggregate(parts, F.lit(""), step)
+
+
+def merged_documents(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, text): the chunks of each document put together again; only a document's own chunks meet."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda x: x["chunk_text"])
+    return pieces.groupBy(key).agg(ordered.alias("_texts")).select(key, merge_texts(F.col("_texts")).alias("text"))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +65,31 @@ def load_report(index: DataFrame, incoming: DataFrame) -> DataFrame:
     """One row: how many incoming revisions are new and how many the index already has."""
     rows = incoming.join(index.select(*VERSION_KEY).distinct().withColumn("_known", F.lit(True)), list(VERSION_KEY), "left")
     return rows.agg(F.count_if(F.col("_known").isNull()).alias("indexed"), F.count_if(F.col("_known").isNotNull()).alias("skipped"))
+
+
+def offline_embeddings(documents: DataFrame, dimensions: int = 384, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, embedding): words and letter trigrams, repeats counted, hashed by BLAKE2b, which SQL doesn't have.
+
+    A blank or null text is the zero vector. A narrow pass.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [_blake_vector(t.as_py() or "", dimensions).tolist() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["key", "embedding"])
+
+    kind = documents.schema[key].dataType.simpleString()
+    return documents.select(documents[key], documents[column]).mapInArrow(run, f"key {kind}, embedding array<double>").withColumnRenamed("key", key)
+
+
+def _blake_vector(text: str, dimensions: int) -> np.ndarray:
+    line = " ".join(text.casefold().split())
+    counts = Counter(f"tok:{w}" for w in re.findall(r"\w+", line))
+    counts.update(f"tri:{line[i : i + 3]}" for i in range(len(line) - 2))
+    vector = np.zeros(dimensions)
+    for feature, n in counts.items():
+        digest = hashlib.blake2b(feature.encode(), digest_size=16).digest()
+        vector[int.from_bytes(digest[:8], "big") % dimensions] += n if digest[8] & 1 else -n
+    size = np.sqrt((vector * vector).sum())
+    return vector / size if size else vector

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lantern.functions.text import CITATION, citations, normalize_citation
 
 #: A line that opens a unit, by level; the deepest level stands last.
 LEVELS = (
@@ -55,3 +61,64 @@ def sibling_edges(rows: DataFrame, group: list[str], order: str, node: str) -> D
 def spans_hold(rows: DataFrame, text: str, start: str, end: str, quote: str) -> DataFrame:
     """``rows`` with ``valid``: whether the text between the offsets is the quote."""
     return rows.withColumn("valid", F.substring(F.col(text), F.col(start) + 1, F.col(end) - F.col(start)).eqNullSafe(F.col(quote)))
+
+
+MENTION = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("reference", T.StringType())]))
+# Words around a reference that tell what it is for, in order of priority.
+RELATIONS = {
+    "transitional_rule_for": r"przepisy? przejściow|do spraw wszczętych|do okresów rozpoczętych",
+    "exception_to": r"z wyjątkiem|nie stosuje się|wyłącza się|chyba że",
+    "special_rule_for": r"z zastrzeżeniem|przepis szczególny|na zasadach określonych|stosuje się również|stosuje się odpowiednio",
+    "overrides": r"stosuje się zamiast|ma pierwszeństwo|bez względu na",
+    "defines": r"w rozumieniu|rozumie się przez|oznacza",
+}
+
+
+def mentions(rows: DataFrame, pattern: str = CITATION, key: str = "doc_id", column: str = "text", before: int = 120, after: int = 80) -> DataFrame:
+    """(key, start, end, reference, relation): references with half-open code-point spans.
+
+    The relation is read from the text around; one without any of the words is a plain reference.
+    """
+    find = re.compile(pattern, re.I)
+
+    @F.pandas_udf(MENTION)
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": m.start(), "end": m.end(), "reference": m[0]} for m in find.finditer(t or "")])
+
+    found = rows.select(key, column, F.explode(spans(F.col(column))).alias("m")).select(key, column, "m.*")
+    left = F.greatest(F.col("start") - before, F.lit(0))
+    context = F.lower(F.substring(F.col(column), left + 1, F.col("end") + after - left))
+    relation = F.lit("references")
+    for name, words in reversed(RELATIONS.items()):
+        relation = F.when(F.rlike(context, F.lit(words)), name).otherwise(relation)
+    return found.select(key, "start", "end", normalize_citation(F.col("reference")).alias("reference"), relation.alias("relation"))
+
+
+def unsupported(answer: Column, allowed: Column, pattern: str = CITATION) -> Column:
+    """References of an answer that its evidence doesn't have."""
+    return F.array_except(citations(answer, pattern), F.transform(allowed, normalize_citation))
+
+
+def excerpt(text: Column, headings: str, limit: int = 18_000, ends: int = 3_500, lead: int = 1_000, tail: int = 9_000, gap: str = "\n\n[...]\n\n") -> Column:
+    """A long text's beginning, what stands around the headings, and its end, within a number of characters."""
+    find = re.compile(headings, re.I | re.M)
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            if t is None or len(t) <= limit:
+                return t
+            wanted = [(0, ends), *((max(0, m.start() - lead), m.start() + tail) for m in find.finditer(t)), (len(t) - ends, len(t))]
+            kept, left = [], limit
+            for start, end in wanted:
+                for a, b in kept:
+                    start = b if a <= start < b else start
+                end = min(end, len(t), start + left)
+                if start < end:
+                    kept.append((start, end))
+                    left -= end - start
+            return gap.join(t[a:b] for a, b in sorted(kept))
+
+        return texts.map(one)
+
+    return cut(text)

@@ -112,3 +112,51 @@ def required_first(rows: DataFrame, requirements: DataFrame, query: str = "query
     hits = rows.join(F.broadcast(requirements), F.rlike(F.lower("text"), F.col("pattern")))
     best = first_by(hits, [query, "position"], ["rank", key]).groupBy(query, key).agg(F.min("position").alias("met"))
     return rows.join(best, [query, key], "left")
+
+
+def covering(ranked: DataFrame, families: Sequence[str], rounds: Sequence[tuple[str, int]], limit: int, query: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """(query, key, position): the best unused row of each kind and family, kind after kind and round after round.
+
+    ``ranked`` is (query, key, rank, kind, families); ``rounds`` names a kind and how often the families are gone
+    through. What is left fills up by rank. Each choice depends on those before, within a query's bounded pool.
+    """
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank")
+        taken: list = []
+        wanted = [(kind, family) for kind, n in rounds for _ in range(n) for family in families]
+        for kind, family in wanted:
+            free = rows[(rows["kind"] == kind) & ~rows[key].isin(taken) & rows["families"].map(lambda f, name=family: name in f)]
+            if len(free) and len(taken) < limit:
+                taken.append(free[key].iat[0])
+        taken += [k for k in rows[key] if k not in set(taken)]
+        taken = taken[: max(limit, 0)]
+        return pd.DataFrame({query: [rows[query].iat[0]] * len(taken), key: taken, "position": range(1, len(taken) + 1)})
+
+    rows = ranked.select(query, key, "rank", "kind", "families")
+    kinds = f"{query} {rows.schema[query].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, position int"
+    return rows.groupBy(query).applyInPandas(pick, kinds)
+
+
+def pinned(ranked: DataFrame, targets: DataFrame, limit: int, query: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """(query, key, position): for each target (query, target_position, reference) its best unused row first.
+
+    ``ranked`` is (query, key, rank, references). The limit is never below a query's number of targets.
+    """
+    wanted = targets.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("target_position", "reference"))), lambda x: x["reference"]).alias("_wanted"))
+    rows = ranked.select(query, key, "rank", "references").join(wanted, query, "left")
+
+    def pick(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("rank")
+        asked = own["_wanted"].iat[0]
+        asked = [] if asked is None else list(asked)
+        taken: list = []
+        for reference in asked:
+            free = [k for k, r in zip(own[key], own["references"]) if k not in taken and r is not None and reference in list(r)]
+            taken += free[:1]
+        most = max(limit, len(asked))
+        taken = (taken + [k for k in own[key] if k not in set(taken)])[:most]
+        return pd.DataFrame({query: [own[query].iat[0]] * len(taken), key: taken, "position": range(1, len(taken) + 1)})
+
+    kinds = f"{query} {rows.schema[query].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, position int"
+    return rows.groupBy(query).applyInPandas(pick, kinds)

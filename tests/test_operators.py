@@ -126,6 +126,56 @@ def test_selectors_against_loops(spark):
     assert got == window
 
 
+def test_covering_and_pinning_against_loops(spark):
+    r = random.Random(7)
+    rows = [(q, d, d + 1, r.choice(["interpretive", "judicial", "other"]), r.sample("abc", r.randint(0, 2)), r.sample(["x", "y", "z"], r.randint(0, 2))) for q in range(15) for d in range(r.randint(1, 12))]
+    df = spark.createDataFrame(rows, "query_id int, doc_id int, rank int, kind string, families array<string>, references array<string>")
+    got = {q: [] for q in range(15)}
+    for x in selection.covering(df, ["a", "b", "c"], [("interpretive", 2), ("judicial", 1)], 6).orderBy("position").collect():
+        got[x["query_id"]].append(x["doc_id"])
+    asked = {q: r.sample(["x", "y", "z"], 2) for q in range(0, 15, 2)}
+    targets = spark.createDataFrame([(q, i, t) for q, ts in asked.items() for i, t in enumerate(ts)], "query_id int, target_position int, reference string")
+    pins = {q: [] for q in range(15)}
+    for x in selection.pinned(df, targets, 1).orderBy("position").collect():
+        pins[x["query_id"]].append(x["doc_id"])
+    for q in range(15):
+        own, taken = [x for x in rows if x[0] == q], []
+        for kind, n in (("interpretive", 2), ("judicial", 1)):
+            for family in "abc" * n:
+                taken += [x[1] for x in own if x[1] not in taken and x[3] == kind and family in x[4]][:1]
+        assert got[q] == (taken + [x[1] for x in own if x[1] not in taken])[:6]
+        taken = []
+        for t in asked.get(q, []):
+            taken += [x[1] for x in own if x[1] not in taken and t in x[5]][:1]
+        assert pins[q] == (taken + [x[1] for x in own if x[1] not in taken])[: max(1, len(asked.get(q, [])))]
+
+
+def test_chunks_merge_again(spark):
+    r = random.Random(4)
+    bodies = ["\n\n".join(f"{i}-{k} " + "".join(r.choice("abcdef ") for _ in range(r.randint(20, 150))).strip() for k in range(r.randint(1, 8))) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    again = chunking.merged_documents(chunking.chunks(df, target=300, overlap=60)).collect()
+    # A chunk's tail and the next paragraph meet at the overlap, so the text is whole again.
+    assert {x["doc_id"]: x["text"].split() for x in again} == {i: b.split() for i, b in enumerate(bodies)}
+
+
+def test_offline_embeddings(spark):
+    df = spark.createDataFrame([(1, "Ala ma ala"), (2, None), (3, "  ")], "doc_id long, text string")
+    rows = {x["doc_id"]: x["embedding"] for x in embedding.offline_embeddings(df, 16).collect()}
+    assert sum(v * v for v in rows[1]) == pytest.approx(1) and set(rows[2]) == set(rows[3]) == {0.0}
+
+
+def test_mentions_and_excerpts(spark):
+    body = "Wstęp. Z wyjątkiem art. 5 ust. 2 stosuje się zasady. " + "x" * 200 + " Zob. Art. 7."
+    rows = provisions.mentions(spark.createDataFrame([(1, body), (2, None)], "doc_id long, text string")).orderBy("start").collect()
+    assert [(x["reference"], x["relation"]) for x in rows] == [("art. 5 ust. 2", "exception_to"), ("art. 7", "references")]
+    assert all(body[x["start"] : x["end"]].lower().startswith("art.") for x in rows)
+    assert value(spark, provisions.unsupported(F.lit("art. 1 i art. 2"), F.array(F.lit("Art. 2")))) == ["art. 1"]
+    text = "a" * 50 + "\nHEAD\n" + "b" * 50 + "c" * 50
+    short = spark.createDataFrame([(text,), ("short",), (None,)], "t string").select(provisions.excerpt(F.col("t"), "^HEAD$", 40, 10, 5, 12, "|").alias("e")).collect()
+    assert [x["e"] for x in short] == ["a" * 10 + "|" + "a" * 4 + "\nHEAD\n" + "b" * 7 + "|" + "c" * 10, "short", None]
+
+
 def test_packing_stops_at_the_budget(spark):
     df = spark.createDataFrame([(1, i, "x" * n) for i, n in enumerate([30, 4, 4, 1])] + [(2, 0, "x" * 99)], "query_id int, position int, text string")
     kept = selection.packed(df, 40).select("query_id", "position").collect()
