@@ -7,6 +7,8 @@ prefix sums and then mixed, so that one pass over a chunk costs a few array oper
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +30,13 @@ LOWER[65:91] += 32
 _powers = (np.ones(1, U), np.ones(1, U))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:

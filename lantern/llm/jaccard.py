@@ -6,7 +6,7 @@ filter, and each pair is verified once.
 
 Counting how many documents hold an n-gram needs every n-gram of the corpus once. These travel packed: a task hashes
 whole texts and sends, for each range of hashes (a bucket), one array of 8-byte entries, a 48-bit hash beside the
-document's number in its batch. A bucket answers each batch with the n-grams that occur elsewhere too; all others are
+document's number in its batch. Counts end at 65535, where an n-gram is as common as any. A bucket answers each batch with the n-grams that occur elsewhere too; all others are
 the rarest. Most documents have more n-grams of their own than the prefix is long and are done.
 """
 
@@ -25,9 +25,9 @@ from lantern.llm._storage import materialise
 from lantern.llm.components import components
 
 #: Text that fills one bucket on average, and the most buckets that 16 bits name.
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 16
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
 #: Documents and n-grams of a batch: entries number documents in 16 bits.
-BATCH_DOCS, BATCH_GRAMS = 60_000, 3_000_000
+BATCH_DOCS, BATCH_GRAMS = 20_000, 1_000_000
 #: An n-gram in so many documents of one batch is sent once with its count.
 COMMON = 256
 ALL = 0xFFFF
@@ -37,6 +37,18 @@ _PACKED = "bucket int, batch long, kind int, a binary, b binary, c binary"
 _ANSWER = "batch long, kind int, a binary, b binary, c binary"
 
 
+def packed(low: np.ndarray, number: np.ndarray) -> bytes:
+    """Ascending 48-bit values as differences, high and low part apart, and 16-bit numbers: 8 bytes, 6 compressed."""
+    step = np.diff(low, prepend=W.U(0))
+    return (step >> W.U(32)).astype(np.uint16).tobytes() + (step & W.U(0xFFFFFFFF)).astype(np.uint32).tobytes() + number.astype(np.uint16).tobytes()
+
+
+def unpacked(value: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(value) // 8
+    high, low, number = np.frombuffer(value, np.uint16, n), np.frombuffer(value, np.uint32, n, 2 * n), np.frombuffer(value, np.uint16, n, 6 * n)
+    return np.cumsum((high.astype(W.U) << W.U(32)) | low, dtype=W.U), number
+
+
 def gram_sets(texts: list[bytes], words: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """(documents, document of each member counted from 0, member) for chunks; members are distinct in a document."""
     for c in W.word_chunks(texts, lower=True):
@@ -84,25 +96,27 @@ class _Batch:
         leads[order[1:]] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]) | (n[order[1:]] != n[order[:-1]])
         sent = (leads & valid)[doc]
         doc, gram = doc[sent], gram[sent]
+        # From here on an n-gram is its bucket and its last 48 bits.
+        gram = ((gram >> W.U(48)) * W.U(buckets) >> W.U(16) << W.U(48)) | gram & W.U((1 << 48) - 1)
         order = np.lexsort((doc, gram))
         doc, gram = doc[order].astype(W.U), gram[order]
         start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(gram)))
-        token = (gram >> W.U(48)) * W.U(buckets) >> W.U(16)
-        low = gram & W.U((1 << 48) - 1)
+        token, low = gram >> W.U(48), gram & W.U((1 << 48) - 1)
         common = count >= COMMON
         c_at = start[common]
-        c_token = (token[c_at] << W.U(48)) | low[c_at]
+        c_token = gram[c_at]
         spread = np.repeat(common, count)
         info = np.stack([ids, valid.astype(np.int64), n, one.view(np.int64), two.view(np.int64)])
         members = np.concatenate([np.array([len(c_at)]), c_token.view(np.int64), count[common], doc[spread].astype(np.int64)])
         yield int(batch % buckets), batch, 1, info.astype(np.int64).tobytes(), members.astype(np.int64).tobytes(), b""
-        entry, where = ((low << W.U(16)) | doc)[~spread], token[~spread]
+        entry, number, where = low[~spread], doc[~spread], token[~spread]
         edge = np.searchsorted(where, np.arange(buckets + 1))
         c_edge = np.searchsorted(token[c_at], np.arange(buckets + 1))
         for k in np.flatnonzero((np.diff(edge) > 0) | (np.diff(c_edge) > 0)):
             mine = slice(c_edge[k], c_edge[k + 1])
-            yield int(k), batch, 0, entry[edge[k] : edge[k + 1]].tobytes(), low[c_at[mine]].tobytes(), count[common][mine].astype(np.int64).tobytes()
+            own = slice(edge[k], edge[k + 1])
+            yield int(k), batch, 0, packed(entry[own], number[own]), low[c_at[mine]].tobytes(), count[common][mine].astype(np.int64).tobytes()
 
 
 def _pack(words: int, buckets: int):
@@ -113,6 +127,7 @@ def _pack(words: int, buckets: int):
         part, serial, own = TaskContext.get().partitionId(), 0, _Batch()
 
         def flush() -> Iterator[pa.RecordBatch]:
+            W.release_memory()
             for row in own.rows((part << 24) | serial, buckets):
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=names)
 
@@ -147,16 +162,17 @@ def _i64(value: bytes) -> np.ndarray:
 
 def _count(table: pa.Table) -> pa.Table:
     """A bucket's answer to each batch: n-grams of two documents and more, the document's number, and the count."""
+    W.release_memory()
     rows = table.to_pylist()
     out = [(r["batch"], 1, r["a"], r["b"], b"") for r in rows if r["kind"]]
     rows = [r for r in rows if not r["kind"]]
     if rows:
         low, number, count, source = [], [], [], []
         for i, r in enumerate(rows):
-            entry, common = _u64(r["a"]), _u64(r["b"])
-            low += [entry >> W.U(16), common]
-            number += [(entry & W.U(ALL)).astype(np.uint16), np.full(len(common), ALL, np.uint16)]
-            count += [np.ones(len(entry), np.int64), _i64(r["c"])]
+            (entry, own), common = unpacked(r["a"]), _u64(r["b"])
+            low += [entry, common]
+            number += [own, np.full(len(common), ALL, np.uint16)]
+            count += [np.ones(len(entry), np.int32), _i64(r["c"]).astype(np.int32)]
             source.append(np.full(len(entry) + len(common), i, np.int32))
         low, number, count, source = (np.concatenate(x) for x in (low, number, count, source))
         order = np.argsort(low, kind="stable")
@@ -168,13 +184,13 @@ def _count(table: pa.Table) -> pa.Table:
         low, total, order = low[kept], total[kept], order[kept]
         number, source = number[order], source[order]
         order = np.argsort(source, kind="stable")
-        token = ((W.U(rows[0]["bucket"]) << W.U(48)) | low[order]).view(np.int64)
-        total, number = total[order], number[order]
+        low, total, number = low[order], np.minimum(total[order], 0xFFFF).astype(np.uint16), number[order]
+        bucket = np.array([rows[0]["bucket"]], np.int64).tobytes()
         edge = np.searchsorted(source[order], np.arange(len(rows) + 1))
         for i, r in enumerate(rows):
             mine = slice(edge[i], edge[i + 1])
             if edge[i] < edge[i + 1]:
-                out.append((r["batch"], 0, token[mine].tobytes(), number[mine].tobytes(), total[mine].tobytes()))
+                out.append((r["batch"], 0, packed(low[mine], number[mine]), total[mine].tobytes(), bucket))
     columns = zip(*out) if out else [[]] * 5
     return pa.table([pa.array(x, t) for x, t in zip(columns, [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])], names=["batch", "kind", "a", "b", "c"])
 
@@ -189,6 +205,7 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 def _order(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Sets of a batch; those whose prefix reaches beyond their own n-grams have the shared ones, rarest first."""
+        W.release_memory()
         rows = table.to_pylist()
         info = next(r for r in rows if r["kind"])
         ids, valid, n, one, two = _i64(info["a"]).reshape(5, -1)
@@ -197,9 +214,10 @@ def _order(percent: int):
         c_token, c_count, c_docs = members[1 : 1 + m], members[1 + m : 1 + 2 * m], members[1 + 2 * m :]
         c_first = np.concatenate([[0], np.cumsum(c_count)])
         rows = [r for r in rows if not r["kind"]]
-        token = np.concatenate([_i64(r["a"]) for r in rows] or [np.zeros(0, np.int64)])
-        number = np.concatenate([np.frombuffer(r["b"], np.uint16) for r in rows] or [np.zeros(0, np.uint16)]).astype(np.int64)
-        total = np.concatenate([_i64(r["c"]) for r in rows] or [np.zeros(0, np.int64)])
+        parts = [(*unpacked(r["a"]), np.frombuffer(r["b"], np.uint16), _u64(r["c"])[0]) for r in rows] or [(np.zeros(0, W.U), np.zeros(0, np.uint16), np.zeros(0, np.uint16), W.U(0))]
+        token = np.concatenate([(bucket << W.U(48)) | low for low, _, _, bucket in parts]).view(np.int64)
+        number = np.concatenate([x[1] for x in parts]).astype(np.int64)
+        total = np.concatenate([x[2] for x in parts])
         every = number == ALL
         if every.any():
             by = np.argsort(c_token)
@@ -290,7 +308,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 75, key: s
     counts = labelled.groupBy("gram", "label").count().groupBy("gram").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("labels"))
     open_grams = materialise(counts.filter("labels > 1").drop("labels"), "open")
     # Sizes of a link differ by a factor 100 / percent at most: they fall in the same or the next class.
-    scale = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
+    scale = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9)))
     rest = materialise(labelled.join(open_grams, "gram").withColumn("size_class", scale), "rest")
     probe = rest.filter("label <> largest").withColumn("size_class", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])))
     same = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.size_class") == F.col("y.size_class")) & (F.col("x.label") != F.col("y.label"))
