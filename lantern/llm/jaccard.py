@@ -293,10 +293,17 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 75, key: s
     sets = materialise(every.filter("shared is not null").select("node", "n", "own", "prefix", "shared", "bins").dropDuplicates(["node"]), "nodes")
     index = sets.select("node", "n", "own", F.posexplode(F.slice("shared", F.lit(1), F.col("prefix").cast("int"))).alias("i", "gram")).select("gram", "node", "n", (F.col("own") + F.col("i")).alias("pos"))
 
-    # Every document of an n-gram against two of them, chosen by hash.
-    pick = F.struct(F.xxhash64("node").alias("draw"), "node", "n", "pos")
-    stars = index.groupBy("gram").agg(F.min(pick).alias("lo"), F.max(pick).alias("hi"), F.count("*").alias("docs")).filter("docs > 1")
-    stars = materialise(stars.select("gram", F.explode(F.array("lo", "hi")).alias("y")).select("gram", "y.node", "y.n", "y.pos"), "stars")
+    # Prefix n-grams in which documents meet, and how much of a set is met nowhere.
+    met = materialise(index.groupBy("gram").agg(F.count("*").alias("docs")).filter("docs > 1").select("gram"), "grams")
+    index = materialise(index.join(met, "gram"), "met")
+    alone = index.groupBy("node").agg(F.count("*").alias("met")).join(sets.select("node", "own", "prefix", "n"), "node")
+    alone = materialise(alone.select("node", ((F.col("own") + F.col("prefix") - F.col("met")) / F.col("n")).alias("alone")), "alone")
+    # Every document of an n-gram against two of them: the one with the least of its own, which stands in the middle
+    # of near copies, and one chosen by hash.
+    draw = F.xxhash64("node").alias("draw")
+    stars = index.join(alone, "node").groupBy("gram").agg(F.min(F.struct("alone", draw, "node", "n", "pos")).alias("lo"), F.min(F.struct(draw, "node", "n", "pos")).alias("hi"))
+    both = F.array(*[F.struct(f"{c}.node", f"{c}.n", f"{c}.pos") for c in ("lo", "hi")])
+    stars = materialise(stars.select("gram", F.explode(both).alias("y")).select("gram", "y.node", "y.n", "y.pos"), "stars")
     pairs = index.alias("x").join(stars.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent))
     tried = materialise(pairs.select(*_pair("x", "y")).distinct(), "pairs")
     links = materialise(_verified(tried, sets, percent), "links")
