@@ -46,7 +46,7 @@ class Flattener:
 
     def visit_text(self, turn: int, part: Mapping) -> str:
         text = part["text"] or ""
-        self.tokens += len(text.split())
+        self.tokens += len(text.encode().split())  # bytes split at ASCII white space only
         return escape(text)
 
     def visit_image(self, turn: int, part: Mapping) -> str:
