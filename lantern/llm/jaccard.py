@@ -5,7 +5,7 @@ threshold share an n-gram of their prefixes, so documents meet only there, under
 filter, and each pair is verified once.
 
 Counting how many documents hold an n-gram needs every n-gram of the corpus once. These travel packed: a task hashes
-whole texts and sends, for each range of hashes (a bucket), one array of 8-byte entries, a 48-bit hash beside the
+whole texts and sends, for each range of hashes (a bucket), one array of 7-byte entries, the last bits of a hash beside the
 document's number in its batch. Counts end at 65535, where an n-gram is as common as any. A bucket answers each batch with the n-grams that occur elsewhere too; all others are
 the rarest. Most documents have more n-grams of their own than the prefix is long and are done.
 """
@@ -31,6 +31,8 @@ BATCH_DOCS, BATCH_GRAMS = 20_000, 1_000_000
 #: An n-gram in so many documents of one batch is sent once with its count.
 COMMON = 256
 ALL = 0xFFFF
+#: Bits of a hash that travel beside its bucket.
+LOW_BITS = 40
 BINS = 16
 
 _PACKED = "bucket int, batch long, kind int, a binary, b binary, c binary"
@@ -38,14 +40,17 @@ _ANSWER = "batch long, kind int, a binary, b binary, c binary"
 
 
 def packed(low: np.ndarray, number: np.ndarray) -> bytes:
-    """Ascending 48-bit values as differences, high and low part apart, and 16-bit numbers: 8 bytes, 6 compressed."""
+    """Ascending values of LOW_BITS as differences, high byte and the rest apart, and 16-bit numbers.
+
+    7 bytes an entry; the high bytes are nearly all 0 and compress away.
+    """
     step = np.diff(low, prepend=W.U(0))
-    return (step >> W.U(32)).astype(np.uint16).tobytes() + (step & W.U(0xFFFFFFFF)).astype(np.uint32).tobytes() + number.astype(np.uint16).tobytes()
+    return (step >> W.U(32)).astype(np.uint8).tobytes() + (step & W.U(0xFFFFFFFF)).astype(np.uint32).tobytes() + number.astype(np.uint16).tobytes()
 
 
 def unpacked(value: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(value) // 8
-    high, low, number = np.frombuffer(value, np.uint16, n), np.frombuffer(value, np.uint32, n, 2 * n), np.frombuffer(value, np.uint16, n, 6 * n)
+    n = len(value) // 7
+    high, low, number = np.frombuffer(value, np.uint8, n), np.frombuffer(value, np.uint32, n, n), np.frombuffer(value, np.uint16, n, 5 * n)
     return np.cumsum((high.astype(W.U) << W.U(32)) | low, dtype=W.U), number
 
 
@@ -96,13 +101,13 @@ class _Batch:
         leads[order[1:]] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]) | (n[order[1:]] != n[order[:-1]])
         sent = (leads & valid)[doc]
         doc, gram = doc[sent], gram[sent]
-        # From here on an n-gram is its bucket and its last 48 bits.
-        gram = ((gram >> W.U(48)) * W.U(buckets) >> W.U(16) << W.U(48)) | gram & W.U((1 << 48) - 1)
+        # From here on an n-gram is its bucket and its last bits.
+        gram = ((gram >> W.U(48)) * W.U(buckets) >> W.U(16) << W.U(LOW_BITS)) | gram & W.U((1 << LOW_BITS) - 1)
         order = np.lexsort((doc, gram))
         doc, gram = doc[order].astype(W.U), gram[order]
         start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(gram)))
-        token, low = gram >> W.U(48), gram & W.U((1 << 48) - 1)
+        token, low = gram >> W.U(LOW_BITS), gram & W.U((1 << LOW_BITS) - 1)
         common = count >= COMMON
         c_at = start[common]
         c_token = gram[c_at]
@@ -215,7 +220,7 @@ def _order(percent: int):
         c_first = np.concatenate([[0], np.cumsum(c_count)])
         rows = [r for r in rows if not r["kind"]]
         parts = [(*unpacked(r["a"]), np.frombuffer(r["b"], np.uint16), _u64(r["c"])[0]) for r in rows] or [(np.zeros(0, W.U), np.zeros(0, np.uint16), np.zeros(0, np.uint16), W.U(0))]
-        token = np.concatenate([(bucket << W.U(48)) | low for low, _, _, bucket in parts]).view(np.int64)
+        token = np.concatenate([(bucket << W.U(LOW_BITS)) | low for low, _, _, bucket in parts]).view(np.int64)
         number = np.concatenate([x[1] for x in parts]).astype(np.int64)
         total = np.concatenate([x[2] for x in parts])
         every = number == ALL

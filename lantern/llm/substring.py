@@ -24,11 +24,11 @@ from lantern.llm import _words as W
 from lantern.llm._storage import materialise
 
 #: Text of a batch in which equal blocks are put together before the shuffle.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Bits of the filters that tell tasks which anchors are shared: 16 an anchor, within these bounds (16 MB at most).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
-#: Spans of this many documents at most are broadcast to the documents; beyond it the texts are shuffled.
-BROADCAST_SPANS = 400_000
+#: Spans of this many documents, and eight times as many spans, are broadcast at most; beyond it texts are shuffled.
+BROADCAST_SPANS = 10_000
 
 SPANS = "array<struct<start:int,end:int,source:long>>"
 
@@ -79,6 +79,7 @@ def _batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[n
             marks.append(hashes[c.docs])
             if own.size >= BATCH_BYTES:
                 yield np.concatenate(ids), np.concatenate(marks), own
+                W.release_memory()
                 ids, marks, own = [], [], _Blocks(window)
     if own.docs:
         yield np.concatenate(ids), np.concatenate(marks), own
@@ -221,14 +222,14 @@ def covered(spans: list[dict] | None, n: int) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, found: DataFrame, key: str, column: str) -> DataFrame:
-    """``docs`` with ``spans``. Rows without a key are joined with nothing, apart from the others."""
+    """``docs`` with ``_spans``. Rows without a key are joined with nothing, apart from the others."""
     size = found.count()
-    right = found.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), "spans")
+    right = found.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
     if size <= BROADCAST_SPANS and (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= 8 * BROADCAST_SPANS:
         right = F.broadcast(right)
     keyed, rest = docs.filter(docs[key].isNotNull()), docs.filter(docs[key].isNull())
     joined = keyed.join(right, (keyed[key].cast("long") == F.col("_doc")) & (F.xxhash64(keyed[column]) == F.col("_mark")), "left").drop("_doc", "_mark")
-    return joined.unionByName(rest.withColumn("spans", F.lit(None).cast(SPANS)))
+    return joined.unionByName(rest.withColumn("_spans", F.lit(None).cast(SPANS)))
 
 
 def kept_words(docs: DataFrame, window: int = 50, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -257,8 +258,9 @@ def kept_words(docs: DataFrame, window: int = 50, key: str = "doc_id", column: s
                 removed.append(len(words) - len(kept))
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["key", "n_words", "n_removed", "kept_sha256"])
+            W.release_memory()
 
-    return joined.select("key", "text", "spans").mapInArrow(run, f"key {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("key", key)
+    return joined.select("key", "text", "_spans").mapInArrow(run, f"key {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("key", key)
 
 
 def cut_text(text: bytes, spans: list[dict]) -> bytes:
@@ -276,7 +278,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", colum
 
     All else of a text stays byte for byte, and documents without repeats stay as they are, empty ones too.
     """
-    joined = _with_spans(docs, factors(docs, window, key, column), key, column)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names that clash with none of ours
+    own_key, own_text = (f"c{docs.columns.index(c)}" for c in (key, column))
+    joined = _with_spans(plain, factors(docs, window, key, column), own_key, own_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,11 +288,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", colum
             cut = [cut_text(t, s) if s else t for t, s in zip(texts, spans)]
             keep = [not s or bool(t.strip()) for t, s in zip(cut, spans)]
             values = [t.decode() if s else None for t, s in zip(cut, spans)]
-            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(keep, pa.bool_()), *batch.columns[2:]], names=names)
-
-    others = [c for c in joined.columns if c not in (column, "spans")]
-    names = ["_cut", "_keep", "_text", *[f"_c{i}" for i in range(len(others))]]
-    schema = T.StructType([T.StructField("_cut", T.StringType()), T.StructField("_keep", T.BooleanType()), T.StructField("_text", docs.schema[column].dataType)] + [T.StructField(f"_c{i}", docs.schema[c].dataType) for i, c in enumerate(others)])
-    changed = joined.select(F.col(column).cast("string"), "spans", F.col(column).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(others)]).mapInArrow(run, schema).filter("_keep")
-    back = {column: F.coalesce("_cut", "_text"), **{c: F.col(f"_c{i}") for i, c in enumerate(others)}}
-    return changed.select(*[back[c].alias(c) for c in docs.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(keep, pa.bool_()), *batch.columns[2:]], names=schema.names)
+
+    schema = T.StructType([T.StructField("_cut", T.StringType()), T.StructField("_keep", T.BooleanType()), *plain.schema.fields])
+    changed = joined.select(F.col(own_text).cast("string").alias("_text"), "_spans", *plain.columns).mapInArrow(run, schema).filter("_keep")
+    return changed.select(*[(F.coalesce("_cut", c) if c == own_text else F.col(c)).alias(name) for c, name in zip(plain.columns, docs.columns)])
