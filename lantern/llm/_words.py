@@ -14,12 +14,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes of text handled at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of text that a task takes from an Arrow batch at once.
+PIECE_BYTES = 4 << 20
+#: Powers kept for later chunks; more are computed anew for each longer text.
+KEPT_POWERS = 1 << 20
 
 _rng = np.random.default_rng(20240601)
 _BYTE_VALUE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -46,7 +51,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             a = np.full(size, base, U)
             a[0] = 1
             tables.append(np.cumprod(a, dtype=U))
-        if size > 4 * CHUNK_BYTES:
+        if size > KEPT_POWERS:
             return tuple(tables)
         _powers = tuple(tables)
     return _powers
@@ -104,6 +109,16 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices with about PIECE_BYTES of text in ``column``, so that few texts are held as objects."""
+    for batch in batches:
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64) + 64
+        edge = np.flatnonzero(np.diff(np.cumsum(size) // PIECE_BYTES)) + 1
+        for lo, hi in zip([0, *edge], [*edge, len(size)]):
+            if lo < hi:
+                yield batch.slice(lo, hi - lo)
+
+
 def chunked(texts: list[bytes]) -> Iterator[list[int]]:
     own, size = [], 0
     for i, x in enumerate(texts):

@@ -87,7 +87,7 @@ def _windows(sizes: list[int], known):
     """(id, words, hash, position, length, slots) of windows; with ``known``, only of those that may be known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.pieces(batches, 1):
             ids = np.asarray(batch.column(0), np.int64)
             for c, slot in templates(W.as_bytes(batch.column(1))):
                 counts = c.counts()

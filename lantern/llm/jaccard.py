@@ -136,7 +136,7 @@ def _pack(words: int, buckets: int):
             for row in own.rows((part << 24) | serial, buckets):
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=names)
 
-        for batch in batches:
+        for batch in W.pieces(batches, 1):
             keys = batch.column(0)
             valid = ~np.asarray(keys.is_null())
             ids = np.asarray(keys.fill_null(0), np.int64)

@@ -71,7 +71,8 @@ class _Blocks:
 
 def _batches(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, _Blocks]]:
     ids, marks, own = [], [], _Blocks(window)
-    for batch in batches:
+    W.release_memory()
+    for batch in W.pieces(batches, 2):
         keys, hashes = np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64)
         for c in W.word_chunks(W.as_bytes(batch.column(2)), lower=False):
             own.add(c)
@@ -244,7 +245,7 @@ def kept_words(docs: DataFrame, window: int = 50, key: str = "doc_id", column: s
     joined = _with_spans(docs.select(docs[key].alias("key"), docs[column].cast("string").alias("text")), factors(docs, window, key, column), "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.pieces(batches, 1):
             texts, spans = W.as_bytes(batch.column(1)), batch.column(2)
             n, removed, digest = [], [], []
             for i, text in enumerate(texts):
@@ -283,7 +284,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", colum
     joined = _with_spans(plain, factors(docs, window, key, column), own_key, own_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.pieces(batches, 0):
             texts, spans = W.as_bytes(batch.column(0)), batch.column(1).to_pylist()
             cut = [cut_text(t, s) if s else t for t, s in zip(texts, spans)]
             keep = [not s or bool(t.strip()) for t, s in zip(cut, spans)]

@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows:
     texts = docs.select(docs[key].cast("long").alias("id"), docs[column].cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.pieces(batches, 1):
             lists = [None] * batch.num_rows
             for c, feature in feature_chunks(W.as_bytes(batch.column(1))):
                 d, f = _distinct(c.doc, feature)
@@ -181,7 +181,7 @@ def score(docs: DataFrame, chain: list[Link], categories: Sequence[str], thresho
     shared = spark.sparkContext.broadcast(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.pieces(batches, 1):
             p = probabilities(shared.value, W.as_bytes(batch.column(1))) if shared.value else np.zeros((n, batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, p), pa.array(p[-1] >= threshold)], names=names)
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from lantern.llm import _words as W
 
@@ -31,3 +32,12 @@ def test_spans_hash_alike_anywhere():
     s = W.prefix_sums(v)
     a, b = W.span_hash(s, np.array([3, 4]), np.array([9, 10])), W.span_hash(s, np.array([23, 5]), np.array([29, 11]))
     assert a[0] == b[0] and a[1] != b[1]
+
+
+def test_pieces_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(W, "PIECE_BYTES", 200)
+    texts = ["x" * 90, None, "", "y" * 1000, "z", "z"] * 3
+    batches = [pa.record_batch({"t": pa.array(texts, pa.string())}), pa.record_batch({"t": pa.array([], pa.string())})]
+    found = list(W.pieces(iter(batches), 0))
+    assert sum([x.column(0).to_pylist() for x in found], []) == texts
+    assert len(found) > 6 and all(x.num_rows for x in found)
