@@ -4,6 +4,10 @@ Words become a template: numbers, names and units after numbers are typed placeh
 themselves in lower case. Windows of template words are joined by hash, so a question whose numbers or names were
 changed still meets its original. A run of joined windows counts if its slots are consistent: equal values of the
 benchmark stand against equal values of the document, and different against different ones.
+
+Whether the capital of a sentence's first word is that of a name can't be told, and a quotation may move the word or
+change its case. So a window has up to three templates: first words as themselves, capitalised first words as names
+too, and all words as themselves. Any template of a benchmark window may meet any of a document's.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lantern.llm import _words as W
@@ -34,7 +38,7 @@ UNITS = (
     "dollar dollars euro euros cent cents percent degree degrees mph kph hz khz mhz ghz kb mb gb tb w kw kwh v a j kj cal kcal"
 ).split()
 
-_SCHEMA = "id long, size int, hash long, pos int, length int, slots array<string>"
+_SCHEMA = "id long, copy long, size int, hash long, pos int, length int, plain boolean, offsets array<int>, slots array<string>"
 _NUMBER, _NAME, _UNIT = W.mix(np.array([1, 2, 3], W.U))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -53,10 +57,11 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(chunk.hash)
 
 
-def templates(texts: list[bytes]) -> Iterator[tuple[W.Chunk, np.ndarray]]:
-    """Chunks whose word hashes are of the template, and which words are placeholders.
+def templates(texts: list[bytes]) -> Iterator[tuple[W.Chunk, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Chunks, and of each template the word hashes and which words are placeholders.
 
-    A name is a capitalised word (A-Z, or a capital of Latin-1) that doesn't begin a sentence.
+    A name is a capitalised word (A-Z, or a capital of Latin-1): in the first template one that doesn't begin a
+    sentence, in the second any. The third has no placeholders.
     """
     units = _unit_hashes()
     for docs in W.chunked(texts):
@@ -67,7 +72,7 @@ def templates(texts: list[bytes]) -> Iterator[tuple[W.Chunk, np.ndarray]]:
         start, end = W.edges(inside)
         c = W.assemble(docs, raw, W.LOWER[raw], base, start, end)
         if not len(start):
-            yield c, np.zeros(0, bool)
+            yield c, [(c.hash, np.zeros(0, bool))] * 3
             continue
         stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
         begins = np.ones(len(start), bool)
@@ -75,42 +80,105 @@ def templates(texts: list[bytes]) -> Iterator[tuple[W.Chunk, np.ndarray]]:
         number = digit[start]
         second = raw[np.minimum(start + 1, len(raw) - 1)]
         capital = _CAPITAL[raw[start]] | (raw[start] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
-        name = capital & ~begins & ~number
         after = np.zeros(len(start), bool)
         after[1:] = number[:-1] & (c.doc[1:] == c.doc[:-1])
         unit = after & ~number & (units[np.minimum(np.searchsorted(units, c.hash), len(units) - 1)] == c.hash)
-        c.hash = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, c.hash)))
-        yield c, number | unit | name
+        kinds = []
+        for name in (capital & ~begins & ~number, capital & ~number):
+            kinds.append((np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, c.hash))), number | unit | name))
+        yield c, [*kinds, (c.hash, np.zeros(len(start), bool))]
 
 
 def _windows(sizes: list[int], known):
-    """(id, words, hash, position, length, slots) of windows; with ``known``, only of those that may be known."""
+    """(id, text, words, hash, position, length, first template, offsets and values of slots) of windows.
+
+    With ``known``, only of those that may be known. Templates that are equal in a window count once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.pieces(batches, 1):
-            ids = np.asarray(batch.column(0), np.int64)
-            for c, slot in templates(W.as_bytes(batch.column(1))):
+        for batch in W.pieces(batches, 2):
+            ids, copies = (np.asarray(batch.column(i), np.int64) for i in (0, 1))
+            for c, kinds in templates(W.as_bytes(batch.column(2))):
                 counts = c.counts()
+                text = None
                 for k in sizes:
-                    at, h = c.grams(k)
-                    if known is None:
-                        kept = (k == WINDOW) | (counts[c.doc[at]] == k)  # a short item is one window
-                    else:
-                        table = known.value
-                        place = h >> W.U(64 - FILTER_BITS.bit_length() + 1)
-                        kept = table[place.astype(np.int64)]
-                    at, h = at[kept], h[kept]
-                    if not len(at):
-                        continue
-                    text = c.data.tobytes()
-                    slots = [[text[c.start[j] : c.end[j]].decode() for j in range(i, i + k) if slot[j]] for i in at.tolist()]
-                    doc = c.doc[at]
-                    columns = [pa.array(ids[np.asarray(c.docs)[doc]]), pa.array(counts[doc], pa.int32()), pa.array(h.view(np.int64)), pa.array(at - c.first[doc], pa.int32()), pa.array(np.full(len(at), k), pa.int32()), pa.array(slots, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "size", "hash", "pos", "length", "slots"])
+                    first = None
+                    for hashes, slot in kinds:
+                        c.hash = hashes
+                        at, h = c.grams(k)
+                        plain = first is None
+                        if plain:
+                            first = h
+                        if known is None:
+                            kept = (k == WINDOW) | (counts[c.doc[at]] == k)  # a short item is one window
+                        else:
+                            table = known.value
+                            place = h >> W.U(64 - FILTER_BITS.bit_length() + 1)
+                            kept = table[place.astype(np.int64)]
+                        if not plain:
+                            kept = kept & (h != first)
+                        at, h = at[kept], h[kept]
+                        if not len(at):
+                            continue
+                        text = text or c.data.tobytes()
+                        offsets = [[j for j in range(k) if slot[i + j]] for i in at.tolist()]
+                        slots = [[text[c.start[i + j] : c.end[i + j]].decode() for j in own] for i, own in zip(at.tolist(), offsets)]
+                        doc = c.doc[at]
+                        row = np.asarray(c.docs)[doc]
+                        columns = [pa.array(ids[row]), pa.array(copies[row]), pa.array(counts[doc], pa.int32()), pa.array(h.view(np.int64)), pa.array(at - c.first[doc], pa.int32()), pa.array(np.full(len(at), k), pa.int32()), pa.array(np.full(len(at), plain))]
+                        columns += [pa.array(offsets, pa.list_(pa.int32())), pa.array(slots, pa.list_(pa.string()))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["id", "copy", "size", "hash", "pos", "length", "plain", "offsets", "slots"])
 
     return run
 
 
+def _runs(windows: list[dict]) -> Iterator[tuple[int, int, dict[int, tuple[str, str]]]]:
+    """(first word, words, slots) of the runs of windows at consecutive words, by the words of the item.
+
+    The slots are (item's value, document's value) by the item's word.
+    """
+    start, last, length, pairs = 0, None, 0, {}
+    for w in sorted(windows, key=lambda w: w["pos"]):
+        if last is not None and w["pos"] > last + 1:
+            yield start, last - start + length, pairs
+            last = None
+        if last is None:
+            start, pairs = w["pos"], {}
+        last, length = w["pos"], w["length"]
+        pairs.update((last + i, x) for i, x in zip(w["offsets"], zip(w["slots"], w["values"])))
+    if last is not None:
+        yield start, last - start + length, pairs
+
+
+def _consistent(pairs: set[tuple[str, str]]) -> bool:
+    return len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+
+
+def _found(size: int, windows: list[dict]) -> Iterator[tuple[int, int, bool]]:
+    """(words, first word, exact) of the runs that count; those of the first template alone count by themselves."""
+    least = min(LEAST_RUN, max(size - 1, LEAST_ITEM))
+    for chosen in ([w for w in windows if w["plain"]], windows):
+        for start, n, slots in _runs(chosen):
+            pairs = set(slots.values())
+            # A run that is mostly slots is a list of values, not a passage.
+            if n >= least and 2 * len(pairs) <= n and _consistent(pairs):
+                yield n, start, all(a == b for a, b in pairs)
+
+
+def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, item, n_words, start, exact): the longest run of each line of windows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2000):
+            rows = []
+            for r in batch.slice(lo, 2000).to_pylist():
+                best = min(((-n, start, not exact) for n, start, exact in _found(r["size"], r["windows"])), default=None)
+                if best:
+                    rows.append((r["doc"], r["item"], -best[0], r["shift"] + best[1], not best[2]))
+            columns = zip(*rows) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["doc", "item", "n_words", "start", "exact"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: str = "text", item_key: str = "item_id", item_column: str = "text") -> DataFrame:
     """(key, item_id, n_words, start, exact): benchmark items found in documents, with the longest run of each pair.
 
@@ -119,10 +187,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: st
     keys count as one document or item. Empty inputs give no rows; other columns are not read.
 
     One pass over the documents; what is broadcast is a filter of FILTER_BITS and, if they are few, the benchmark's
-    windows. Only windows that pass the filter are joined, and runs form within one pair of document and item.
+    windows. Only windows that pass the filter are joined, and runs form within one pair of document and item, in which
+    a task holds no more windows than a few times the item's words.
     """
     spark = docs.sparkSession
-    items = benchmark.filter(benchmark[item_key].isNotNull()).select(benchmark[item_key].cast("long").alias("id"), benchmark[item_column].cast("string").alias("text"))
+    items = benchmark.filter(benchmark[item_key].isNotNull()).select(benchmark[item_key].cast("long").alias("id"), F.xxhash64(benchmark[item_column]).alias("copy"), benchmark[item_column].cast("string").alias("text"))
     asked = materialise(items.mapInArrow(_windows(list(range(LEAST_ITEM, WINDOW + 1)), None), _SCHEMA).distinct(), "benchmark-windows")
     sizes = sorted(r[0] for r in asked.select("length").distinct().collect())  # WINDOW - LEAST_ITEM + 1 at most
     places = asked.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS.bit_length() + 1).alias("place")).distinct().toArrow()["place"].to_numpy()
@@ -130,28 +199,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: st
     table[places] = True
     known = spark.sparkContext.broadcast(table)
 
-    texts = docs.filter(docs[key].isNotNull()).select(docs[key].cast("long").alias("id"), docs[column].cast("string").alias("text"))
-    met = texts.mapInArrow(_windows(sizes, known), _SCHEMA).select(F.col("id").alias("doc"), "hash", "length", F.col("pos").alias("at"), F.col("slots").alias("values"))
-    right = asked.select(F.col("id").alias("item"), "size", "hash", "length", "pos", "slots")
+    texts = docs.filter(docs[key].isNotNull()).select(docs[key].cast("long").alias("id"), F.xxhash64(docs[column]).alias("copy"), docs[column].cast("string").alias("text"))
+    met = texts.mapInArrow(_windows(sizes, known), _SCHEMA).select(F.col("id").alias("doc"), F.col("copy").alias("doc_copy"), "hash", "length", F.col("pos").alias("at"), F.col("plain").alias("doc_plain"), F.col("slots").alias("values"))
+    right = asked.select(F.col("id").alias("item"), "copy", "size", "hash", "length", "pos", "plain", "offsets", "slots")
     if asked.count() <= BROADCAST_WINDOWS:
         right = F.broadcast(right)
     met = met.join(right, ["hash", "length"]).filter(F.size("values") == F.size("slots"))
-    met = met.select("doc", "item", "size", "length", "pos", (F.col("at") - F.col("pos")).alias("shift"), F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b")).alias("pairs")).distinct()
-    line = Window.partitionBy("doc", "item", "shift").orderBy("pos")
-    runs = met.withColumn("run", F.col("pos") - F.row_number().over(line))
-    runs = runs.groupBy("doc", "item", "size", "shift", "run").agg(
-        F.min("pos").alias("pos"),
-        (F.max("pos") - F.min("pos") + F.max("length")).alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
-    )
-    a, b = F.transform("pairs", lambda x: x["a"]), F.transform("pairs", lambda x: x["b"])
-    consistent = (F.size(F.array_distinct(a)) == F.size("pairs")) & (F.size(F.array_distinct(b)) == F.size("pairs"))
-    long_enough = F.col("n_words") >= F.least(F.lit(LEAST_RUN), F.greatest(F.col("size") - 1, F.lit(LEAST_ITEM)))
-    # A run that is mostly slots is a list of values, not a passage.
-    worded = 2 * F.size("pairs") <= F.col("n_words")
-    best = runs.filter(consistent & long_enough & worded).select("doc", "item", "n_words", (F.col("shift") + F.col("pos")).alias("start"), (~F.exists("pairs", lambda x: x["a"] != x["b"])).alias("exact"))
+    window = F.struct("pos", "length", (F.col("plain") & F.col("doc_plain")).alias("plain"), "offsets", "slots", "values")
+    lines = met.groupBy("doc", "doc_copy", "item", "copy", "size", (F.col("at") - F.col("pos")).alias("shift")).agg(F.collect_set(window).alias("windows"))
+    best = lines.select("doc", "item", "size", "shift", "windows").mapInArrow(_longest, "doc long, item long, n_words long, start long, exact boolean")
     best = best.groupBy("doc", "item").agg(F.min(F.struct((-F.col("n_words")).alias("n"), "start", (~F.col("exact")).alias("changed"))).alias("x"))
-    return best.select(F.col("doc").alias(key), F.col("item").alias("item_id"), (-F.col("x.n")).cast("long").alias("n_words"), F.col("x.start").cast("long").alias("start"), (~F.col("x.changed")).alias("exact"))
+    return best.select(F.col("doc").alias(key), F.col("item").alias("item_id"), (-F.col("x.n")).alias("n_words"), F.col("x.start").alias("start"), (~F.col("x.changed")).alias("exact"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:

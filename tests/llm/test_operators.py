@@ -110,6 +110,16 @@ def test_leaks_against_search(spark):
     assert {(x["doc_id"], x["item_id"]) for x in found.collect()} == truth
 
 
+def test_leaks_at_openings_of_sentences(spark):
+    item = "Tom has 3 cats. Ann has 4 dogs. Bob has 9 fish. How many animals do they have?"
+    changed = "Eva has 5 cats. Jim has 7 dogs. Lea has 8 fish. How many animals do they have?"
+    short = "Whales breathe air through blowholes daily"
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    rows = [(1, changed), (2, "we read that Whales breathe air through blowholes daily and more"), (3, "we read that whales breathe air through blowholes daily"), (4, "Tom has a cat. Ann has a dog.")]
+    found = {(r["doc_id"], r["item_id"]): (r["n_words"], r["start"], r["exact"]) for r in decontaminate.leaks(docs_of(spark, rows), bench).collect()}
+    assert found == {(1, 1): (18, 0, False), (2, 2): (6, 3, True), (3, 2): (6, 3, True)}
+
+
 # 4
 
 
