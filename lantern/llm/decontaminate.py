@@ -25,7 +25,7 @@ from lantern.llm._storage import light, materialise
 WINDOW = 8
 #: A run must have so many words, or all but one of a shorter item.
 LEAST_RUN = 13
-#: Items of fewer words are common phrases and are not searched.
+#: Items of fewer words are common phrases: they are one window, and only their exact words are matched.
 LEAST_ITEM = 5
 #: Benchmark windows that are broadcast to the join at most; beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 200_000
@@ -103,7 +103,7 @@ def _windows(sizes: list[int], known):
                 text = None
                 for k in sizes:
                     first = None
-                    for hashes, slot in kinds:
+                    for hashes, slot in kinds if k >= LEAST_ITEM else kinds[-1:]:
                         c.hash = hashes
                         at, h = c.grams(k)
                         plain = first is None
@@ -154,15 +154,34 @@ def _consistent(pairs: set[tuple[str, str]]) -> bool:
     return len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
 
 
+def _parts(start: int, n: int, slots: dict[int, tuple[str, str]]) -> Iterator[tuple[int, int, set[tuple[str, str]]]]:
+    """(first word, words, slots) of a run, or if it has clashing slots, of what is left without a few words at its edges.
+
+    Parts that leave off LEAST_ITEM words or more don't count: values that clash in the middle are no renaming.
+    """
+    for cut in range(LEAST_ITEM):
+        parts = [(start + lead, n - cut, {x for i, x in slots.items() if start + lead <= i < start + lead + n - cut}) for lead in range(cut + 1)]
+        kept = [x for x in parts if _consistent(x[2])]
+        if kept:
+            yield from kept
+            return
+
+
 def _found(size: int, windows: list[dict]) -> Iterator[tuple[int, int, bool]]:
-    """(words, first word, exact) of the runs that count; those of the first template alone count by themselves."""
-    least = min(LEAST_RUN, max(size - 1, LEAST_ITEM))
+    """(words, first word, exact) of the runs that count.
+
+    Runs of windows with equal values always do; those of the first template, and of all, if their slots are consistent.
+    """
+    least = size if size < LEAST_ITEM else min(LEAST_RUN, max(size - 1, LEAST_ITEM))
+    for start, n, _ in _runs([w for w in windows if w["slots"] == w["values"]]):
+        if n >= least:
+            yield n, start, True
     for chosen in ([w for w in windows if w["plain"]], windows):
         for start, n, slots in _runs(chosen):
-            pairs = set(slots.values())
-            # A run that is mostly slots is a list of values, not a passage.
-            if n >= least and 2 * len(pairs) <= n and _consistent(pairs):
-                yield n, start, all(a == b for a, b in pairs)
+            for first, words, pairs in _parts(start, n, slots):
+                # A changed run that is mostly slots is a list of values, not a passage.
+                if words >= least and 2 * len(pairs) <= words:
+                    yield words, first, all(a == b for a, b in pairs)
 
 
 def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +211,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: st
     """
     spark = docs.sparkSession
     items = benchmark.filter(benchmark[item_key].isNotNull()).select(benchmark[item_key].cast("long").alias("id"), F.xxhash64(benchmark[item_column]).alias("copy"), benchmark[item_column].cast("string").alias("text"))
-    asked = materialise(items.mapInArrow(_windows(list(range(LEAST_ITEM, WINDOW + 1)), None), _SCHEMA).distinct(), "benchmark-windows")
-    sizes = sorted(r[0] for r in asked.select("length").distinct().collect())  # WINDOW - LEAST_ITEM + 1 at most
+    asked = materialise(items.mapInArrow(_windows(list(range(1, WINDOW + 1)), None), _SCHEMA).distinct(), "benchmark-windows")
+    sizes = sorted(r[0] for r in asked.select("length").distinct().collect())  # WINDOW at most
     places = asked.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS.bit_length() + 1).alias("place")).distinct().toArrow()["place"].to_numpy()
     table = np.zeros(FILTER_BITS, bool)
     table[places] = True

@@ -120,6 +120,15 @@ def test_leaks_at_openings_of_sentences(spark):
     assert found == {(1, 1): (18, 0, False), (2, 2): (6, 3, True), (3, 2): (6, 3, True)}
 
 
+def test_leaks_of_values_and_short_items(spark):
+    head = "the old gardener waters every single plant behind the quiet house before the sun rises and leaves"
+    items = [(1, "What is 12 + 7 - 3 * 5"), (2, "Ann, Bob, Cyd, Dee, Eve, Fay, Gil"), (3, f"{head} 2 of 2"), (4, "Define quiet entropy")]
+    rows = [(1, "so what is 12 + 7 - 3 * 5 then"), (2, "for Ann, Bob, Cyd, Dee, Eve, Fay, Gil it was"), (3, f"{head} 2 of 6"), (4, f"{head} 3 of 6"), (5, "define quiet entropy, they said"), (6, "define loud entropy"), (7, "what is 13 + 8 - 4 * 6")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.leaks(docs_of(spark, rows), bench).collect()}
+    assert found == {(1, 1): True, (2, 2): True, (3, 3): True, (4, 3): False, (5, 4): True}
+
+
 # 4
 
 
