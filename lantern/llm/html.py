@@ -4,7 +4,8 @@ A page becomes text blocks, each inside or outside a main container. Pages are p
 each with the neighbour in path order that shares more of the path. Lines that the longest common subsequence aligns
 between the outer blocks of a pair are the site's furniture and are deleted. Where a page marks its article, that
 container is the article and is kept whole, since near copies on one host share article lines too; only pages without
-such a mark take their text from the outer blocks that are left.
+such a mark take their text from the outer blocks that are left. Unmarked pages with the same blocks are paired as one
+page, and nothing is deleted from a pair that is nearly equal.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ MARKS = frozenset(
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(["article", "main"])
+#: A pair of pages of whose characters more than this share aligns, on both sides, is one page twice: nothing is deleted.
+SAME_PAGE = 0.9
 
 
 def blocks(page: str) -> list[tuple[bool, str]]:
@@ -182,10 +185,15 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", column: st
     """
     parsed = materialise(parse_pages(pages, key, url, column), "pages")
     bare = parsed.filter(~F.col("has_main") & (F.size("outer") > 0))
-    others = neighbours(parsed.filter(F.col("host") != "")) if bare.take(1) else None
-    if others is None:
+    if not bare.take(1):
         result = parsed.select("key", "url", "text")
     else:
+        # Copies of an unmarked page under other URLs align on their article: the first of them stands for all.
+        hosted = parsed.filter(F.col("host") != "").withColumn("body", F.when(F.col("has_main"), F.col("row")).otherwise(F.xxhash64("outer")))
+        first = hosted.groupBy("host", "body").agg(F.min(F.struct("path", "row")).alias("first")).select("host", "body", "first.*")
+        others = neighbours(first).withColumnRenamed("row", "first")
+        copies = hosted.filter(~F.col("has_main")).select("row", "host", "body").distinct()
+        others = copies.join(first.select("host", "body", F.col("row").alias("first")), ["host", "body"]).join(others, "first").select("row", "other")
         lines = parsed.select("row", "outer").dropDuplicates(["row"])
         pairs = bare.dropDuplicates(["row"]).select("row", "outer").join(others, "row").join(lines.select(F.col("row").alias("other"), F.col("outer").alias("other_outer")), "other")
 
@@ -194,6 +202,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", column: st
                 rows, texts = [], []
                 for row, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                     shared = set(lcs(a, b))
+                    size = sum(len(a[i]) for i in shared)
+                    if size > SAME_PAGE * max(sum(map(len, a)), sum(map(len, b))):
+                        shared = set()
                     rows.append(row)
                     texts.append("\n\n".join(x for i, x in enumerate(a) if i not in shared))
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(texts, pa.string())], names=["row", "left"])

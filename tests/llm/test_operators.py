@@ -149,6 +149,18 @@ def test_pages(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_copies_keep_their_article(spark):
+    bare = lambda text: f"<body><div>Site name</div>{text}<div>Imprint</div></body>"
+    long = "".join(f"<p>paragraph {i} tells a story of its own at some length</p>" for i in range(20))
+    rows = [
+        (1, "http://a.org/n/1", bare("<p>first</p>")), (2, "http://a.org/n/1?utm=x", bare("<p>first</p>")), (3, "http://a.org/n/1/print", bare("<p>first</p>")), (4, "http://a.org/z", bare("<p>other</p>")),
+        (5, "http://b.org/n/1", bare(long)), (6, "http://b.org/n/1/print", bare(long + "<p>printed</p>")),
+    ]
+    text = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [text[k] for k in (1, 2, 3, 4)] == ["first", "first", "first", "other"]
+    assert all(f"paragraph {i} tells" in text[k] for i in range(20) for k in (5, 6)) and "printed" in text[6]
+
+
 def test_lcs_against_a_table():
     r = random.Random(9)
     for _ in range(200):
