@@ -62,22 +62,24 @@ class Link:
 
 
 class Rows:
-    """Sparse presence features of some documents."""
+    """Sparse presence features of some documents, numbered densely: ``values`` are the features that occur."""
 
     def __init__(self, lists: Sequence[Sequence[int]]):
         self.n = len(lists)
         self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in lists])
-        self.feature = np.concatenate([np.asarray(x, np.int32) for x in lists]) if self.n else np.zeros(0, np.int32)
+        feature = np.concatenate([np.asarray(x, np.int32) for x in lists]) if self.n else np.zeros(0, np.int32)
+        self.values = np.unique(feature)
+        self.feature = np.searchsorted(self.values, feature).astype(np.int32)
 
     def sums(self, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        table = np.zeros(1 << FEATURE_BITS)
-        table[features] = weights
+        table = np.zeros(len(self.values))
+        table[np.searchsorted(self.values, features)] = weights
         return np.bincount(self.doc, table[self.feature], self.n)
 
 
 def _fit(category: str, rows: Rows, keep: np.ndarray, y: np.ndarray, before: list[np.ndarray]) -> Link:
     """Logistic regression with an L2 penalty on the rows in ``keep``; both classes weigh the same."""
-    size = 1 << FEATURE_BITS
+    size = len(rows.values)
     mine = keep[rows.doc]
     doc, feature = rows.doc[mine], rows.feature[mine]
     n1, n0 = max(1, int((keep & (y > 0)).sum())), max(1, int((keep & (y == 0)).sum()))
@@ -102,7 +104,7 @@ def _fit(category: str, rows: Rows, keep: np.ndarray, y: np.ndarray, before: lis
         moments[1] = 0.99 * moments[1] + 0.01 * g * g
         move = 0.1 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
         w, e = w - move[: len(w)], e - move[len(w) :]
-    return Link(category, float(e[0]), chosen, w, e[1:])
+    return Link(category, float(e[0]), rows.values[chosen], w, e[1:])
 
 
 def fit_chain(lists: Sequence[Sequence[int]], ids: Sequence[int], labels: dict[str, np.ndarray]) -> list[Link]:
@@ -130,7 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows:
 
     ``categories`` maps each category, in chain order, to an SQL expression over ``labels`` that is 0 or 1. Labels
     with a null among them or a null key are left out; of several labels of a key the largest counts, and a key that
-    stands on several documents is trained on each of the first ``rows`` of them. Only these rows reach the driver.
+    stands on several documents is trained on each of the first ``rows`` of them. Null and empty texts have no words.
+
+    The bounded sample is fitted in one task of an executor; only the chosen weights reach the driver.
     """
     y = {c: F.expr(e).cast("int") for c, e in categories.items()}
     known = labels.select(labels[key].cast("long").alias("id"), *[v.alias(f"y_{i}") for i, v in enumerate(y.values())]).dropna()
@@ -147,10 +151,22 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows:
                     lists[i] = own.astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(lists, pa.list_(pa.int32()))], names=names)
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = pa.Table.from_batches(batches, sample_schema).sort_by("id")
+        lists = [x.values.to_numpy() for x in sample["features"]]
+        chain = fit_chain(lists, sample["id"].to_numpy(), {c: sample[f"y_{i}"].to_numpy() for i, c in enumerate(order)})
+        rows = [(i, x.category, x.bias, x.features.tolist(), x.weights.tolist(), x.earlier.tolist()) for i, x in enumerate(chain)]
+        columns = zip(*rows) if rows else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["link", "category", "bias", "features", "weights", "earlier"])
+
+    order = list(categories)
     names = ["id", *[f"y_{i}" for i in range(len(y))], "features"]
-    sample = texts.mapInArrow(run, "id long, " + ", ".join(f"y_{i} int" for i in range(len(y))) + ", features array<int>").limit(rows).toArrow().sort_by("id")
-    lists = [x.values.to_numpy() for x in sample["features"]]
-    return fit_chain(lists, sample["id"].to_numpy(), {c: sample[f"y_{i}"].to_numpy() for i, c in enumerate(y)})
+    sample_schema = pa.schema([("id", pa.int64()), *[(f"y_{i}", pa.int32()) for i in range(len(y))], ("features", pa.list_(pa.int32()))])
+    kinds = [pa.int32(), pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    features = texts.mapInArrow(run, "id long, " + ", ".join(f"y_{i} int" for i in range(len(y))) + ", features array<int>")
+    # The limit brings the bounded sample to one task.
+    fitted = features.limit(rows).mapInArrow(fit, "link int, category string, bias double, features array<int>, weights array<double>, earlier array<double>").toArrow().sort_by("link")
+    return [Link(x["category"], x["bias"], np.array(x["features"], np.int32), np.array(x["weights"], float), np.array(x["earlier"], float)) for x in fitted.to_pylist()]
 
 
 def probabilities(chain: list[Link], texts: list[bytes]) -> np.ndarray:
@@ -193,7 +209,11 @@ def score(docs: DataFrame, chain: list[Link], categories: Sequence[str], thresho
 
 
 def keep(docs: DataFrame, chain: list[Link], threshold: float = THRESHOLD, column: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose last category is below the threshold. A narrow pass, no shuffle."""
+    """The rows of ``docs``, all columns, whose last category is below the threshold.
+
+    A null or empty text has the features of no words and stays unless the chain calls those toxic; without a fitted
+    chain every row stays. Repeated rows share a fate. A narrow pass, no shuffle.
+    """
     if not chain:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(chain)
