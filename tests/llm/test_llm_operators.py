@@ -161,6 +161,50 @@ def test_copies_keep_their_article(spark):
     assert all(f"paragraph {i} tells" in text[k] for i in range(20) for k in (5, 6)) and "printed" in text[6]
 
 
+def test_furniture_by_markup():
+    """Names inside an article are its own unless they mark an element that holds others; end tags may be left out."""
+    text = lambda page: html.article(*html.blocks(page)).split("\n\n")
+    assert text("<article><h2 id=search>Search methods</h2><section id='related-work'>R</section><section class='alert-systems'>A</section><p class='comment-free'>C<p class=notice>N</article>") == ["Search methods", "R", "A", "C", "N"]
+    assert text("<article><p class='ad'>Buy<p>Real one.<p>Real two.</article>") == ["Real one.", "Real two."]
+    assert text("<article><ul><li class='share'>x<li>y</ul><p>Z</article>") == ["y", "Z"]
+    assert text("<article><p>one <math><mi>x</mi>=1</math> two</p><object>fallback</object></article>") == ["one x=1 two", "fallback"]
+    assert text("<article>Long article text</article><article class='comment'>me too</article><section id=comments><article>reader</article></section>") == ["Long article text"]
+    assert text("<div class='layout with-sidebar'><form><article>A<p>B</article></form></div>") == ["A", "B"]
+    assert text("<form><div>whole page</div></form>") == ["whole page"] and text("<div>page with<form>name</form></div>") == ["page with"]
+    assert text("<div class='sidebar'><article>teaser</article></div><div>Long text of the page</div>") == ["Long text of the page"]
+    assert text("<table><tr><td class=nav>n<td>text<tr><td>more</table>after") == ["text", "more", "after"]
+    assert text("<article><div class='cookie-notice'>c</div><div class='share-buttons'>s</div><a class=share>s</a>t</article>") == ["t"]
+    assert text("") == text("<nav>a") == text("<p class='ad'>b") == [""] and text("</div></p>x</b>") == ["x"]
+
+
+def site(r, host, n, marked):
+    """Pages of a host in URL order with their article's lines; furniture is shared, partly without a mark of its own."""
+    top, foot = ([sentence(r, 4) for _ in range(3)] for _ in range(2))
+    pages, last = [], None
+    for i in range(n):
+        lines = [f"{host} {i} {sentence(r, r.randint(20, 60))}" for _ in range(r.choice([1, 3, 8, 200 if i == 4 else 5]))]
+        if last and marked and i % 3 == 0:  # a near copy
+            lines = [*last[:-1], lines[0]]
+        last = lines
+        shown = "".join(r.choice([f"<p>{x}", f"<p id='search'>{x}</p>", f"<div>{x}</div>", f"<ul><li>{x}</ul>", f"<h2 class='menu'>{x}</h2>"]) for x in lines)
+        extra = f"<p class=ad>only here {i}<p>" if i % 2 else f"<aside>news {i}</aside>"
+        body = "".join(f"<div>{x}</div>" for x in top) + (f"<article>{shown}{extra}</article>" if marked else f"{extra}{shown}") + "".join(f"<p>{x}" for x in foot)
+        pages.append((f"http://{host}/a/{i:03d}", f"<html><body><nav>menu {i}</nav>{body}<footer>f {i}</footer>", "\n\n".join(lines)))
+    return pages
+
+
+def test_articles_by_force(spark):
+    r = random.Random(15)
+    pages = [x for k in range(6) for x in site(r, f"h{k}.org", 12, k % 2 == 0)]
+    rows = [(i, url, page, 0) for i, (url, page, _) in enumerate(pages)]
+    rows += rows[:5]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, gone int")
+    found = html.extract(df).collect()
+    assert len(found) == len(rows) and all(x["text"] == pages[x["page_id"]][2] for x in found)
+    assert html.differences(html.parse_pages(df, "page_id").dropDuplicates(["row"])).count() == 36  # all pages without a mark
+
+
 def test_lcs_against_a_table():
     r = random.Random(9)
     for _ in range(200):

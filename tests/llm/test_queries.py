@@ -1,6 +1,8 @@
 """The registered queries over the smallest tables: against SQL where there is one, and the pipeline stage by stage."""
 
+import html
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -30,6 +32,18 @@ def test_matches_sql(spark, duck, name):
     assert Counter(tuple(r[c] for c in columns) for r in df.collect()) == Counter(result.fetchall())
 
 
+def test_extraction_by_force(spark):
+    """The driver's articles have paragraphs, bold text and line breaks only."""
+    found = {r["page_id"]: r for r in queries.QUERIES["op4_html_extraction"](spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(found) == len(pages)
+    for page in pages:
+        inside = re.search("<article>(.*)</article>", page["html"], re.S)[1]
+        lines = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in re.split("</?(?:p|h1)>", inside)]
+        text = "\n\n".join(x for x in lines if x)
+        assert found[page["page_id"]]["text"] == text and found[page["page_id"]]["n_chars"] == len(text) and found[page["page_id"]]["url"] == page["url"]
+
+
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
     assert numbers == list(range(1, 11))
