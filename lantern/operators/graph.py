@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lantern.operators.lineage import checkpointed
+from lantern.operators.lineage import stored
+
+#: Rounds of a closure whose frontiers are put together.
+MERGE = 8
 
 
 def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -18,7 +21,8 @@ def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
 def related(seeds: DataFrame, edges: DataFrame, max_depth: int, relations: list[str] | None = None, direction: str = "out") -> DataFrame:
     """(seed, node, depth): nodes within so many steps of each seed, at their least depth, the seed itself at 0.
 
-    Breadth first; each level joins the frontier with the edges and drops what is already known.
+    Breadth first; each level joins the frontier with the edges, drops what is already known and is written, so that
+    the next one doesn't compute it again.
     """
     steps = directed(edges, direction)
     if relations is not None:
@@ -29,6 +33,8 @@ def related(seeds: DataFrame, edges: DataFrame, max_depth: int, relations: list[
     for depth in range(1, max_depth + 1):
         met = frontier.join(steps, frontier["node"] == steps["source"]).select("seed", F.col("target").alias("node")).distinct()
         frontier = met.join(known.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        if depth < max_depth:
+            frontier = stored(frontier, "frontier")
         known = known.unionByName(frontier)
     return known
 
@@ -36,17 +42,22 @@ def related(seeds: DataFrame, edges: DataFrame, max_depth: int, relations: list[
 def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(seed, node): all nodes that each seed reaches, itself included; cycles end.
 
-    Each round joins only the nodes found in the last one. Rounds are checkpointed, so that neither the plan nor what
-    a lost executor costs grows with them.
+    Each round joins only the nodes found in the last one. Frontiers are written; every MERGE rounds they are put into
+    one table, so that neither the plan nor what a lost executor costs grows with the rounds, and what is known is
+    seldom written again.
     """
     steps = edges.select("source", "target").distinct()
     known = frontier = seeds.select("seed", F.col("seed").alias("node")).distinct()
+    rounds = 0
     while True:
         met = frontier.join(steps, frontier["node"] == steps["source"]).select("seed", F.col("target").alias("node")).distinct()
-        frontier = checkpointed(met.join(known, ["seed", "node"], "left_anti"))
+        frontier = stored(met.join(known, ["seed", "node"], "left_anti"), "frontier")
         if not frontier.take(1):
             return known
-        known = checkpointed(known.unionByName(frontier))
+        rounds += 1
+        known = known.unionByName(frontier)
+        if rounds % MERGE == 0:
+            known = stored(known, "known")
 
 
 def dependencies(references: DataFrame, units: DataFrame, scope: list[str]) -> DataFrame:
