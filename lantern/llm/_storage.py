@@ -2,44 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: Used only where the session names no shared checkpoint folder, as in tests.
-DEFAULT_FOLDER = "/tmp/checkpoints"
-
-_written: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_FOLDER
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a scan of it.
-
-    The scan has no lineage before the files, so a lost executor costs only the tasks it was running. Joins of two
-    such scans get their own exchanges, which adaptive execution can split where a key is hot.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lantern-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lantern.operators.lineage import purge, shared_folder, written  # noqa: F401
+from lantern.operators.lineage import stored as materialise  # noqa: F401
 
 
 def light(df: DataFrame, rows: int) -> DataFrame:
     """A written table, marked for broadcast if it has at most ``rows`` rows; a larger one is joined by shuffling."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def purge(spark: SparkSession) -> None:
-    """Delete the tables that this process wrote; call it once results that read them are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path.getParent(), True)
