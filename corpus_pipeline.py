@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.llm import bpe, decontaminate, jaccard, substring, toxicity
-from lantern.llm._storage import light, materialise
+from lantern.llm._storage import light, materialise, purge, written
 from lantern.llm.queries import CATEGORIES, table, vocabulary
 
 
@@ -52,8 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    """All stages over ``documents``, each written as Parquet and read again by the next.
+
+    What a stage wrote for itself is deleted when its result stands; tables of other queries stay.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = written()
         docs = materialise(stage(spark, docs, sf_dir), name)
+        purge(spark, keep=[*before, written()[-1]])
     return STAGES[-1][1](spark, docs, sf_dir)
