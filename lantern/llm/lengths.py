@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.llm._storage import materialise
+
 #: Lengths whose sums are formed in one task.
 BLOCK = 4096
 
@@ -54,8 +56,10 @@ def limits(histogram: DataFrame) -> DataFrame:
 
     Per length L: ``docs_from`` and ``tokens_from`` (documents and tokens of at least L), ``docs_to`` (at most L),
     ``truncated_tokens`` (tokens kept with limit L), ``lost_tokens``, ``total_docs``, ``total_tokens``, ``share_to``.
-    Blocks of BLOCK lengths are summed apart and joined by their totals, one row a block.
+    Blocks of BLOCK lengths are summed apart and joined by their totals, one row a block. The histogram, one row a
+    length, is written first: three sums read it, and the texts are encoded once.
     """
+    histogram = materialise(histogram, "histogram")
     h = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     totals = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
