@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.llm import bpe, chat, decontaminate, html, jaccard, lengths, sharding, substring, topk, toxicity
+from lantern.llm._storage import materialise
 
 #: Categories of the chain in order, as 0 or 1 over ``labels``.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -57,7 +58,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = topk.scaled(table(spark, sf_dir, "embeddings"))
+    rows = materialise(topk.scaled(table(spark, sf_dir, "embeddings")), "scaled")
     return topk.top_k(rows.filter(F.pmod("vec_id", F.lit(50)) == 0), rows, 5)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of queries and of candidates that meet in one task; both sides of a task are bounded by these.
@@ -13,16 +13,25 @@ SHARD_ROWS = 65_536
 #: Candidate columns of one matrix product.
 COLUMNS = 8_192
 FAN_IN = 32
+LARGEST = 2**63 - 1
 
 
 def scaled(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(vec_id, v): every component x as floor(scale * x), double; exact repeats of a row count once.
 
-    Rows with a null key, a null vector, or a null, NaN or infinite component take no part.
+    Rows with a null key, a null vector, or a null, NaN or infinite component take no part, nor do those with a
+    component that the scale takes beyond the largest double. Search reads the result several times: write it first.
     """
     v = F.col("v")
+
+    def component(x: Column) -> Column:
+        y = x * scale
+        # From 2**53 on a double has no fraction, and ``floor`` would end at the largest long.
+        whole = F.when(F.abs(y) < float(2**53), F.floor(y).cast("double")).otherwise(y)
+        return F.when((y < float("inf")) & (y > float("-inf")), whole)
+
     return (
-        vectors.select(vectors[key].cast("long").alias("vec_id"), F.transform(vectors[column].cast("array<double>"), lambda x: F.when((x < float("inf")) & (x > float("-inf")), F.floor(x * scale).cast("double"))).alias("v"))
+        vectors.select(vectors[key].cast("long").alias("vec_id"), F.transform(vectors[column].cast("array<double>"), component).alias("v"))
         .filter(F.col("vec_id").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull()))
         .dropDuplicates(["vec_id", "v"])
     )
@@ -36,7 +45,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
     else:
         floor = scores.min(axis=1)
     rows, columns = np.nonzero(scores >= floor[:, None])  # everything that ties with the k-th
-    order = np.lexsort((columns, -scores[rows, columns], rows))
+    order = np.lexsort((columns, ~scores[rows, columns] if scores.dtype == np.int64 else -scores[rows, columns], rows))
     rows, columns = rows[order], columns[order]
     first = np.searchsorted(rows, np.arange(len(scores) + 1))
     return [columns[a : min(a + k, b)] for a, b in zip(first[:-1], first[1:])]
@@ -63,6 +72,7 @@ def _tile(k: int):
                         scores = q_all[at : at + 256] @ part.T
                     else:
                         scores = np.frompyfunc(int, 1, 1)(q_all[at : at + 256]).dot(np.frompyfunc(int, 1, 1)(part).T)
+                        scores = np.clip(scores, -LARGEST - 1, LARGEST).astype(np.int64)
                     # A query's own rows stand in at most a few columns: take that many more and drop them.
                     a, b = np.searchsorted(part_ids, own, "left"), np.searchsorted(part_ids, own, "right")
                     for i, columns in enumerate(best(scores, part_ids, k + int((b - a).max(initial=0)))):
@@ -81,7 +91,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
 
     Both inputs are (vec_id, v) as from ``scaled``. Candidates with the query's own id are left out; ties go to the
     smaller vec_id; a query with fewer candidates gets all. Vectors meet only those of their own dimension. An id that
-    occurs with two different vectors gives each candidate its best score. Empty inputs give no rows.
+    occurs with two different vectors gives each candidate its best score. Empty inputs give no rows. A score beyond
+    a long counts as the largest or smallest long, ties among those again by vec_id.
 
     A task multiplies one tile of queries by one shard of candidates; tiles are copied to the shards and shards to
     the tiles, so neither side is ever whole in a task. Each shard passes on k rows a query, merged FAN_IN at a time.

@@ -376,6 +376,17 @@ def test_top_k_by_force(spark, monkeypatch, scale):
     assert topk.top_k(base.limit(0), base).count() == 0 and topk.top_k(base, base.limit(0)).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    """Scores beyond a long end at its limits; a component that leaves the doubles takes its row out."""
+    rows = [(0, [1e17, 1e17]), (1, [1e17, 1e17]), (2, [-1e17, -1e17]), (3, [1e-3, 1.0]), (4, [1e308, 0.0]), (5, [3e15, 1.0])]
+    base = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = [(x["query_id"], x["vec_id"], x["score"]) for x in topk.top_k(base.filter("vec_id in (0, 3)"), base, 5).orderBy("query_id", "rank").collect()]
+    whole = lambda v: [math.floor(256 * x) for x in v]
+    score = lambda a, b: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(whole(rows[a][1]), whole(rows[b][1])))))
+    want = [(q, i, score(q, i)) for q in (0, 3) for i in sorted((i for i in (0, 1, 2, 3, 5) if i != q), key=lambda i: (-score(q, i), i))]
+    assert found == want and {s for _, _, s in found} >= {2**63 - 1, -(2**63)}
+
+
 # 9
 
 
