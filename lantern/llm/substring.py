@@ -2,11 +2,14 @@
 
 Reference blocks are indexed by content. Of the 26 runs of 25 words in a window of 50 words, the one with the smallest
 hash is the window's anchor; consecutive windows with one anchor form a block, of 50 to 75 words. The same text has
-the same anchors wherever it stands, so a document parses greedily, left to right, into the blocks that any other
-document may have: a block that stands in a document with a smaller id is copied from there, and a run of such blocks
-is one long factor. At the ends of factors the block differs although its anchor is known elsewhere; there every
-window is looked up by itself. Together the factors cover exactly the words of windows that start in an earlier
-document.
+the same anchors wherever it stands, so a block is looked up in the index of all documents' blocks as a whole: what
+stands in a document with a smaller id may be copied from there. Where a factor ends inside a block, the block differs
+although its anchor is known elsewhere; there every window is looked up by itself.
+
+A document is then parsed greedily, left to right: blocks and windows that go on in one source at one distance are one
+copy, and at each place the factor is the copy that reaches furthest. The next one may begin before the last one's
+end, so windows across the boundary of two factors count too. Together the factors cover exactly the words of windows
+that start in an earlier document.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from lantern.llm._storage import materialise
 BATCH_BYTES = 8 << 20
 #: Bits of the filters that tell tasks which anchors are shared: 16 an anchor, within these bounds (16 MB at most).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Words of 64 bits of a filter that one task packs.
+PIECE_WORDS = 8192
 #: Spans of this many documents, and eight times as many spans, are broadcast at most; beyond it texts are shuffled.
 BROADCAST_SPANS = 10_000
 
-SPANS = "array<struct<start:int,end:int,source:long>>"
+SPANS = "array<struct<start:int,end:int,source:long,at:int>>"
 
 
 class _Blocks:
@@ -108,13 +113,22 @@ def _anchors(window: int):
 
 
 def _filter_of(anchors: DataFrame, bits: int) -> np.ndarray:
-    """One bit an anchor at its hash modulo ``bits``, as bytes; at most bits / 64 rows come to the driver."""
+    """One bit an anchor at its hash modulo ``bits``. Tasks pack the bits; the driver gets bits / 8 bytes at most."""
     slot = F.pmod("anchor", F.lit(bits))
     words = anchors.select(F.shiftrightunsigned(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(anchor, {bits}L) & 63 as int))").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or("bit").alias("set")).toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[words["word"].to_numpy()] = words["set"].to_numpy()
-    return table.view(W.U)
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("set")).withColumn("piece", F.floor(F.col("word") / PIECE_WORDS))
+
+    def pack(part: pa.Table) -> pa.Table:
+        own = np.zeros(PIECE_WORDS, np.int64)
+        own[part["word"].to_numpy() % PIECE_WORDS] = part["set"].to_numpy()
+        return pa.table({"piece": part["piece"][:1], "bits": pa.array([own.tobytes()], pa.binary())})
+
+    table = np.zeros(max(bits // 64, PIECE_WORDS), np.int64)
+    for batch in words.groupBy("piece").applyInArrow(pack, "piece long, bits binary").toArrow().to_batches():
+        for piece, value in zip(batch["piece"], batch["bits"]):
+            at = piece.as_py() * PIECE_WORDS
+            table[at : at + PIECE_WORDS] = np.frombuffer(value.as_buffer(), np.int64)
+    return table[: bits // 64].view(W.U)
 
 
 def _has(table: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -124,7 +138,7 @@ def _has(table: np.ndarray, anchor: np.ndarray) -> np.ndarray:
 
 _BLOCK = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("content", T.LongType()), T.StructField("starts", T.ArrayType(T.IntegerType())),
-    T.StructField("words", T.IntegerType()), T.StructField("windows", T.ArrayType(T.LongType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("source", T.LongType())]))),
+    T.StructField("words", T.IntegerType()), T.StructField("windows", T.ArrayType(T.LongType())), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("source", T.LongType()), T.StructField("at", T.IntegerType())]))),
 ])
 
 
@@ -151,14 +165,14 @@ def _known(window: int, shared, differing):
                 continue
             order, group = _first_of(start, doc, ids[doc], content)
             size = np.diff(np.append(group, len(order)))
-            least = np.repeat(ids[doc[order]][group], size)
+            least, stands = (np.repeat(x[order][group], size) for x in (ids[doc], start))
             later = ids[doc[order]] > least
-            copies, source = order[later], least[later]
+            copies, source, stands = order[later], least[later], stands[later]
             if len(copies):
                 by = np.lexsort((start[copies], doc[copies]))
-                copies, source = copies[by], source[by]
+                copies, source, stands = copies[by], source[by], stands[by]
                 who, each = np.unique(doc[copies], return_counts=True)
-                spans = pa.StructArray.from_arrays([pa.array(start[copies], pa.int32()), pa.array(start[copies] + count[copies] - 1 + window, pa.int32()), pa.array(source, pa.int64())], fields=list(schema.field("spans").type.value_type))
+                spans = pa.StructArray.from_arrays([pa.array(start[copies], pa.int32()), pa.array(start[copies] + count[copies] - 1 + window, pa.int32()), pa.array(source, pa.int64()), pa.array(stands, pa.int32())], fields=list(schema.field("spans").type.value_type))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32())
                 nulls = [pa.nulls(len(who), schema.field(i).type) for i in range(2, 6)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(marks[who]), *nulls, pa.ListArray.from_arrays(offsets, spans).cast(schema.field("spans").type)], schema=schema)
@@ -181,11 +195,48 @@ def _known(window: int, shared, differing):
     return run
 
 
+def parsed(spans: list[dict]) -> list[dict]:
+    """The greedy factors of a document from the spans that are known to be copies, in order.
+
+    Spans that touch in one source at one distance are one copy. From left to right, each factor is the copy that
+    reaches furthest of those that begin within what is covered, or else at the next copied word.
+    """
+    copies: dict[tuple[int, int], list[list[int]]] = {}
+    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+        own = copies.setdefault((s["source"], s["at"] - s["start"]), [])
+        if own and s["start"] <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], s["end"])
+        else:
+            own.append([s["start"], s["end"]])
+    every = sorted((start, end, source, start + distance) for (source, distance), own in copies.items() for start, end in own)
+    found, covered_to, i = [], -1, 0
+    while i < len(every):
+        begin = max(covered_to, every[i][0])
+        best = None
+        while i < len(every) and every[i][0] <= begin:
+            if best is None or every[i][1] > best[1]:
+                best = every[i]
+            i += 1
+        if best[1] > covered_to:
+            found.append(dict(zip(("start", "end", "source", "at"), best)))
+            covered_to = best[1]
+    return found
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            made = pa.array([parsed(x) for x in part.column(2).to_pylist()], part.schema.field(2).type)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], made], schema=part.schema)
+
+
 def factors(docs: DataFrame, window: int = 50, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """(doc_id, mark, spans): word spans [start, end) of a document that stand in a document with a smaller id.
+    """(doc_id, mark, spans): the factors of a document, word spans [start, end) that stand in one with a smaller id.
 
-    ``mark`` is the hash of the text, for keys that occur on several texts. Spans overlap; ``source`` is the smallest
-    document known to hold all of a span. Rows without a key or with fewer than ``window`` words have none.
+    ``mark`` is the hash of the text, for keys that occur on several texts. ``source`` and ``at`` tell where the copy
+    stands: in the smallest document that is known to hold its first block or window. Rows without a key or with fewer
+    than ``window`` words have no factors.
     """
     texts = docs.filter(docs[key].isNotNull()).select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[column]).alias("mark"), docs[column].cast("string").alias("text"))
     spark = docs.sparkSession
@@ -196,21 +247,26 @@ def factors(docs: DataFrame, window: int = 50, key: str = "doc_id", column: str
     filters = [spark.sparkContext.broadcast(_filter_of(df, bits)) for df in (shared, shared.filter("differ"))]
 
     blocks = materialise(texts.mapInArrow(_known(window, *filters), _BLOCK), "blocks")
-    index = blocks.filter("content is not null").groupBy("content").agg(F.min("doc_id").alias("source"), F.count("*").alias("n")).filter("n > 1")
-    index = materialise(index.select("content", "source"), "index")
+    for x in filters:
+        x.destroy()
+    place = F.struct(F.col("doc_id").alias("source"), F.array_min("starts").alias("at"))
+    index = blocks.filter("content is not null").groupBy("content").agg(F.min(place).alias("place"), F.count("*").alias("n")).filter("n > 1")
+    index = materialise(index.select("content", "place.source", "place.at"), "index")
     found = blocks.filter("content is not null").join(index, "content", "left")
     copied = F.coalesce(F.col("source") < F.col("doc_id"), F.lit(False))
-    found = materialise(found.select("doc_id", "mark", "starts", "words", F.when(copied, F.col("source")).alias("source"), F.when(~copied, F.col("windows")).alias("windows")).filter("source is not null or windows is not null"), "found")
+    found = found.select("doc_id", "mark", "starts", "words", *[F.when(copied, F.col(c)).alias(c) for c in ("source", "at")], F.when(~copied, F.col("windows")).alias("windows"))
+    found = materialise(found.filter("source is not null or windows is not null"), "found")
 
-    span = lambda s, e, source: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), source.alias("source"))
-    whole = found.filter("source is not null").select("doc_id", "mark", F.transform("starts", lambda s: span(s, s + F.col("words"), F.col("source"))).alias("spans"))
+    span = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.col("source"), F.col("at"))
+    whole = found.filter("source is not null").select("doc_id", "mark", F.transform("starts", lambda s: span(s, s + F.col("words"))).alias("spans"))
     single = found.filter("windows is not null").select("doc_id", "mark", "starts", F.posexplode("windows").alias("i", "window"))
-    earliest = single.groupBy("window").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last").drop("last")
+    place = F.struct(F.col("doc_id").alias("source"), (F.array_min("starts") + F.col("i")).alias("at"))
+    earliest = single.groupBy("window").agg(F.min(place).alias("place"), F.max("doc_id").alias("last")).filter("place.source < last").select("window", "place.source", "place.at")
     single = single.join(materialise(earliest, "windows"), "window").filter("source < doc_id")
-    single = single.select("doc_id", "mark", F.transform("starts", lambda s: span(s + F.col("i"), s + F.col("i") + window, F.col("source"))).alias("spans"))
+    single = single.select("doc_id", "mark", F.transform("starts", lambda s: span(s + F.col("i"), s + F.col("i") + window)).alias("spans"))
     batched = blocks.filter("spans is not null").select("doc_id", "mark", "spans")
     every = batched.union(whole).union(single).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return materialise(every, "factors")
+    return materialise(every.mapInArrow(_parse, every.schema), "factors")
 
 
 def covered(spans: list[dict] | None, n: int) -> np.ndarray:

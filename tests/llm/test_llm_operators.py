@@ -441,6 +441,24 @@ def test_substring_dedup_by_force(spark, monkeypatch, small):
     assert substring.kept_words(docs_of(spark, []), 50).count() == 0
 
 
+def test_factors_are_the_longest_copies(spark):
+    """Each factor is a copy of its source; together they cover the words that windows find, and none is needless."""
+    r = random.Random(21)
+    base = sentence(r, 400, 5000).split()
+    rows = [(1, " ".join(base[:200])), (2, " ".join(base[150:400])), (5, " ".join(["x"] * 3 + base[20:390] + ["y"] * 60)), (7, " ".join(base[20:120] + ["z"] + base[121:260]))]
+    words = {i: t.split() for i, t in rows}
+    found = {x["doc_id"]: [s.asDict() for s in x["spans"]] for x in substring.factors(docs_of(spark, rows)).collect()}
+    assert all(words[i][s["start"] : s["end"]] == words[s["source"]][s["at"] : s["at"] + s["end"] - s["start"]] and s["source"] < i for i, own in found.items() for s in own)
+    # The window at word 133 is the last that document 1 holds, so the factor from document 2 begins after it.
+    assert [(s["start"], s["end"], s["source"]) for s in found[5]] == [(3, 183, 1), (134, 373, 2)]
+    assert set(found) == {2, 5, 7}
+    spans = [dict(start=a, end=b, source=s, at=t) for a, b, s, t in [(0, 50, 1, 0), (1, 60, 1, 1), (1, 70, 2, 9), (40, 120, 3, 0), (30, 80, 1, 400), (200, 250, 1, 7)]]
+    assert [(s["start"], s["end"], s["source"]) for s in substring.parsed(spans)] == [(0, 60, 1), (40, 120, 3), (200, 250, 1)]
+    for _ in range(200):
+        spans = [dict(start=a, end=a + r.randint(1, 30), source=r.randint(0, 3), at=r.choice([0, a])) for a in (r.randint(0, 80) for _ in range(r.randint(0, 20)))]
+        assert (substring.covered(substring.parsed(spans), 120) == substring.covered(spans, 120)).all()
+
+
 # 10
 
 
