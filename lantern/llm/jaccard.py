@@ -5,7 +5,7 @@ threshold share an n-gram of their prefixes, so documents meet only there, under
 filter, and each pair is verified once.
 
 Counting how many documents hold an n-gram needs every n-gram of the corpus once. These travel packed: a task hashes
-whole texts and sends, for each range of hashes (a bucket), one array of 7-byte entries, the last bits of a hash beside the
+whole texts and sends, for each range of hashes (a bucket), one array of 8-byte entries, the last bits of a hash beside the
 document's number in its batch. Counts end at 65535, where an n-gram is as common as any. A bucket answers each batch with the n-grams that occur elsewhere too; all others are
 the rarest. Most documents have more n-grams of their own than the prefix is long and are done.
 """
@@ -24,15 +24,17 @@ from lantern.llm import _words as W
 from lantern.llm._storage import materialise
 from lantern.llm.components import components
 
-#: Text that fills one bucket on average, and the most buckets that 16 bits name.
-BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
+#: Text that fills one bucket at most on average, up to 32 TB; at 100 TB with this most of bits it is 24 MB.
+BUCKET_BYTES, MOST_BUCKET_BITS = 8 << 20, 22
+#: Rows and bytes of a batch of Arrow rows.
+SEND_ROWS, SEND_BYTES = 1_000, 1 << 20
 #: Documents and n-grams of a batch: entries number documents in 16 bits.
 BATCH_DOCS, BATCH_GRAMS = 20_000, 1_000_000
 #: An n-gram in so many documents of one batch is sent once with its count.
 COMMON = 256
 ALL = 0xFFFF
-#: Bits of a hash that travel beside its bucket.
-LOW_BITS = 40
+#: Bits of a hash that travel beside its bucket: with the bucket's they make 52 to 64.
+LOW_BITS = 48
 BINS = 16
 
 _PACKED = "bucket int, batch long, kind int, a binary, b binary, c binary"
@@ -40,20 +42,26 @@ _ANSWER = "batch long, kind int, a binary, b binary, c binary"
 
 
 def packed(low: np.ndarray, number: np.ndarray) -> bytes:
-    """Ascending values of LOW_BITS as differences, high byte and the rest apart, and 16-bit numbers.
+    """Ascending values of LOW_BITS as differences, high bytes and the rest apart, and 16-bit numbers.
 
-    7 bytes an entry; the high bytes are nearly all 0 and compress away.
+    8 bytes an entry; the high bytes are nearly all 0 and compress away.
     """
     step = np.diff(low, prepend=W.U(0))
-    return (step >> W.U(32)).astype(np.uint8).tobytes() + (step & W.U(0xFFFFFFFF)).astype(np.uint32).tobytes() + number.astype(np.uint16).tobytes()
+    return (step >> W.U(32)).astype(np.uint16).tobytes() + (step & W.U(0xFFFFFFFF)).astype(np.uint32).tobytes() + number.astype(np.uint16).tobytes()
 
 
 def unpacked(value: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(value) // 7
-    high, low, number = np.frombuffer(value, np.uint8, n), np.frombuffer(value, np.uint32, n, n), np.frombuffer(value, np.uint16, n, 5 * n)
+    n = len(value) // 8
+    high, low, number = np.frombuffer(value, np.uint16, n), np.frombuffer(value, np.uint32, n, 2 * n), np.frombuffer(value, np.uint16, n, 6 * n)
     return np.cumsum((high.astype(W.U) << W.U(32)) | low, dtype=W.U), number
 
 
+def token_bits(bits: int) -> tuple[int, int]:
+    """Bits of a hash that are left out, and bits of a token beside its bucket, with ``bits`` bits of bucket."""
+    low = min(LOW_BITS, 64 - bits)
+    return 64 - bits - low, low
+
+
 def gram_sets(texts: list[bytes], words: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """(documents, document of each member counted from 0, member) for chunks; members are distinct in a document."""
     for c in W.word_chunks(texts, lower=True):
@@ -85,7 +93,7 @@ class _Batch:
         self.n_docs += len(ids)
         self.n_grams += len(gram)
 
-    def rows(self, batch: int, buckets: int) -> Iterator[tuple]:
+    def rows(self, batch: int, bits: int) -> Iterator[tuple]:
         ids, valid, doc, gram = (np.concatenate(x) for x in (self.ids, self.valid, self.doc, self.gram))
         n = np.bincount(doc, minlength=self.n_docs)
         first = np.concatenate([[0], np.cumsum(n)])
@@ -101,13 +109,15 @@ class _Batch:
         leads[order[1:]] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]) | (n[order[1:]] != n[order[:-1]])
         sent = (leads & valid)[doc]
         doc, gram = doc[sent], gram[sent]
-        # From here on an n-gram is its bucket and its last bits.
-        gram = ((gram >> W.U(48)) * W.U(buckets) >> W.U(16) << W.U(LOW_BITS)) | gram & W.U((1 << LOW_BITS) - 1)
+        # From here on an n-gram is its token: the bucket's bits and those below them.
+        buckets = 1 << bits
+        left_out, low_bits = token_bits(bits)
+        gram = gram >> W.U(left_out)
         order = np.lexsort((doc, gram))
         doc, gram = doc[order].astype(W.U), gram[order]
         start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(gram)))
-        token, low = gram >> W.U(LOW_BITS), gram & W.U((1 << LOW_BITS) - 1)
+        token, low = gram >> W.U(low_bits), gram & W.U((1 << low_bits) - 1)
         common = count >= COMMON
         c_at = start[common]
         c_token = gram[c_at]
@@ -116,15 +126,14 @@ class _Batch:
         members = np.concatenate([np.array([len(c_at)]), c_token.view(np.int64), count[common], doc[spread].astype(np.int64)])
         yield int(batch % buckets), batch, 1, info.astype(np.int64).tobytes(), members.astype(np.int64).tobytes(), b""
         entry, number, where = low[~spread], doc[~spread], token[~spread]
-        edge = np.searchsorted(where, np.arange(buckets + 1))
-        c_edge = np.searchsorted(token[c_at], np.arange(buckets + 1))
-        for k in np.flatnonzero((np.diff(edge) > 0) | (np.diff(c_edge) > 0)):
-            mine = slice(c_edge[k], c_edge[k + 1])
-            own = slice(edge[k], edge[k + 1])
+        filled = np.union1d(where, token[c_at])
+        edges = [np.searchsorted(x, filled, side) for x in (where, token[c_at]) for side in ("left", "right")]
+        for k, lo, hi, c_lo, c_hi in zip(filled, *edges):
+            own, mine = slice(lo, hi), slice(c_lo, c_hi)
             yield int(k), batch, 0, packed(entry[own], number[own]), low[c_at[mine]].tobytes(), count[common][mine].astype(np.int64).tobytes()
 
 
-def _pack(words: int, buckets: int):
+def _pack(words: int, bits: int):
     names = ["bucket", "batch", "kind", "a", "b", "c"]
     types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -133,8 +142,15 @@ def _pack(words: int, buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             W.release_memory()
-            for row in own.rows((part << 24) | serial, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=names)
+            rows, size = [], 0
+            for row in own.rows((part << 24) | serial, bits):
+                rows.append(row)
+                size += sum(map(len, row[3:]))
+                if len(rows) == SEND_ROWS or size > SEND_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
 
         for batch in W.pieces(batches, 1):
             keys = batch.column(0)
@@ -207,7 +223,9 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
-def _order(percent: int):
+def _order(percent: int, bits: int):
+    low_bits = token_bits(bits)[1]
+
     def run(table: pa.Table) -> pa.Table:
         """Sets of a batch; those whose prefix reaches beyond their own n-grams have the shared ones, rarest first."""
         W.release_memory()
@@ -220,7 +238,7 @@ def _order(percent: int):
         c_first = np.concatenate([[0], np.cumsum(c_count)])
         rows = [r for r in rows if not r["kind"]]
         parts = [(*unpacked(r["a"]), np.frombuffer(r["b"], np.uint16), _u64(r["c"])[0]) for r in rows] or [(np.zeros(0, W.U), np.zeros(0, np.uint16), np.zeros(0, np.uint16), W.U(0))]
-        token = np.concatenate([(bucket << W.U(LOW_BITS)) | low for low, _, _, bucket in parts]).view(np.int64)
+        token = np.concatenate([(bucket << W.U(low_bits)) | low for low, _, _, bucket in parts]).view(np.int64)
         number = np.concatenate([x[1] for x in parts]).astype(np.int64)
         total = np.concatenate([x[2] for x in parts])
         every = number == ALL
@@ -290,9 +308,10 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 75, key: s
     spark = docs.sparkSession
     texts = docs.select(docs[key].cast("long").alias("doc_id"), docs[column].cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(MOST_BUCKETS, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
-    answers = texts.mapInArrow(_pack(words, buckets), _PACKED).groupBy("bucket").applyInArrow(_count, _ANSWER)
-    made = answers.groupBy("batch").applyInArrow(_order(percent), _SETS)
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES, 16)
+    bits = min(MOST_BUCKET_BITS, (buckets - 1).bit_length())
+    answers = texts.mapInArrow(_pack(words, bits), _PACKED).groupBy("bucket").applyInArrow(_count, _ANSWER)
+    made = answers.groupBy("batch").applyInArrow(_order(percent, bits), _SETS)
     every = materialise(made.withColumn("node", F.xxhash64("one", "two", "n")).drop("one", "two"), "sets")
 
     sets = materialise(every.filter("shared is not null").select("node", "n", "own", "prefix", "shared", "bins").dropDuplicates(["node"]), "nodes")
