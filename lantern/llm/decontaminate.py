@@ -8,6 +8,9 @@ benchmark stand against equal values of the document, and different against diff
 Whether the capital of a sentence's first word is that of a name can't be told, and a quotation may move the word or
 change its case. So a window has up to three templates: first words as themselves, capitalised first words as names
 too, and all words as themselves. Any template of a benchmark window may meet any of a document's.
+
+A name may have more words than the one that replaced it, which moves all words after it. So a text has a second
+reading, in which names of several words count as one; windows of it meet, and form runs, apart from the others.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ UNITS = (
     "dollar dollars euro euros cent cents percent degree degrees mph kph hz khz mhz ghz kb mb gb tb w kw kwh v a j kj cal kcal"
 ).split()
 
-_SCHEMA = "id long, copy long, size int, hash long, pos int, length int, plain boolean, offsets array<int>, slots array<string>"
+_SCHEMA = "id long, copy long, reading int, size int, hash long, pos int, length int, first int, last int, plain boolean, offsets array<int>, slots array<string>"
 _NUMBER, _NAME, _UNIT = W.mix(np.array([1, 2, 3], W.U))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -57,11 +60,12 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(chunk.hash)
 
 
-def templates(texts: list[bytes]) -> Iterator[tuple[W.Chunk, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Chunks, and of each template the word hashes and which words are placeholders.
+def templates(texts: list[bytes]) -> Iterator[tuple[int, W.Chunk, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]]:
+    """(reading, chunk, templates, first words, words after the last): of each template the hashes and placeholders.
 
-    A name is a capitalised word (A-Z, or a capital of Latin-1): in the first template one that doesn't begin a
-    sentence, in the second any. The third has no placeholders.
+    A name is a capitalised word (A-Z, or a capital of Latin-1). The first reading has the text's words; in its first
+    template names don't begin a sentence, in the second they may, and the third has no placeholders. In the second
+    reading capitalised words with one space between them are one name; it has one template.
     """
     units = _unit_hashes()
     for docs in W.chunked(texts):
@@ -71,26 +75,36 @@ def templates(texts: list[bytes]) -> Iterator[tuple[W.Chunk, list[tuple[np.ndarr
         inside[1:-1] |= _POINT[raw[1:-1]] & digit[:-2] & digit[2:]
         start, end = W.edges(inside)
         c = W.assemble(docs, raw, W.LOWER[raw], base, start, end)
+        every = np.arange(len(start))
         if not len(start):
-            yield c, [(c.hash, np.zeros(0, bool))] * 3
+            yield 0, c, [(c.hash, np.zeros(0, bool))] * 3, every, every
             continue
         stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
+        same_text = c.doc[1:] == c.doc[:-1]
         begins = np.ones(len(start), bool)
-        begins[1:] = (stops[start[1:]] > stops[end[:-1]]) | (c.doc[1:] != c.doc[:-1])
+        begins[1:] = (stops[start[1:]] > stops[end[:-1]]) | ~same_text
         number = digit[start]
         second = raw[np.minimum(start + 1, len(raw) - 1)]
         capital = _CAPITAL[raw[start]] | (raw[start] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
         after = np.zeros(len(start), bool)
-        after[1:] = number[:-1] & (c.doc[1:] == c.doc[:-1])
+        after[1:] = number[:-1] & same_text
         unit = after & ~number & (units[np.minimum(np.searchsorted(units, c.hash), len(units) - 1)] == c.hash)
         kinds = []
         for name in (capital & ~begins & ~number, capital & ~number):
             kinds.append((np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, c.hash))), number | unit | name))
-        yield c, [*kinds, (c.hash, np.zeros(len(start), bool))]
+        yield 0, c, [*kinds, (c.hash, np.zeros(len(start), bool))], every, every + 1
+        name &= ~unit
+        follows = np.zeros(len(start), bool)
+        follows[1:] = name[1:] & name[:-1] & same_text & (start[1:] == end[:-1] + 1) & (raw[end[:-1]] == 32)
+        kept = np.flatnonzero(~follows)
+        last = np.append(kept[1:], len(start))
+        doc = c.doc[kept]
+        merged = W.Chunk(docs, raw, c.data, base, start[kept], end[last - 1], np.searchsorted(doc, np.arange(len(docs) + 1)), doc, c.hash[kept])
+        yield 1, merged, [tuple(x[kept] for x in kinds[1])], kept, last
 
 
 def _windows(sizes: list[int], known):
-    """(id, text, words, hash, position, length, first template, offsets and values of slots) of windows.
+    """(id, text, reading, words, hash, position, length, words covered, first template, slots) of windows.
 
     With ``known``, only of those that may be known. Templates that are equal in a window count once.
     """
@@ -98,12 +112,13 @@ def _windows(sizes: list[int], known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches, 2):
             ids, copies = (np.asarray(batch.column(i), np.int64) for i in (0, 1))
-            for c, kinds in templates(W.as_bytes(batch.column(2))):
+            for reading, c, kinds, begin, after in templates(W.as_bytes(batch.column(2))):
                 counts = c.counts()
+                text_first = begin[np.minimum(c.first[:-1], len(begin) - 1)] if len(begin) else begin
                 text = None
                 for k in sizes:
                     first = None
-                    for hashes, slot in kinds if k >= LEAST_ITEM else kinds[-1:]:
+                    for hashes, slot in kinds if k >= LEAST_ITEM else kinds[2:]:
                         c.hash = hashes
                         at, h = c.grams(k)
                         plain = first is None
@@ -125,9 +140,12 @@ def _windows(sizes: list[int], known):
                         slots = [[text[c.start[i + j] : c.end[i + j]].decode() for j in own] for i, own in zip(at.tolist(), offsets)]
                         doc = c.doc[at]
                         row = np.asarray(c.docs)[doc]
-                        columns = [pa.array(ids[row]), pa.array(copies[row]), pa.array(counts[doc], pa.int32()), pa.array(h.view(np.int64)), pa.array(at - c.first[doc], pa.int32()), pa.array(np.full(len(at), k), pa.int32()), pa.array(np.full(len(at), plain))]
+                        n = len(at)
+                        integers = [np.full(n, reading), counts[doc], h.view(np.int64), at - c.first[doc], np.full(n, k), begin[at] - text_first[doc], after[at + k - 1] - text_first[doc]]
+                        kinds_of = [pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4]
+                        columns = [pa.array(ids[row]), pa.array(copies[row]), *[pa.array(x, t) for x, t in zip(integers, kinds_of)], pa.array(np.full(n, plain))]
                         columns += [pa.array(offsets, pa.list_(pa.int32())), pa.array(slots, pa.list_(pa.string()))]
-                        yield pa.RecordBatch.from_arrays(columns, names=["id", "copy", "size", "hash", "pos", "length", "plain", "offsets", "slots"])
+                        yield pa.RecordBatch.from_arrays(columns, names=["id", "copy", "reading", "size", "hash", "pos", "length", "first", "last", "plain", "offsets", "slots"])
 
     return run
 
@@ -184,15 +202,26 @@ def _found(size: int, windows: list[dict]) -> Iterator[tuple[int, int, bool]]:
                     yield words, first, all(a == b for a, b in pairs)
 
 
+def _place(known: dict[int, int], pos: int, step: int) -> int:
+    """Where a word of the item stands in the document: as far from the next known one as in the item."""
+    at = pos
+    while at not in known:
+        at += step
+    return known[at] + pos - at
+
+
 def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, item, n_words, start, exact): the longest run of each line of windows."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             rows = []
             for r in batch.slice(lo, 2000).to_pylist():
-                best = min(((-n, start, not exact) for n, start, exact in _found(r["size"], r["windows"])), default=None)
+                first = {w["pos"]: w["first"] for w in r["windows"]}
+                last = {w["pos"] + w["length"]: w["last"] for w in r["windows"]}
+                own = [(_place(last, start + n, 1) - _place(first, start, -1), _place(first, start, -1), exact) for n, start, exact in _found(r["size"], r["windows"])]
+                best = min(((-n, start, not exact) for n, start, exact in own), default=None)
                 if best:
-                    rows.append((r["doc"], r["item"], -best[0], r["shift"] + best[1], not best[2]))
+                    rows.append((r["doc"], r["item"], -best[0], best[1], not best[2]))
             columns = zip(*rows) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["doc", "item", "n_words", "start", "exact"])
@@ -201,7 +230,7 @@ def _longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: str = "text", item_key: str = "item_id", item_column: str = "text") -> DataFrame:
     """(key, item_id, n_words, start, exact): benchmark items found in documents, with the longest run of each pair.
 
-    ``n_words`` and ``start`` give the run in template words of the document (equal runs: the first); ``exact`` tells
+    ``n_words`` and ``start`` give the run in words of the document (equal runs: the first); ``exact`` tells
     that all its slots have the item's own values. Null keys and null or empty texts take no part; rows with equal
     keys count as one document or item. Empty inputs give no rows; other columns are not read.
 
@@ -219,14 +248,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: st
     known = spark.sparkContext.broadcast(table)
 
     texts = docs.filter(docs[key].isNotNull()).select(docs[key].cast("long").alias("id"), F.xxhash64(docs[column]).alias("copy"), docs[column].cast("string").alias("text"))
-    met = texts.mapInArrow(_windows(sizes, known), _SCHEMA).select(F.col("id").alias("doc"), F.col("copy").alias("doc_copy"), "hash", "length", F.col("pos").alias("at"), F.col("plain").alias("doc_plain"), F.col("slots").alias("values"))
-    right = asked.select(F.col("id").alias("item"), "copy", "size", "hash", "length", "pos", "plain", "offsets", "slots")
+    met = texts.mapInArrow(_windows(sizes, known), _SCHEMA).select(F.col("id").alias("doc"), F.col("copy").alias("doc_copy"), "reading", "hash", "length", F.col("pos").alias("at"), "first", "last", F.col("plain").alias("doc_plain"), F.col("slots").alias("values"))
+    right = asked.select(F.col("id").alias("item"), "copy", "reading", "size", "hash", "length", "pos", "plain", "offsets", "slots")
     if asked.count() <= BROADCAST_WINDOWS:
         right = F.broadcast(right)
-    met = met.join(right, ["hash", "length"]).filter(F.size("values") == F.size("slots"))
-    window = F.struct("pos", "length", (F.col("plain") & F.col("doc_plain")).alias("plain"), "offsets", "slots", "values")
-    lines = met.groupBy("doc", "doc_copy", "item", "copy", "size", (F.col("at") - F.col("pos")).alias("shift")).agg(F.collect_set(window).alias("windows"))
-    best = lines.select("doc", "item", "size", "shift", "windows").mapInArrow(_longest, "doc long, item long, n_words long, start long, exact boolean")
+    met = met.join(right, ["hash", "length", "reading"]).filter(F.size("values") == F.size("slots"))
+    window = F.struct("pos", "length", "first", "last", (F.col("plain") & F.col("doc_plain")).alias("plain"), "offsets", "slots", "values")
+    lines = met.groupBy("doc", "doc_copy", "item", "copy", "reading", "size", (F.col("at") - F.col("pos")).alias("shift")).agg(F.collect_set(window).alias("windows"))
+    best = lines.select("doc", "item", "size", "windows").mapInArrow(_longest, "doc long, item long, n_words long, start long, exact boolean")
     best = best.groupBy("doc", "item").agg(F.min(F.struct((-F.col("n_words")).alias("n"), "start", (~F.col("exact")).alias("changed"))).alias("x"))
     return best.select(F.col("doc").alias(key), F.col("item").alias("item_id"), (-F.col("x.n")).alias("n_words"), F.col("x.start").alias("start"), (~F.col("x.changed")).alias("exact"))
 

@@ -129,6 +129,25 @@ def test_leaks_of_values_and_short_items(spark):
     assert found == {(1, 1): True, (2, 2): True, (3, 3): True, (4, 3): False, (5, 4): True}
 
 
+def test_leaks_with_names_of_other_lengths(spark):
+    items = [
+        (1, "Alice has 5 red apples. Bob gives Alice 3 kg of rice. Carol pays 9 dollars. How much does Alice own?"),
+        (2, "A traveller flew from Paris to Berlin with 3 bags and paid 40 euros for each of them at the desk."),
+        (3, "Mary has 4 cups. Mary gives 2 cups to John Smith and then buys 7 more cups from the shop near home."),
+        (4, "old Tom feeds 2 grey cats"),
+    ]
+    rows = [
+        (1, "Peter has 7 red apples. Dave gives Peter 4 kg of rice. Erin pays 8 dollars. How much does Peter own?"),
+        (2, "So: A traveller flew from New York to Rome with 5 bags and paid 60 euros for each of them at the desk."),
+        (3, "Anna has 6 cups. Anna gives 3 cups to Tom and then buys 9 more cups from the shop near home."),
+        (4, "Peter has 7 red apples. Dave gives Erin 4 kg of rice. Erin pays 8 dollars. How much does Frank own?"),  # Alice is three
+        (5, "and old Ann Lee feeds 3 grey cats"), (6, "an old man feeds 2 grey cats"), (7, "New York, Rome and Paris"),
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_words"], r["start"], r["exact"]) for r in decontaminate.leaks(docs_of(spark, rows), bench).collect()}
+    assert found == {(1, 1): (21, 0, False), (2, 2): (22, 1, False), (3, 3): (21, 0, False), (5, 4): (7, 1, False)}
+
+
 # 4
 
 
