@@ -56,9 +56,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage wrote for itself is deleted when its result stands; tables of other queries stay.
     """
+    others = written()
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before = written()
         docs = materialise(stage(spark, docs, sf_dir), name)
-        purge(spark, keep=[*before, written()[-1]])
+        purge(spark, keep=[*others, written()[-1]])
     return STAGES[-1][1](spark, docs, sf_dir)
