@@ -33,7 +33,7 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Words of 64 bits of a filter that one task packs.
 PIECE_WORDS = 8192
 #: Spans of this many documents, and eight times as many spans, are broadcast at most; beyond it texts are shuffled.
-BROADCAST_SPANS = 2_000
+BROADCAST_SPANS = 100
 
 SPANS = "array<struct<start:int,end:int,source:long,at:int>>"
 
