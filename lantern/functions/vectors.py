@@ -1,12 +1,10 @@
-"""Vector functions as Columns, and signed feature hashing."""
+"""Vector functions as Columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lantern.functions.text import tokens
-
 
 def dot(a: Column, b: Column) -> Column:
     """Over the shorter length; null components are 0."""
@@ -22,23 +20,3 @@ def cosine(a: Column, b: Column) -> Column:
     """0 where a norm is 0; vectors of different length are an error."""
     checked = F.when(F.size(a) == F.size(b), dot(a, b)).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
     return F.when((norm(a) > 0) & (norm(b) > 0), checked / (norm(a) * norm(b))).otherwise(F.lit(0.0))
-
-
-def token_features(text: Column) -> Column:
-    """(feature, weight): each distinct token of two letters and more, and its 4-grams, weighted by its length."""
-    words = F.array_distinct(tokens(text, 2))
-    grams = lambda w: F.when(F.length(w) >= 4, F.transform(F.sequence(F.lit(1), F.length(w) - 3), lambda i: F.substring(w, i, F.lit(4)))).otherwise(F.array().cast("array<string>"))
-    weight = lambda w: F.lit(1.0) + F.least(F.length(w), F.lit(12)) / F.lit(24.0)
-    each = lambda w: F.transform(F.concat(F.array(w), grams(w)), lambda f: F.struct(f.alias("feature"), weight(w).alias("weight")))
-    return F.flatten(F.transform(words, each))
-
-
-def slot(feature: Column, dimensions: int) -> Column:
-    """Slot from the first 64 bits of SHA-256; for powers of two the last 16 hexadecimal digits of them suffice."""
-    low = F.conv(F.substring(F.sha2(feature.cast("binary"), 256), 13, 4), 16, 10).cast("int")
-    return F.pmod(low, F.lit(dimensions))
-
-
-def sign(feature: Column) -> Column:
-    low = F.conv(F.substring(F.sha2(feature.cast("binary"), 256), 13, 4), 16, 10).cast("int")
-    return F.when(F.shiftright(low, 8).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)

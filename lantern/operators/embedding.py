@@ -6,38 +6,178 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.functions.vectors import cosine, dot, sign, slot, token_features
+from lantern.functions.text import tokens
+from lantern.functions.vectors import dot
+
+#: Queries of a block and vectors of a product: a task holds about 35 MB of scores.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 1024
+#: Tokens whose slots a worker keeps.
+KEPT_TOKENS = 200_000
 
 
 def hash_embeddings(documents: DataFrame, dimensions: int = 256, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(key, embedding): signed feature hashing of tokens and their 4-grams, of norm 1, to six digits.
 
-    Equal (document, slot) pairs are added before the shuffle; a text without tokens has no row.
+    A token adds 24 and its letters, 12 at most, for itself and each of its 4-grams, at the slot and with the sign
+    that SHA-256 gives the feature. Sums are integers. A narrow pass, in which a worker hashes a token once as long as
+    it keeps it; a text without tokens has no row, and a repeated key one for each of its rows.
     """
-    rows = documents.select(key, F.explode(token_features(F.col(column))).alias("f"))
-    slots = rows.groupBy(key, slot(F.col("f.feature"), dimensions).alias("slot")).agg(F.sum(F.round(F.col("f.weight") * 24).cast("long") * sign(F.col("f.feature")).cast("long")).alias("units"))
-    packed = slots.filter("units <> 0").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "units"))).alias("m"), F.sqrt(F.sum(F.col("units") * F.col("units"))).alias("size"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.round(F.coalesce(F.element_at("m", i), F.lit(0)) / F.col("size"), 6))
-    return packed.select(key, values.alias("embedding"))
-
 
-def nearest(queries: DataFrame, vectors: DataFrame, limit: int, least: float | None = None, condition: Column | None = None, query: str = "query_id", key: str = "vec_id", digits: int = 6) -> DataFrame:
-    """(query, key, score, rank): exact search by cosine among the vectors that meet the condition.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _TokenSlots(dimensions)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                n = part.num_rows
+                words = part.column(1)
+                doc = np.repeat(np.arange(n), words.value_lengths().to_numpy())
+                coded = words.flatten().dictionary_encode()
+                if not len(coded):
+                    continue
+                slots, units, first, numbers = known.of(coded.dictionary.to_pylist())
+                # Each occurrence of a token brings its run of features.
+                token = numbers[coded.indices.to_numpy()]
+                size = first[token + 1] - first[token]
+                ends = np.cumsum(size)
+                feature = np.repeat(first[token] - (ends - size), size) + np.arange(ends[-1])
+                sums = np.bincount(np.repeat(doc, size) * dimensions + slots[feature], units[feature], n * dimensions).reshape(n, dimensions)
+                kept = np.flatnonzero(sums.any(axis=1))
+                sums = sums[kept]
+                values = rounded(sums / np.sqrt((sums * sums).sum(axis=1))[:, None])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * dimensions, pa.int32()), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept)), lists], names=["key", "embedding"])
 
-    ``queries`` (query, query_vector) is a small stated set: it is broadcast, the vectors are read once where they
-    lie, and each task keeps a query's best before the shuffle.
+    kind = documents.schema[key].dataType.simpleString()
+    words = documents.select(documents[key].alias("key"), F.array_distinct(tokens(F.coalesce(documents[column].cast("string"), F.lit("")), 2)).alias("words"))
+    return words.mapInArrow(run, f"key {kind}, embedding array<double>").withColumnRenamed("key", key)
+
+
+class _TokenSlots:
+    """Slots and signed units of tokens' features, one run a token, for the tokens met so far."""
+
+    def __init__(self, dimensions: int):
+        self.dimensions = dimensions
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.slots, self.units, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(slots, units, first feature of each known token, number of each word)."""
+        if len(self.number) > KEPT_TOKENS:
+            self.clear()
+        new = [w for w in words if w not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            features = [f for w in new for f in (w, *(w[i : i + 4] for i in range(len(w) - 3)))]
+            hashes = np.frombuffer(b"".join(hashlib.sha256(f.encode()).digest()[6:8] for f in features), ">u2").astype(np.int64)
+            size = np.array([max(len(w) - 3, 0) + 1 for w in new])
+            weight = np.repeat([24 + min(len(w), 12) for w in new], size)
+            self.slots = np.concatenate([self.slots, hashes % self.dimensions])
+            self.units = np.concatenate([self.units, np.where((hashes >> 8) % 2 == 0, weight, -weight)])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(size)])
+        return self.slots, self.units, self.first, np.array([self.number[w] for w in words])
+
+
+def rounded(values: np.ndarray, digits: int = 6) -> np.ndarray:
+    """Rounded half away from zero, as SQL does."""
+    scale = 10.0**digits
+    return np.copysign(np.floor(np.abs(values) * scale + 0.5) / scale, values) + 0.0
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows; null components are 0."""
+    sizes = np.unique(column.value_lengths().to_numpy())
+    if len(sizes) > 1:
+        raise ValueError("vectors differ in length")
+    return np.asarray(column.flatten().fill_null(0), np.float64).reshape(len(column), -1)
+
+
+def _best(scores: np.ndarray, keys: np.ndarray, limit: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, column) of each query's highest scores among the columns, ties to the smaller key."""
+    n = scores.shape[1]
+    floor = np.partition(scores, n - limit, axis=1)[:, n - limit] if n > limit else np.full(len(scores), -np.inf)
+    query, at = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf) & (scores >= (-np.inf if least is None else least)))
+    order = np.lexsort((keys[at], -scores[query, at], query))
+    query, at = query[order], at[order]
+    nth = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[nth < limit], at[nth < limit]
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, limit: int, metric: str = "cosine", least: float | None = None, within: tuple[str, str] | None = None, besides_self: bool = False, query: str = "query_id", key: str = "vec_id", column: str = "embedding", digits: int = 6) -> DataFrame:
+    """(query, key, score, rank): exact search by ``cosine`` or ``dot`` over all vectors; ties go to the smaller key.
+
+    ``queries`` is (query, query_vector) with integer ids, a stated set that is gone through in blocks of about
+    QUERY_BLOCK rows, each broadcast as one matrix. ``within`` names a column of the queries and one of the vectors
+    that must be equal; ``besides_self`` leaves out a vector with the query's own id. A null vector takes no part, and
+    cosine with a zero vector is 0. A task multiplies a block by the vectors where they lie and passes on ``limit``
+    rows a query, so pairs never leave it.
     """
-    scored = vectors.join(F.broadcast(queries), F.lit(True) if condition is None else condition)
-    scored = scored.select(query, key, F.round(cosine(F.col("query_vector"), F.col("embedding")), digits).alias("score"))
-    if least is not None:
-        scored = scored.filter(F.col("score") >= least)
-    w = Window.partitionBy(query).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    own = [F.col(query).cast("long").alias("id"), F.col("query_vector").cast("array<double>").alias("v"), (F.col(within[0]) if within else F.lit("")).cast("string").alias("g")]
+    asked = queries.filter("query_vector is not null").withColumn("_block", F.pmod(F.xxhash64(query), F.lit(blocks)))
+    rows = vectors.filter(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), (F.col(within[1]) if within else F.lit("")).cast("string").alias("g"))
+    parts = [_nearest_of(asked.filter(F.col("_block") == i).select(*own).toArrow(), rows, limit, metric, least, bool(within), besides_self, digits) for i in range(blocks)]
+    found = reduce(DataFrame.union, parts)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    names = [F.col("query").cast(queries.schema[query].dataType).alias(query), F.col("key").cast(vectors.schema[key].dataType).alias(key)]
+    return ranked.select(*names, "score", "rank")
+
+
+def _nearest_of(block: pa.Table, rows: DataFrame, limit: int, metric: str, least: float | None, grouped: bool, besides_self: bool, digits: int) -> DataFrame:
+    """(query, key, score) of one block of queries, ``limit`` rows a query and task."""
+    block = block.combine_chunks()
+    ids, groups = block["id"].to_numpy(), np.array(block["g"].to_pylist(), object)
+    matrix = _matrix(block["v"].chunk(0)) if len(block) else np.zeros((0, 0))
+    norms = np.sqrt((matrix * matrix).sum(axis=1))
+    shared = rows.sparkSession.sparkContext.broadcast((ids, groups, matrix, norms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, groups, matrix, norms = shared.value
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            query, keys, scores = (np.concatenate(x) for x in zip(*kept))
+            order = np.lexsort((keys, -scores, query))
+            query, keys, scores = query[order], keys[order], scores[order]
+            first = np.arange(len(query)) - np.searchsorted(query, query) < limit
+            return query[first], keys[first], scores[first]
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows if len(ids) else 0, VECTOR_BLOCK):
+                part = batch.slice(lo, VECTOR_BLOCK)
+                keys, own = part.column(0).to_numpy(), _matrix(part.column(1))
+                if own.shape[1] != matrix.shape[1]:
+                    raise ValueError("vectors differ in length")
+                scores = matrix @ own.T
+                if metric == "cosine":
+                    size = norms[:, None] * np.sqrt((own * own).sum(axis=1))[None, :]
+                    scores = np.divide(scores, size, out=np.zeros_like(scores), where=size > 0)
+                scores = rounded(scores, digits)
+                if grouped:
+                    scores[groups[:, None] != np.array(part.column(2).to_pylist(), object)[None, :]] = -np.inf
+                if besides_self:
+                    scores[ids[:, None] == keys[None, :]] = -np.inf
+                query, at = _best(scores, keys, limit, least)
+                kept.append((query, keys[at], scores[query, at]))
+                if len(kept) > 16:
+                    kept = [merged()]
+        if kept:
+            query, keys, scores = merged()
+            for lo in range(0, len(query), 50_000):
+                part = slice(lo, lo + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[query[part]], pa.int64()), pa.array(keys[part], pa.int64()), pa.array(scores[part])], names=["query", "key", "score"])
+
+    return rows.mapInArrow(run, "query long, key long, score double")
 
 
 def semantic_scores(rows: DataFrame, digits: int = 6) -> DataFrame:
@@ -72,8 +212,6 @@ def offline_embeddings(documents: DataFrame, dimensions: int = 384, key: str = "
 
     A blank or null text is the zero vector. A narrow pass.
     """
-    import pyarrow as pa
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [_blake_vector(t.as_py() or "", dimensions).tolist() for t in batch.column(1)]

@@ -8,21 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions.text import query_tokens, tokens
+from lantern.operators.lineage import small, stored
 
 K1, B = 1.2, 0.75
+#: Query tokens that are broadcast to the documents; more are joined by shuffling.
+BROADCAST_ROWS = 500_000
 
 
-def postings(documents: DataFrame, fields: Mapping[str, float], key: str = "doc_id", least: int = 1) -> DataFrame:
-    """(term, key, tf, weighted_tf, length): one row a term and document; ``length`` counts the document's tokens.
+def occurrences(documents: DataFrame, fields: Mapping[str, float], key: str = "doc_id", least: int = 1) -> DataFrame:
+    """(key, length, term, w): one row a token, with its field's weight; ``length`` counts the document's tokens.
 
-    The tokens of a document are counted where it lies; only the term rows travel.
+    Each document has one row besides with an empty term and weight 1, from which documents and lengths are counted.
     """
     def weighted(c: str, w: float) -> Column:
         return F.transform(tokens(F.coalesce(F.col(c).cast("string"), F.lit("")), least), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
 
-    words = [weighted(c, w) for c, w in fields.items()]
-    rows = documents.select(F.col(key), F.concat(*words).alias("words")).withColumn("length", F.size("words"))
-    return rows.select(key, "length", F.explode("words").alias("x")).groupBy(F.col("x.term").alias("term"), key, "length").agg(F.count("*").alias("tf"), F.sum("x.w").alias("weighted_tf"))
+    words = F.concat(*[weighted(c, w) for c, w in fields.items()])
+    rows = documents.select(F.col(key), words.alias("words")).select(key, F.size("words").alias("length"), "words")
+    return rows.select(key, "length", F.explode(F.array_append("words", F.struct(F.lit("").alias("term"), F.lit(1.0).alias("w")))).alias("x")).select(key, "length", "x.term", "x.w")
 
 
 def terms_of(queries: DataFrame, key: str = "query_id", column: str = "text", most: int = 24) -> DataFrame:
@@ -30,31 +33,35 @@ def terms_of(queries: DataFrame, key: str = "query_id", column: str = "text", mo
     return queries.select(key, F.posexplode(query_tokens(F.col(column), most)).alias("position", "token"))
 
 
-def matches(index: DataFrame, wanted: DataFrame, query: str = "query_id", key: str = "doc_id") -> DataFrame:
-    """(query, token, key, length, weighted_tf): documents with a term that begins with the token.
+def matches(words: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(token, key, length, weighted_tf): documents with a term that begins with a wanted token.
 
-    Joined on the first three letters, which every token has, and checked in full; so a prefix is an equality join.
+    ``wanted`` has each token once, whatever the number of queries that look for it. Joined on the first three
+    letters, which every token has, and checked in full; so a prefix is an equality join. A document's repeats of a
+    term are added before they are joined.
     """
-    left = wanted.withColumn("_stem", F.left("token", F.lit(3)))
-    right = index.withColumn("_stem", F.left("term", F.lit(3)))
-    found = right.join(left, "_stem").filter(F.startswith("term", F.col("token")))
-    return found.groupBy(query, "token", key, "length").agg(F.sum("weighted_tf").alias("weighted_tf"))
+    left = wanted.select("token", F.left("token", F.lit(3)).alias("_stem"))
+    terms = words.groupBy(key, "length", "term").agg(F.sum("w").alias("w"))
+    found = terms.withColumn("_stem", F.left("term", F.lit(3))).join(left, "_stem").filter(F.startswith("term", F.col("token")))
+    return found.groupBy("token", key, "length").agg(F.sum("w").alias("weighted_tf"))
 
 
-def bm25(found: DataFrame, documents: DataFrame, total: DataFrame, query: str = "query_id", key: str = "doc_id", digits: int = 6) -> DataFrame:
-    """(query, key, score): BM25 over prefix tokens; higher is better. ``total`` is one row (n, mean_length)."""
-    df = found.groupBy(query, "token").agg(F.countDistinct(key).alias("df"))
-    rows = found.join(df, [query, "token"]).join(F.broadcast(total), F.lit(True))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    tf = F.col("weighted_tf")
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return rows.groupBy(query, key).agg(F.round(F.sum(part), digits).alias("score"))
-
+def bm25(hits: DataFrame, wanted: DataFrame, query: str = "query_id", key: str = "doc_id", digits: int = 6, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(query, key, score): BM25 over prefix tokens; higher is better.
 
-def statistics(documents: DataFrame, fields: Mapping[str, float], least: int = 1) -> DataFrame:
-    """One row (n, mean_length) over all documents."""
-    size = sum((F.size(tokens(F.coalesce(F.col(c).cast("string"), F.lit("")), least)) for c in fields), F.lit(0))
-    return documents.agg(F.count("*").alias("n"), F.avg(size).alias("mean_length"))
+    ``hits`` is as from ``matches``, with the documents' own rows under the empty token; ``wanted`` is (query, token).
+    A token's weight in a document is the same for all queries, so hits are dealt by document once and scores need no
+    further exchange.
+    """
+    own = hits.filter("token = ''")
+    total = own.agg(F.sum("weighted_tf").alias("n"), (F.sum(F.col("weighted_tf") * F.col("length")) / F.sum("weighted_tf")).alias("mean_length"))
+    df = hits.filter("token <> ''").groupBy("token").agg(F.count("*").alias("df"))
+    asked = small(stored(wanted.join(df, "token").select(query, "token", "df"), "asked"), rows)
+    tf = F.col("weighted_tf")
+    by_document = hits.filter("token <> ''").repartition(F.col(key)).join(F.broadcast(total), F.lit(True))  # one row
+    weight = by_document.select("token", key, "n", (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))).alias("_part"))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    return weight.join(asked, "token").groupBy(query, key).agg(F.round(F.sum(idf * F.col("_part")), digits).alias("score"))
 
 
 def ranked(scores: DataFrame, by: str = "query_id", key: str = "doc_id", score: str = "score", limit: int | None = None) -> DataFrame:
@@ -65,9 +72,31 @@ def ranked(scores: DataFrame, by: str = "query_id", key: str = "doc_id", score:
 
 
 def search(documents: DataFrame, queries: DataFrame, fields: Mapping[str, float], limit: int, key: str = "doc_id", query: str = "query_id", most: int = 24) -> DataFrame:
-    """(query, key, score, rank): the best documents of every query at once."""
-    found = matches(postings(documents, fields, key), terms_of(queries, query, most=most), query, key)
-    return ranked(bm25(found, documents, statistics(documents, fields), query, key), query, key, limit=limit)
+    """(query, key, score, rank): the best documents of every query at once.
+
+    Texts are read once: what the wanted tokens meet is written, and frequencies, lengths and scores come from it.
+    """
+    wanted = stored(terms_of(queries, query, most=most).select(query, "token").distinct(), "wanted")
+    every = wanted.select("token").union(documents.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    hits = stored(matches(occurrences(documents, fields, key), small(every, BROADCAST_ROWS), key), "hits")
+    return ranked(bm25(hits, wanted, query, key), query, key, limit=limit)
+
+
+def containing(documents: DataFrame, phrases: DataFrame, key: str = "doc_id", column: str = "text", phrase_key: str = "query_id", phrase: str = "query_text") -> DataFrame:
+    """(phrase_key, key): the documents whose text contains a phrase, character for character; rows may repeat.
+
+    A phrase of five pieces between spaces or more has three in its inside that stand in the text as they are: they
+    are joined by hash, and what meets is checked in full. Shorter phrases are held against every text.
+    """
+    pieces = F.split(F.col(phrase), " ")
+    wanted = phrases.filter(F.col(phrase).isNotNull()).select(F.col(phrase_key), F.col(phrase).alias("_phrase"), F.size(pieces).alias("_size"), F.xxhash64(*[F.get(pieces, F.lit(k)) for k in (1, 2, 3)]).alias("_anchor"))
+    wanted = stored(wanted, "phrases")
+    texts = documents.select(F.col(key), F.col(column).alias("_text"))
+    own = texts.withColumn("_pieces", F.split("_text", " ")).filter(F.size("_pieces") >= 5)
+    anchors = F.transform(F.sequence(F.lit(1), F.size("_pieces") - 4), lambda i: F.xxhash64(*[F.element_at("_pieces", i + k) for k in (1, 2, 3)]))
+    met = own.select(key, "_text", F.explode(F.array_distinct(anchors)).alias("_anchor")).join(small(wanted.filter("_size >= 5"), BROADCAST_ROWS), "_anchor")
+    short = texts.join(F.broadcast(wanted.filter("_size < 5")), F.contains("_text", F.col("_phrase")))
+    return met.filter(F.contains("_text", F.col("_phrase"))).select(phrase_key, key).union(short.select(phrase_key, key))
 
 
 def additive_score(text: Column, phrases: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only by a session on one machine that names no shared folder, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints"
@@ -35,6 +36,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most ``rows`` rows; a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def written() -> list[str]:
     """Paths of the tables that this process wrote and hasn't purged, oldest first."""
     return list(_written)

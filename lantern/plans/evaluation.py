@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lantern.operators import evaluation
+from lantern.operators import evaluation, fulltext
 from lantern.plans.registry import query, table
 from lantern.plans.retrieval import BM25_SQL, lexical
 
@@ -14,7 +14,7 @@ EXPECTED_SQL = "expected as (select item_id as query_id, doc_id from benchmark b
 def _expected(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return docs.join(F.broadcast(queries), F.contains("text", F.col("query_text"))).select("query_id", "doc_id")
+    return fulltext.containing(docs, queries)
 
 
 @query(

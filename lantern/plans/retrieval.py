@@ -11,10 +11,10 @@ from lantern.operators import embedding, fulltext, fusion, selection
 from lantern.plans.registry import query, table
 
 FIELDS = {"text": 1.0, "lang": 1.5, "source": 2.5}
-SLOTS = 64
+SLOTS = 256
 TOKEN = "[0-9A-Za-zÀ-ÖØ-öø-ÿĄĆĘŁŃŚŹŻąćęłńśźż]"
 
-#: BM25 of the first eight query tokens as prefixes, as common table expressions.
+#: BM25 of the first 24 query tokens as prefixes, as common table expressions.
 BM25_SQL = f"""
     words as (
         select doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}+')) as term, 1.0 as w from documents
@@ -25,7 +25,7 @@ BM25_SQL = f"""
     total as (select count(*) as n, (select sum(length) from lens) / count(*)::double as mean_length from documents),
     qt as (select item_id as query_id, unnest(regexp_extract_all(lower(text), '{TOKEN}{{3,}}')) as token, generate_subscripts(regexp_extract_all(lower(text), '{TOKEN}{{3,}}'), 1) as i from benchmark),
     qd as (select query_id, token, row_number() over (partition by query_id order by min(i)) as p from qt group by query_id, token),
-    hit as (select query_id, token, doc_id, sum(wtf) as wtf from qd join post on left(term, 3) = left(token, 3) and starts_with(term, token) where p <= 8 group by all),
+    hit as (select query_id, token, doc_id, sum(wtf) as wtf from qd join post on left(term, 3) = left(token, 3) and starts_with(term, token) where p <= 24 group by all),
     df as (select query_id, token, count(*) as df from hit group by all),
     bm as (
         select query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) as score
@@ -35,7 +35,7 @@ BM25_SQL = f"""
 
 def lexical(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
-    return fulltext.search(table(spark, sf_dir, "documents"), queries, FIELDS, limit, most=8)
+    return fulltext.search(table(spark, sf_dir, "documents"), queries, FIELDS, limit)
 
 
 @query(f"with {BM25_SQL} select query_id, doc_id, score, rank::int as rank from lex where rank <= 6")
@@ -67,8 +67,7 @@ def semantic(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     docs = embedding.hash_embeddings(table(spark, sf_dir, "documents"), SLOTS)
     items = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
     queries = embedding.hash_embeddings(items, SLOTS, key="query_id").withColumnRenamed("embedding", "query_vector")
-    scored = embedding.semantic_scores(docs.join(F.broadcast(queries), F.lit(True)))
-    return fulltext.ranked(scored.select("query_id", "doc_id", F.col("semantic").alias("score")), limit=limit)
+    return embedding.nearest(queries, docs, limit, metric="dot", key="doc_id")
 
 
 COSINE = "round(case when list_dot_product(a.e, a.e) > 0 and list_dot_product(b.e, b.e) > 0 then list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) else 0 end, 6)"
@@ -84,7 +83,7 @@ COSINE = "round(case when list_dot_product(a.e, a.e) > 0 and list_dot_product(b.
 def vector_top(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return embedding.nearest(queries, vectors, 6, least=0.05, condition=F.col("query_id") != F.col("vec_id"))
+    return embedding.nearest(queries, vectors, 6, least=0.05, besides_self=True)
 
 
 @query(
@@ -97,7 +96,7 @@ def vector_top(spark, sf_dir):
 def vector_top_filtered(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query_vector"))
-    return embedding.nearest(queries, vectors, 4, condition=(F.col("query_id") != F.col("vec_id")) & (F.col("query_label") == F.col("label")))
+    return embedding.nearest(queries, vectors, 4, within=("query_label", "label"), besides_self=True)
 
 
 @query("select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as norm from embeddings")
@@ -105,10 +104,10 @@ def vector_norms(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lists(spark: SparkSession, sf_dir: str, most: int = 30) -> DataFrame:
     """Two channels a query: full text, and hash embeddings."""
-    lex = lexical(spark, sf_dir, 30).select("query_id", F.lit("lexical").alias("channel"), F.lit("user").alias("family"), "doc_id", "rank")
-    sem = semantic(spark, sf_dir, 30).select("query_id", F.lit("vector").alias("channel"), F.lit("named_institution_vector").alias("family"), "doc_id", "rank")
+    lex = lexical(spark, sf_dir, most).select("query_id", F.lit("lexical").alias("channel"), F.lit("user").alias("family"), "doc_id", "rank")
+    sem = semantic(spark, sf_dir, most).select("query_id", F.lit("vector").alias("channel"), F.lit("named_institution_vector").alias("family"), "doc_id", "rank")
     return lex.unionByName(sem)
 
 
@@ -137,14 +136,14 @@ def rank_fusion(spark, sf_dir):
 @query(
     f"""
     with {BM25_SQL}, {SEMANTIC_SQL},
-    b as (select query_id, doc_id, coalesce(l.rank, 100000) as lr, coalesce(n.rank, 100000) as sr from (select * from lex where rank <= 30) l full outer join (select * from near where rank <= 30) n using (query_id, doc_id)),
+    b as (select query_id, doc_id, coalesce(l.rank, 100000) as lr, coalesce(n.rank, 100000) as sr from (select * from lex where rank <= 120) l full outer join (select * from near where rank <= 120) n using (query_id, doc_id)),
     s as (select *, round(0.65 / (20 + lr) + 0.35 / (20 + sr), 8) as score from b),
     r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s)
     select query_id, doc_id, lr::int as lexical_rank, sr::int as semantic_rank, score, rank::int as rank from r where rank <= 6"""
 )
 def hybrid_search(spark, sf_dir):
     """The flagship: BM25 and hash embeddings, fused for every query at once."""
-    lists = _lists(spark, sf_dir)
+    lists = _lists(spark, sf_dir, max(20 * 6, 120))
     return fusion.hybrid(lists.filter("channel = 'lexical'"), lists.filter("channel = 'vector'"), 6)
 
 
@@ -274,7 +273,7 @@ def cooccurrence(spark, sf_dir):
 def exact_before_fulltext(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    exact = docs.join(F.broadcast(queries), F.contains("text", F.col("query_text"))).select("query_id", "doc_id", F.lit(0).alias("priority"))
+    exact = fulltext.containing(docs, queries).select("query_id", "doc_id", F.lit(0).alias("priority"))
     return fulltext.first_nonempty(exact.union(lexical(spark, sf_dir, 3).select("query_id", "doc_id", F.lit(1))))
 
 

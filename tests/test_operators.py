@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lantern.functions import calculations, text, vectors
-from lantern.operators import chunking, embedding, evaluation, evidence, fusion, graph, incremental, inventory, lineage, provisions, selection, temporal
+from lantern.operators import chunking, embedding, evaluation, evidence, fulltext, fusion, graph, incremental, inventory, lineage, provisions, selection, temporal
 from lantern.sources import readers, writers
 from lantern.streaming import ingest
 
@@ -294,3 +294,30 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_documents_that_contain_phrases(spark):
+    r = random.Random(7)
+    words = lambda n: " ".join(r.choice("abcde") * r.randint(1, 2) for _ in range(n))
+    docs = [(i, r.choice([words(r.randint(0, 40)), f"x{words(6)}  {words(5)}\n{words(3)}"])) for i in range(60)] + [(60, None), (61, "")]
+    phrases = [(k, t[a : a + r.randint(0, 25)]) for k, (t, a) in enumerate((r.choice(docs[:60])[1], r.randint(0, 20)) for _ in range(80))] + [(90, None), (91, "not there at all in any")]
+    found = fulltext.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(phrases, "query_id long, query_text string"))
+    assert {(x["query_id"], x["doc_id"]) for x in found.collect()} == {(k, i) for k, p in phrases for i, t in docs if p is not None and t is not None and p in t}
+
+
+def test_nearest_against_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(embedding, "VECTOR_BLOCK", 7)
+    r = random.Random(8)
+    rows = [(i, r.choice("ab"), [float(r.randint(-3, 3)) for _ in range(3)]) for i in range(80)] + [(80, "a", [0.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").union(spark.createDataFrame([(81, "a", None)], "vec_id long, label string, embedding array<double>"))
+    queries = df.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("embedding").alias("query_vector"))
+    found = {}
+    for x in embedding.nearest(queries, df, 5, within=("own", "label"), besides_self=True).orderBy("query_id", "rank").collect():
+        found.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    for i, label, v in rows:
+        if i % 10 == 0:
+            scores = [(k, float(embedding.rounded(sum(a * b for a, b in zip(v, w)) / (size(v) * size(w)) if size(v) * size(w) else 0.0))) for k, other, w in rows if other == label and k != i]
+            assert found[i] == sorted(scores, key=lambda x: (-x[1], x[0]))[:5]
+    assert embedding.nearest(queries.limit(0), df, 5).count() == 0 and embedding.nearest(queries, df.limit(0), 5).count() == 0
