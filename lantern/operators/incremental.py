@@ -47,3 +47,21 @@ def missing_days(done: DataFrame, first: Column, last: Column, day: str = "day")
 
 def first_wins(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_rn = 1").drop("_rn")
+
+
+def pending(records: DataFrame, cursors: DataFrame, manifest: DataFrame, source: str = "source", position: str = "position") -> DataFrame:
+    """The records that a resumed load still has to take: those after their source's cursor.
+
+    ``cursors`` is (source, cursor, manifest_hash), ``manifest`` (source, manifest_hash): a source whose manifest has
+    changed, or that has no cursor, begins anew. One row a source, so both are broadcast.
+    """
+    valid = cursors.join(manifest.select(F.col(source).alias("_source"), F.col("manifest_hash").alias("_now")), (F.col(source) == F.col("_source")) & (F.col("manifest_hash") == F.col("_now")))
+    marks = valid.select(F.col(source).alias("_source"), F.col("cursor").alias("_cursor"))
+    rows = records.join(F.broadcast(marks), F.col(source) == F.col("_source"), "left")
+    return rows.filter(F.col("_cursor").isNull() | (F.col(position) > F.col("_cursor"))).drop("_source", "_cursor")
+
+
+def advanced(cursors: DataFrame, loaded: DataFrame, manifest: DataFrame, source: str = "source", position: str = "position") -> DataFrame:
+    """(source, cursor, manifest_hash) after a load: the last position taken of each source, others as they were."""
+    taken = loaded.groupBy(source).agg(F.max(position).alias("cursor")).join(manifest, source).select(source, "cursor", "manifest_hash")
+    return taken.unionByName(cursors.select(source, "cursor", "manifest_hash").join(taken.select(source), source, "left_anti"))
