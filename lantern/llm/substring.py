@@ -284,6 +284,8 @@ def _with_spans(docs: DataFrame, found: DataFrame, key: str, column: str) -> Dat
     right = found.select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
     if size <= BROADCAST_SPANS and (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= 8 * BROADCAST_SPANS:
         right = F.broadcast(right)
+    else:  # the same plan at every size
+        right = right.hint("merge")
     keyed, rest = docs.filter(docs[key].isNotNull()), docs.filter(docs[key].isNull())
     joined = keyed.join(right, (keyed[key].cast("long") == F.col("_doc")) & (F.xxhash64(keyed[column]) == F.col("_mark")), "left").drop("_doc", "_mark")
     return joined.unionByName(rest.withColumn("_spans", F.lit(None).cast(SPANS)))
