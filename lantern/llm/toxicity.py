@@ -158,6 +158,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows:
         rows = [(i, x.category, x.bias, x.features.tolist(), x.weights.tolist(), x.earlier.tolist()) for i, x in enumerate(chain)]
         columns = zip(*rows) if rows else [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["link", "category", "bias", "features", "weights", "earlier"])
+        del sample, lists
+        W.release_memory()
 
     order = list(categories)
     names = ["id", *[f"y_{i}" for i in range(len(y))], "features"]
