@@ -29,7 +29,7 @@ BUCKET_BYTES, MOST_BUCKET_BITS = 8 << 20, 22
 #: Rows and bytes of a batch of Arrow rows.
 SEND_ROWS, SEND_BYTES = 1_000, 1 << 20
 #: Documents and n-grams of a batch: entries number documents in 16 bits.
-BATCH_DOCS, BATCH_GRAMS = 20_000, 1_000_000
+BATCH_DOCS, BATCH_GRAMS = 20_000, 500_000
 #: An n-gram in so many documents of one batch is sent once with its count.
 COMMON = 256
 ALL = 0xFFFF
