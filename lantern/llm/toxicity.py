@@ -20,6 +20,8 @@ from lantern.llm import _words as W
 TRAIN_ROWS = 20_000
 FEATURE_BITS = 20
 FOLDS = 3
+#: Documents whose entries are expanded at once while fitting.
+BLOCK_ROWS = 1_000
 #: Words enter if their share differs between the classes by so many standard errors and so many documents have them.
 LEAST_Z, LEAST_DOCS = 4.5, 4
 #: The classes weigh the same in training, so a few rare words can carry a clean text a little over one half.
@@ -66,32 +68,50 @@ class Rows:
 
     def __init__(self, lists: Sequence[Sequence[int]]):
         self.n = len(lists)
-        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in lists])
-        feature = np.concatenate([np.asarray(x, np.int32) for x in lists]) if self.n else np.zeros(0, np.int32)
-        self.values = np.unique(feature)
-        self.feature = np.searchsorted(self.values, feature).astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+        occurs = np.zeros(1 << FEATURE_BITS, bool)
+        for x in lists:
+            occurs[x] = True
+        self.values = np.flatnonzero(occurs)
+        number = np.cumsum(occurs, dtype=np.int32) - 1
+        self.feature = np.empty(self.first[-1], np.int32)
+        for x, lo in zip(lists, self.first):
+            self.feature[lo : lo + len(x)] = number[x]
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Documents and features of all entries, BLOCK_ROWS documents at a time."""
+        for lo in range(0, self.n, BLOCK_ROWS):
+            own = self.first[lo : lo + BLOCK_ROWS + 1]
+            yield np.repeat(np.arange(lo, lo + len(own) - 1), np.diff(own)), self.feature[own[0] : own[-1]]
 
     def sums(self, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
         table = np.zeros(len(self.values))
         table[np.searchsorted(self.values, features)] = weights
-        return np.bincount(self.doc, table[self.feature], self.n)
+        out = np.zeros(self.n)
+        for doc, feature in self.blocks():
+            out += np.bincount(doc, table[feature], self.n)
+        return out
 
 
 def _fit(category: str, rows: Rows, keep: np.ndarray, y: np.ndarray, before: list[np.ndarray]) -> Link:
     """Logistic regression with an L2 penalty on the rows in ``keep``; both classes weigh the same."""
     size = len(rows.values)
-    mine = keep[rows.doc]
-    doc, feature = rows.doc[mine], rows.feature[mine]
-    n1, n0 = max(1, int((keep & (y > 0)).sum())), max(1, int((keep & (y == 0)).sum()))
-    c1 = np.bincount(feature[y[doc] > 0], minlength=size)
-    c0 = np.bincount(feature[y[doc] == 0], minlength=size)
+    of_class = [keep & (y == 0), keep & (y > 0)]
+    n0, n1 = (max(1, int(x.sum())) for x in of_class)
+    c0, c1 = np.zeros((2, size), np.int64)
+    for doc, feature in rows.blocks():
+        for c, own in zip((c0, c1), of_class):
+            c += np.bincount(feature[own[doc]], minlength=size)
     share = (c1 + c0) / (n1 + n0)
     z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     chosen = np.flatnonzero((np.abs(z) >= LEAST_Z) & (c1 + c0 >= LEAST_DOCS))
     number = np.full(size, -1)
     number[chosen] = np.arange(len(chosen))
-    mine = number[feature] >= 0
-    doc, column = doc[mine], number[feature[mine]]
+    entries = []
+    for doc, feature in rows.blocks():
+        mine = keep[doc] & (number[feature] >= 0)
+        entries.append((doc[mine].astype(np.int32), number[feature[mine]].astype(np.int32)))
+    doc, column = (np.concatenate(x) for x in zip(*entries))
     extra = np.stack([np.ones(rows.n), *before])  # bias and earlier probabilities
     w, e = np.zeros(len(chosen)), np.zeros(len(extra))
     moments = [np.zeros(len(chosen) + len(e)) for _ in range(2)]
@@ -158,16 +178,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows:
         rows = [(i, x.category, x.bias, x.features.tolist(), x.weights.tolist(), x.earlier.tolist()) for i, x in enumerate(chain)]
         columns = zip(*rows) if rows else [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["link", "category", "bias", "features", "weights", "earlier"])
-        del sample, lists
-        W.release_memory()
 
     order = list(categories)
     names = ["id", *[f"y_{i}" for i in range(len(y))], "features"]
     sample_schema = pa.schema([("id", pa.int64()), *[(f"y_{i}", pa.int32()) for i in range(len(y))], ("features", pa.list_(pa.int32()))])
     kinds = [pa.int32(), pa.string(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-    features = texts.mapInArrow(run, "id long, " + ", ".join(f"y_{i} int" for i in range(len(y))) + ", features array<int>")
+    features = texts.mapInArrow(W.tidy(run), "id long, " + ", ".join(f"y_{i} int" for i in range(len(y))) + ", features array<int>")
     # The limit brings the bounded sample to one task.
-    fitted = features.limit(rows).mapInArrow(fit, "link int, category string, bias double, features array<int>, weights array<double>, earlier array<double>").toArrow().sort_by("link")
+    fitted = features.limit(rows).mapInArrow(W.tidy(fit), "link int, category string, bias double, features array<int>, weights array<double>, earlier array<double>").toArrow().sort_by("link")
     return [Link(x["category"], x["bias"], np.array(x["features"], np.int32), np.array(x["weights"], float), np.array(x["earlier"], float)) for x in fitted.to_pylist()]
 
 
@@ -207,7 +225,7 @@ def score(docs: DataFrame, chain: list[Link], categories: Sequence[str], thresho
     kind = docs.schema[key].dataType.simpleString()
     names = ["key", *[f"p_{c}" for c in categories], f"is_{categories[-1]}"]
     schema = f"key {kind}, " + ", ".join(f"p_{c} double" for c in categories) + f", is_{categories[-1]} boolean"
-    return docs.select(docs[key].alias("key"), docs[column].cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return docs.select(docs[key].alias("key"), docs[column].cast("string").alias("text")).mapInArrow(W.tidy(run), schema).withColumnRenamed("key", key)
 
 
 def keep(docs: DataFrame, chain: list[Link], threshold: float = THRESHOLD, column: str = "text") -> DataFrame:
@@ -223,6 +241,7 @@ def keep(docs: DataFrame, chain: list[Link], threshold: float = THRESHOLD, colum
     def verdict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in texts:
             yield pa.array(probabilities(shared.value, W.as_bytes(text))[-1] >= threshold)
+        W.release_memory()
 
     toxic = F.arrow_udf(verdict, "boolean")
     return docs.filter(~toxic(docs[column].cast("string")))
