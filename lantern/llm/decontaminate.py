@@ -248,14 +248,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", column: st
     known = spark.sparkContext.broadcast(table)
 
     texts = docs.filter(docs[key].isNotNull()).select(docs[key].cast("long").alias("id"), F.xxhash64(docs[column]).alias("copy"), docs[column].cast("string").alias("text"))
-    met = texts.mapInArrow(_windows(sizes, known), _SCHEMA).select(F.col("id").alias("doc"), F.col("copy").alias("doc_copy"), "reading", "hash", "length", F.col("pos").alias("at"), "first", "last", F.col("plain").alias("doc_plain"), F.col("slots").alias("values"))
+    met = texts.mapInArrow(W.tidy(_windows(sizes, known)), _SCHEMA).select(F.col("id").alias("doc"), F.col("copy").alias("doc_copy"), "reading", "hash", "length", F.col("pos").alias("at"), "first", "last", F.col("plain").alias("doc_plain"), F.col("slots").alias("values"))
     right = asked.select(F.col("id").alias("item"), "copy", "reading", "size", "hash", "length", "pos", "plain", "offsets", "slots")
     if asked.count() <= BROADCAST_WINDOWS:
         right = F.broadcast(right)
     met = met.join(right, ["hash", "length", "reading"]).filter(F.size("values") == F.size("slots"))
     window = F.struct("pos", "length", "first", "last", (F.col("plain") & F.col("doc_plain")).alias("plain"), "offsets", "slots", "values")
     lines = met.groupBy("doc", "doc_copy", "item", "copy", "reading", "size", (F.col("at") - F.col("pos")).alias("shift")).agg(F.collect_set(window).alias("windows"))
-    best = lines.select("doc", "item", "size", "windows").mapInArrow(_longest, "doc long, item long, n_words long, start long, exact boolean")
+    best = lines.select("doc", "item", "size", "windows").mapInArrow(W.tidy(_longest), "doc long, item long, n_words long, start long, exact boolean")
     best = best.groupBy("doc", "item").agg(F.min(F.struct((-F.col("n_words")).alias("n"), "start", (~F.col("exact")).alias("changed"))).alias("x"))
     return best.select(F.col("doc").alias(key), F.col("item").alias("item_id"), (-F.col("x.n")).alias("n_words"), F.col("x.start").alias("start"), (~F.col("x.changed")).alias("exact"))
 

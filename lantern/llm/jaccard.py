@@ -310,7 +310,7 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 75, key: s
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES, 16)
     bits = min(MOST_BUCKET_BITS, (buckets - 1).bit_length())
-    answers = texts.mapInArrow(_pack(words, bits), _PACKED).groupBy("bucket").applyInArrow(_count, _ANSWER)
+    answers = texts.mapInArrow(W.tidy(_pack(words, bits)), _PACKED).groupBy("bucket").applyInArrow(_count, _ANSWER)
     made = answers.groupBy("batch").applyInArrow(_order(percent, bits), _SETS)
     every = materialise(made.withColumn("node", F.xxhash64("one", "two", "n")).drop("one", "two"), "sets")
 

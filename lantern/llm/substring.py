@@ -30,6 +30,8 @@ from lantern.llm._storage import materialise
 BATCH_BYTES = 8 << 20
 #: Bits of the filters that tell tasks which anchors are shared: 16 an anchor, within these bounds (16 MB at most).
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Windows whose anchors are sought at once; a very long text is one chunk.
+SLICE_WINDOWS = 10_000
 #: Words of 64 bits of a filter that one task packs.
 PIECE_WORDS = 8192
 #: Spans of this many documents, and eight times as many spans, are broadcast at most; beyond it texts are shuffled.
@@ -55,7 +57,8 @@ class _Blocks:
                 starts = np.arange(n - k + 1)
                 grams = W.span_hash(sums, starts, starts + k)
                 views = np.lib.stride_tricks.sliding_window_view(grams, w - k + 1)
-                anchor = at + (views[at] if len(at) < len(views) else views).argmin(axis=1)
+                parts = (at[lo : lo + SLICE_WINDOWS] for lo in range(0, len(at), SLICE_WINDOWS))
+                anchor = np.concatenate([part + views[part].argmin(axis=1) for part in parts])
                 new = np.ones(len(at), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (c.doc[at[1:]] != c.doc[at[:-1]])
                 first = np.flatnonzero(new)
@@ -240,13 +243,13 @@ def factors(docs: DataFrame, window: int = 50, key: str = "doc_id", column: str
     """
     texts = docs.filter(docs[key].isNotNull()).select(docs[key].cast("long").alias("doc_id"), F.xxhash64(docs[column]).alias("mark"), docs[column].cast("string").alias("text"))
     spark = docs.sparkSession
-    seen = texts.mapInArrow(_anchors(window), "anchor long, lo long, hi long, c_lo long, c_hi long")
+    seen = texts.mapInArrow(W.tidy(_anchors(window)), "anchor long, lo long, hi long, c_lo long, c_hi long")
     seen = seen.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.min("c_lo") != F.max("c_hi")).alias("differ")).filter("lo < hi")
     shared = materialise(seen.select("anchor", "differ"), "anchors")
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * shared.count()).bit_length()))
     filters = [spark.sparkContext.broadcast(_filter_of(df, bits)) for df in (shared, shared.filter("differ"))]
 
-    blocks = materialise(texts.mapInArrow(_known(window, *filters), _BLOCK), "blocks")
+    blocks = materialise(texts.mapInArrow(W.tidy(_known(window, *filters)), _BLOCK), "blocks")
     for x in filters:
         x.destroy()
     place = F.struct(F.col("doc_id").alias("source"), F.array_min("starts").alias("at"))
@@ -266,7 +269,7 @@ def factors(docs: DataFrame, window: int = 50, key: str = "doc_id", column: str
     single = single.select("doc_id", "mark", F.transform("starts", lambda s: span(s + F.col("i"), s + F.col("i") + window)).alias("spans"))
     batched = blocks.filter("spans is not null").select("doc_id", "mark", "spans")
     every = batched.union(whole).union(single).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return materialise(every.mapInArrow(_parse, every.schema), "factors")
+    return materialise(every.mapInArrow(W.tidy(_parse), every.schema), "factors")
 
 
 def covered(spans: list[dict] | None, n: int) -> np.ndarray:
@@ -317,9 +320,8 @@ def kept_words(docs: DataFrame, window: int = 50, key: str = "doc_id", column: s
                 removed.append(len(words) - len(kept))
                 digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["key", "n_words", "n_removed", "kept_sha256"])
-            W.release_memory()
 
-    return joined.select("key", "text", "_spans").mapInArrow(run, f"key {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("key", key)
+    return joined.select("key", "text", "_spans").mapInArrow(W.tidy(run), f"key {kind}, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("key", key)
 
 
 def cut_text(text: bytes, spans: list[dict]) -> bytes:
@@ -350,5 +352,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", colum
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(keep, pa.bool_()), *batch.columns[2:]], names=schema.names)
 
     schema = T.StructType([T.StructField("_cut", T.StringType()), T.StructField("_keep", T.BooleanType()), *plain.schema.fields])
-    changed = joined.select(F.col(own_text).cast("string").alias("_text"), "_spans", *plain.columns).mapInArrow(run, schema).filter("_keep")
+    changed = joined.select(F.col(own_text).cast("string").alias("_text"), "_spans", *plain.columns).mapInArrow(W.tidy(run), schema).filter("_keep")
     return changed.select(*[(F.coalesce("_cut", c) if c == own_text else F.col(c)).alias(name) for c, name in zip(plain.columns, docs.columns)])
