@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm import bpe, chat, decontaminate, html, jaccard, lengths, sharding, substring, topk, toxicity
+from lantern.llm import bpe, chat, decontaminate, html, jaccard, lengths, lexical, repair, sharding, substring, token_files, topk, toxicity
 from lantern.llm._storage import materialise
 
 #: Categories of the chain in order, as 0 or 1 over ``labels``.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
+#: Id that ends each document in the token files.
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain, list(CATEGORIES))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = token_files.write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_ID)
+    return token_files.read_spans(segments)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report, _ = repair.repair(repair.damaged(rows))
+    return repair.with_every(report, rows)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_token_counts": op2_token_counts,
@@ -83,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_token_files": op11_token_files,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -138,4 +158,18 @@ ORACLE_SQL: dict[str, str] = {
                 case when gone is null then ws else list_filter(ws, lambda x, j: not list_contains(gone, j)) end as kept
             from w left join c using (doc_id))
         select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k""",
+    "op13_lexical_search": r"""
+        with d as materialized (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+        b as (
+            select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+        q as (select item_id, t, count(*) as k from b group by all),
+        e as (select count(*) as docs, sum(len(ts))::bigint as terms from d where len(ts) > 0),
+        p as materialized (select doc_id, n, t, count(*) as tf from (select doc_id, len(ts) as n, unnest(ts) as t from d) where t in (select t from q) group by all),
+        w as (select t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::double))::bigint as w from p, e group by t, docs),
+        s as (
+            select item_id, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::bigint as score
+            from q join p using (t) join w using (t), e group by all),
+        r as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0)
+        select item_id, rank, doc_id, score from r where rank <= 10""",
 }
