@@ -8,12 +8,15 @@ how many stand before a part comes from the sums of the parts. So nothing holds
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,82 +29,154 @@ from lantern.llm._storage import light, materialise
 #: Ids of a segment; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 18
 SEGMENT_DOCS = 1 << 16
-#: Words whose ids a worker keeps before it starts afresh, and the longest of them in bytes.
-KEPT_WORDS, KEPT_BYTES = 400_000, 64
+#: Pieces of words whose ids a worker keeps before it starts afresh, and the characters of the longest of them.
+KEPT_PIECES, KEPT_LENGTH = 1_000_000, 64
+#: Bytes of text that are encoded at once; a longer text is a run of its own.
+RUN_BYTES = 4 << 20
+SPACES = " \t\n\x0b\x0c\r"
+# Fixed value: the pattern by which files with word ends cut texts.
+CLASSES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Of each byte of ASCII: letter 1, digit 2, other 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
 #: Part files whose sums are formed in one task.
 BLOCK = 1024
 #: Sums of parts that are broadcast at most.
 BROADCAST_PARTS = 1_000_000
 
 
+def cuts(spec: dict) -> tuple[bool, bool, str] | None:
+    """(cut at classes, lower case, characters of words that stay whole) if a file's encoding is that of its words apart.
+
+    That holds for files that drop white space before they merge, and whose normalizer looks at no neighbours beyond it;
+    None for all others. Where the file cuts between letters, single digits and other characters, words may be cut there
+    too if both neighbours are ASCII, but for words with an apostrophe or a character that begins a special token.
+    Words with characters beyond ASCII keep their case, as the normalizer composes before it lowers.
+    """
+    normal, split = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = normal.get("normalizers", [normal] if normal else [])
+    pieces = split.get("pretokenizers", [split] if split else [])
+    tokens = [x["content"] for x in spec["added_tokens"]]
+    known = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in steps)
+    drops = [x["type"] for x in pieces] == ["Split", "ByteLevel"] and pieces[0]["behavior"] == "Removed" and pieces[0]["invert"] and not pieces[1]["add_prefix_space"] and not pieces[1]["use_regex"]
+    if not known or not drops or pieces[0]["pattern"].get("Regex") != CLASSES or any(not x or not x.isascii() or set(x) & set(SPACES) for x in tokens):
+        return None
+    return True, any(x["type"] == "Lowercase" for x in steps), "'" + "".join(x[0] for x in tokens)
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file.
+    """Ids of texts by a tokenizer file and its library.
 
-    With ``apart``, a text is encoded by its runs between ASCII white space, each of which the library sees once for as
-    long as the worker keeps it. That equals the encoding of the whole text for files that drop white space before they
-    merge, and whose normalizer looks at no neighbours beyond it.
+    Where ``cuts`` allows it, the library sees each word, or piece of a word, once for as long as the worker keeps it; the ids
+    of a text are then put together from those of its pieces. For other files it sees whole texts.
     """
 
-    def __init__(self, path: str, apart: bool):
+    def __init__(self, path: str, apart: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self._library, self._apart = Tokenizer.from_file(path), apart
+        self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
         self.wide = max(self._library.get_vocab(True).values(), default=0) >= 1 << 16
+        with open(path, encoding="utf-8") as f:
+            self._cuts = cuts(json.load(f)) if apart else None
+        if self._cuts:
+            self._whole = np.zeros(256, bool)
+            self._whole[[ord(x) for x in self._cuts[2]]] = True
         self._forget()
 
     def _forget(self) -> None:
         self._place: dict[str, int] = {}
-        self._pool, self._first, self._used, self._words = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
+        self._pool, self._first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, word: str, ids: list[int]) -> int:
-        while self._used + len(ids) > len(self._pool):
-            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
-        if self._words + 2 > len(self._first):
-            self._first = np.concatenate([self._first, np.zeros_like(self._first)])
-        self._pool[self._used : self._used + len(ids)] = ids
-        self._used += len(ids)
-        at = self._words
-        self._words += 1
-        self._first[self._words] = self._used
-        self._place[word] = at
-        return at
+    def _learn(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """(words, counts, ids) of pieces that the pool doesn't hold; the library takes many together where it keeps them apart."""
+        plain = [x for x in words if x.isascii() and not set(x) & set(self._cuts[2])] if self._cuts[0] else []
+        rest = set(words).difference(plain)
+        for i in range(0, len(plain), 1000):
+            own = plain[i : i + 1000]
+            found = self._library.encode(" ".join(own), add_special_tokens=False)
+            counts = np.bincount(np.array(found.word_ids, np.int64), minlength=len(own))
+            if len(counts) == len(own) and counts.all():
+                yield own, counts, np.array(found.ids, np.uint32)
+            else:
+                rest.update(own)
+        if rest:
+            own = list(rest)
+            found = self.whole(own)
+            yield own, np.array([len(x) for x in found], np.int64), np.fromiter(itertools.chain.from_iterable(found), np.uint32)
+
+    def _places(self, own: list[str]) -> np.ndarray:
+        """Where the ids of each piece stand in the pool, which learns those that it doesn't hold."""
+        if len(self._place) + len(own) > KEPT_PIECES or len(self._pool) > 8 * KEPT_PIECES:
+            self._forget()
+        missing = [x for x in own if x not in self._place]
+        if missing:
+            words, counts, ids = zip(*self._learn(missing))
+            self._place.update(zip(itertools.chain.from_iterable(words), itertools.count(len(self._first) - 1)))
+            self._first = np.concatenate([self._first, len(self._pool) + np.cumsum(np.concatenate(counts))])
+            self._pool = np.concatenate([self._pool, *ids])
+        return np.array([self._place[x] for x in own], np.int64)
+
+    def _pieces(self, texts: list[bytes], docs: list[int]) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of some texts in order, and how many stand before each text and in all."""
+        raw, base = W.layout(texts, docs)
+        inside = ~W.SPACE[raw]
+        start, end = W.edges(inside)
+        size = end - start
+        begin = np.cumsum(size) - size
+        data = raw[inside]
+        split, lower, _ = self._cuts
+        beyond = data >= 128
+        held = [np.add.reduceat(x, begin, dtype=np.int32) > 0 if len(begin) else np.zeros(0, bool) for x in (self._whole[data], beyond)]
+        whole, foreign = (np.repeat(x, size) for x in held)
+        if lower:
+            data = np.where(whole | foreign, data, W.LOWER[data])
+        new = np.zeros(len(data), bool)
+        if split:
+            kind = _KIND[data]
+            new[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & ~(whole[1:] | beyond[1:] | beyond[:-1])
+        new[begin] = True
+        at = np.flatnonzero(new)
+        before = np.append(begin, len(data))[np.append(np.searchsorted(start, base), len(start))]
+        offsets = pa.py_buffer(np.append(at, len(data)))
+        return pa.LargeStringArray.from_buffers(len(at), offsets, pa.py_buffer(data)), np.searchsorted(at, before)
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
         """(places of the texts, counts, ids) for runs of texts; the ids of a run are one array."""
-        for docs in W.chunked(texts):
-            if not self._apart:
+        for docs in _runs(texts):
+            if not self._cuts:
                 found = self.whole([texts[i].decode() for i in docs])
-                yield docs, np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.uint32)
+                yield docs, np.array([len(x) for x in found], np.int64), np.fromiter(itertools.chain.from_iterable(found), np.uint32)
                 continue
-            raw, base = W.layout(texts, docs)
-            inside = ~W.SPACE[raw]
-            start, end = W.edges(inside)
-            offsets = np.zeros(len(start) + 1, np.int64)
-            np.cumsum(end - start, out=offsets[1:])
-            words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(raw[inside])).dictionary_encode()
-            own = words.dictionary.to_pylist()
-            if len(self._place) + len(own) > KEPT_WORDS:
-                self._forget()
-            places = [self._place.get(x) for x in own]
-            missing = [i for i, p in enumerate(places) if p is None]
-            for i, ids in zip(missing, self.whole([own[i] for i in missing])):
-                places[i] = self._keep(own[i], ids)
-            word = np.array(places, np.int64)[words.indices.to_numpy(zero_copy_only=False)] if own else np.zeros(0, np.int64)
-            size = self._first[word + 1] - self._first[word]
-            ends = np.cumsum(size)
-            ids = self._pool[np.repeat(self._first[word] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-            upto = np.append(0, ends)[np.append(np.searchsorted(start, base), len(start))]
-            yield docs, np.diff(upto), ids
-            if any(len(x) > KEPT_BYTES for x in own):  # rare words of any length don't stay
-                for x in own:
-                    if len(x) > KEPT_BYTES:
-                        self._place.pop(x, None)
+            pieces, before = self._pieces(texts, docs)
+            pieces = pieces.dictionary_encode()
+            place = self._places(pieces.dictionary.to_pylist())[pieces.indices.to_numpy(zero_copy_only=False)]
+            first = self._first[place]
+            size = self._first[place + 1] - first
+            ends = np.append(0, np.cumsum(size))
+            ids = self._pool[np.repeat((first - ends[:-1]).astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)]
+            yield docs, np.diff(ends[before]), ids
+            if (pc.max(pc.utf8_length(pieces.dictionary)).as_py() or 0) > KEPT_LENGTH:
+                for x in pieces.dictionary.filter(pc.greater(pc.utf8_length(pieces.dictionary), KEPT_LENGTH)).to_pylist():
+                    del self._place[x]
+
+
+def _runs(texts: list[bytes]) -> Iterator[list[int]]:
+    own, size = [], 0
+    for i, x in enumerate(texts):
+        if own and size + len(x) > RUN_BYTES:
+            yield own
+            own, size = [], 0
+        own.append(i)
+        size += len(x)
+    if own:
+        yield own
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

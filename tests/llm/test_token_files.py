@@ -72,8 +72,27 @@ def test_part_starts(spark, monkeypatch):
     assert found == {p: 2 * sum(sizes[:p]) for p in range(len(sizes))}
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.text(st.sampled_from("aZ' \t19.<|>endoftxsré́\u0331HÅ\u0085\x1cΣß")), max_size=5))
+def test_encoder_by_library(library, texts):
+    texts = [*texts, "".join(texts), "it's<|endoftext|>H\u0331 H'Re 'LL 12a3"]
+    coder = token_files.encoder(vocabulary("word_bpe_49k.json"), True)
+    for places, counts, ids in coder.encode([t.encode() for t in texts]):
+        own = np.split(ids, np.cumsum(counts)[:-1])
+        assert [x.tolist() for x in own] == [library.encode(texts[i], add_special_tokens=False).ids for i in places]
+
+
+def test_other_files_see_whole_texts():
+    coder = token_files.encoder(vocabulary("byte_bpe_50k.json"), True)
+    from tokenizers import Tokenizer
+
+    library, texts = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")), ["Two  words\n", "", " 12 é"]
+    ((places, counts, ids),) = coder.encode([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_words_forgotten(library, monkeypatch):
-    monkeypatch.setattr(token_files, "KEPT_WORDS", 3)
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 3)
     coder = token_files.Encoder(vocabulary("word_bpe_49k.json"), True)
     for _ in range(3):
         texts = ["one two two " + "z" * 100, "", "three four five six seven"]
