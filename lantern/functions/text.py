@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 SPACE = "[ \\t\\n\\r\\f\\x0B]"
 TOKEN = "[0-9A-Za-zÀ-ÖØ-öø-ÿĄĆĘŁŃŚŹŻąćęłńśźż]"
+#: What is left of TOKEN in lower-cased text; fewer ranges are matched faster.
+LOWER_TOKEN = "[a-z0-9ß-öø-ÿąćęłńśźż]"
 # Reference to a provision, and the labels and patterns of personal data in the order they are applied.
 CITATION = rf"art\.{SPACE}*[0-9]+[a-z]*(?:{SPACE}*(?:ust\.{SPACE}*[0-9]+[a-z]*|§{SPACE}*[0-9]+[a-z]*))?(?:{SPACE}*pkt{SPACE}*[0-9]+[a-z]*)?(?:{SPACE}*lit\.{SPACE}*[a-z])?"
 PERSONAL = {
@@ -37,7 +39,7 @@ def cut_boilerplate(c: Column, openings: Sequence[str]) -> Column:
 
 def tokens(c: Column, least: int = 3) -> Column:
     """Lower-cased tokens of at least so many letters or digits, in order, with repeats."""
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN + "{" + str(least) + ",}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(LOWER_TOKEN + "{" + str(least) + ",}"), F.lit(0))
 
 
 def query_tokens(c: Column, most: int = 24, least: int = 3) -> Column:

@@ -11,6 +11,8 @@ from lantern.functions.text import query_tokens, tokens
 from lantern.operators.lineage import small, stored
 
 K1, B = 1.2, 0.75
+#: Letters of the shortest token that a query looks for.
+LEAST = 3
 #: Query tokens that are broadcast to the documents; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
 
@@ -36,25 +38,26 @@ def terms_of(queries: DataFrame, key: str = "query_id", column: str = "text", mo
 def matches(words: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
     """(token, key, length, weighted_tf): documents with a term that begins with a wanted token.
 
-    ``wanted`` has each token once, whatever the number of queries that look for it. Joined on the first three
-    letters, which every token has, and checked in full; so a prefix is an equality join. A document's repeats of a
-    term are added before they are joined.
+    ``wanted`` has each token once, whatever the number of queries that look for it. A term is exploded into its beginnings
+    of LEAST letters and more, so that a prefix is an equality join, and a frequent beginning meets no tokens but its own.
+    Words that no query looks for go no further than the task that read them. The empty token finds the empty term.
     """
-    left = wanted.select("token", F.left("token", F.lit(3)).alias("_stem"))
-    terms = words.groupBy(key, "length", "term").agg(F.sum("w").alias("w"))
-    found = terms.withColumn("_stem", F.left("term", F.lit(3))).join(left, "_stem").filter(F.startswith("term", F.col("token")))
+    lengths = F.when(F.length("term") >= LEAST, F.sequence(F.lit(LEAST), F.length("term"))).when(F.col("term") == "", F.array(F.lit(0)))
+    begins = words.withColumn("_n", F.explode(lengths)).withColumn("token", F.left("term", F.col("_n")))
+    found = begins.join(wanted.select("token"), "token")
     return found.groupBy("token", key, "length").agg(F.sum("w").alias("weighted_tf"))
 
 
-def bm25(hits: DataFrame, wanted: DataFrame, query: str = "query_id", key: str = "doc_id", digits: int = 6, rows: int = BROADCAST_ROWS) -> DataFrame:
+def bm25(hits: DataFrame, wanted: DataFrame, query: str = "query_id", key: str = "doc_id", digits: int = 6, rows: int = BROADCAST_ROWS, total: DataFrame | None = None) -> DataFrame:
     """(query, key, score): BM25 over prefix tokens; higher is better.
 
-    ``hits`` is as from ``matches``, with the documents' own rows under the empty token; ``wanted`` is (query, token).
+    ``hits`` is as from ``matches``; ``wanted`` is (query, token). ``total`` is one row (n, mean_length); without it, ``hits`` has
+    the documents' own rows under the empty token.
     A token's weight in a document is the same for all queries, so hits are dealt by document once and scores need no
     further exchange.
     """
     own = hits.filter("token = ''")
-    total = own.agg(F.sum("weighted_tf").alias("n"), (F.sum(F.col("weighted_tf") * F.col("length")) / F.sum("weighted_tf")).alias("mean_length"))
+    total = total if total is not None else own.agg(F.sum("weighted_tf").alias("n"), (F.sum(F.col("weighted_tf") * F.col("length")) / F.sum("weighted_tf")).alias("mean_length"))
     df = hits.filter("token <> ''").groupBy("token").agg(F.count("*").alias("df"))
     asked = small(stored(wanted.join(df, "token").select(query, "token", "df"), "asked"), rows)
     tf = F.col("weighted_tf")

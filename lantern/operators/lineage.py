@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def reserved(spark: SparkSession, label: str) -> str:
+    """A new folder of the shared one, for tables that a caller writes; ``purge`` deletes it too."""
+    path = f"{shared_folder(spark).rstrip('/')}/lantern-{uuid.uuid4().hex}/{label}"
+    _written.append(path)
+    return path
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a scan of it.
 
@@ -30,9 +37,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     such scans get their own exchanges, which adaptive execution can split where a key is hot.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lantern-{uuid.uuid4().hex}/{label}"
+    path = reserved(spark, label)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,11 +59,3 @@ def purge(spark: SparkSession, keep: list[str] | None = None) -> None:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path.getParent(), True)
         _written.remove(name)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in a checkpoint of the shared folder, for frames whose partitioning later steps use."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()

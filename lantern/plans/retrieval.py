@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lantern.functions import text as X
 from lantern.functions import vectors as V
-from lantern.operators import embedding, fulltext, fusion, selection
+from lantern.operators import embedding, fulltext, fusion, index, selection
+from lantern.operators.lineage import reserved
 from lantern.plans.registry import query, table
 
 FIELDS = {"text": 1.0, "lang": 1.5, "source": 2.5}
@@ -43,6 +44,34 @@ def bm25_top(spark, sf_dir):
     return lexical(spark, sf_dir, 6)
 
 
+def _kept_index(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """An index of an older state of the documents, refreshed to the present one, and what the refresh changed.
+
+    Then, toxic documents weren't there, those of low quality had another text, and some that have gone were there.
+    """
+    docs = table(spark, sf_dir, "documents")
+    marked = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").fillna(0, ["toxic"]).fillna(1, ["quality"]).filter("toxic = 0")
+    older = marked.withColumn("text", F.when(F.col("quality") == 0, F.concat(F.lit("older wording of "), "text")).otherwise(F.col("text")))
+    gone = docs.filter("lang = 'de'").withColumn("doc_id", -1 - F.col("doc_id"))
+    root = reserved(spark, "index")
+    index.refresh(older.select(docs.columns).unionByName(gone), root, FIELDS)
+    return root, index.refresh(docs, root, FIELDS)
+
+
+@query(f"with {BM25_SQL} select query_id, doc_id, score, rank::int as rank from lex where rank <= 6")
+def bm25_from_index(spark, sf_dir):
+    root, _ = _kept_index(spark, sf_dir)
+    return index.search(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), root, 6)
+
+
+@query(
+    """
+    select 'new' as status, doc_id from labels join documents using (doc_id) where toxic = 1
+    union all select 'changed', doc_id from labels join documents using (doc_id) where toxic = 0 and quality = 0
+    union all select 'gone', -1 - doc_id from documents where lang = 'de'"""
+)
+def index_changes(spark, sf_dir):
+    return _kept_index(spark, sf_dir)[1].select("status", "doc_id")
 
 
 #: Hash embeddings of documents (d) and benchmark items (q) as rows of (kind, k, slot, value).
