@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lantern.plans import documents, evaluation, evidence, maintenance, retrieval, rules, temporal  # noqa: F401
+from lantern.plans import dictionaries, documents, evaluation, evidence, maintenance, retrieval, rules, temporal  # noqa: F401
 from lantern.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "hybrid_search"
