@@ -68,7 +68,7 @@ MENTION = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.S
 RELATIONS = {
     "transitional_rule_for": r"przepisy? przejściow|do spraw wszczętych|do okresów rozpoczętych",
     "exception_to": r"z wyjątkiem|nie stosuje się|wyłącza się|chyba że",
-    "special_rule_for": r"z zastrzeżeniem|przepis szczególny|na zasadach określonych|stosuje się również|stosuje się odpowiednio",
+    "special_rule_for": r"z zastrzeżeniem|przepis szczególny|na zasadach określonych|stosuje się również|stosuje się odpowiednio|obejmuj[a-ząę]* także|także gdy",
     "overrides": r"stosuje się zamiast|ma pierwszeństwo|bez względu na",
     "defines": r"w rozumieniu|rozumie się przez|oznacza",
 }
