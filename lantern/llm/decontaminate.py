@@ -45,16 +45,24 @@ _SCHEMA = "id long, copy long, reading int, size int, hash long, pos int, length
 _NUMBER, _NAME, _UNIT = W.mix(np.array([1, 2, 3], W.U))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-_CAPITAL = np.zeros(256, bool)
-_CAPITAL[65:91] = True
-_INSIDE = _DIGIT | _CAPITAL
-_INSIDE[97:123] = _INSIDE[128:] = True
+_INSIDE = _DIGIT.copy()
+_INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
+#: Whether a code point is a capital (or title) letter of any script.
+_CAPITAL = np.array([c.isupper() or c.istitle() for c in map(chr, range(0x1F000))])
 _POINT = np.zeros(256, bool)
 _POINT[[44, 46]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 34, 40, 46, 58, 59, 63]] = True
 
 
+def _first_points(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Code points of the characters that begin at ``start`` in UTF-8."""
+    a, b, c, d = (raw[np.minimum(start + i, len(raw) - 1)].astype(np.int64) for i in range(4))
+    two, three = (a & 31) << 6 | b & 63, (a & 15) << 12 | (b & 63) << 6 | c & 63
+    four = (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63
+    return np.select([a < 0x80, a < 0xE0, a < 0xF0], [a, two, three], four)
+
+
 def _unit_hashes() -> np.ndarray:
     chunk = next(W.word_chunks([" ".join(UNITS).encode()], lower=False))
     return np.sort(chunk.hash)
@@ -63,7 +71,7 @@ def _unit_hashes() -> np.ndarray:
 def templates(texts: list[bytes]) -> Iterator[tuple[int, W.Chunk, list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]]:
     """(reading, chunk, templates, first words, words after the last): of each template the hashes and placeholders.
 
-    A name is a capitalised word (A-Z, or a capital of Latin-1). The first reading has the text's words; in its first
+    A name is a word that begins with a capital of any script. The first reading has the text's words; in its first
     template names don't begin a sentence, in the second they may, and the third has no placeholders. In the second
     reading capitalised words with one space between them are one name; it has one template.
     """
@@ -84,8 +92,7 @@ def templates(texts: list[bytes]) -> Iterator[tuple[int, W.Chunk, list[tuple[np.
         begins = np.ones(len(start), bool)
         begins[1:] = (stops[start[1:]] > stops[end[:-1]]) | ~same_text
         number = digit[start]
-        second = raw[np.minimum(start + 1, len(raw) - 1)]
-        capital = _CAPITAL[raw[start]] | (raw[start] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+        capital = _CAPITAL[np.minimum(_first_points(raw, start), len(_CAPITAL) - 1)]
         after = np.zeros(len(start), bool)
         after[1:] = number[:-1] & same_text
         unit = after & ~number & (units[np.minimum(np.searchsorted(units, c.hash), len(units) - 1)] == c.hash)

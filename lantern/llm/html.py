@@ -41,6 +41,10 @@ MARKS = frozenset(
 )
 #: Words that mark it on elements that hold others; on a paragraph, or as the name of a section, they may be the article's own.
 HOLDER_MARKS = frozenset("banner notice notices alert aside nav navigation menu footer comment social related recommended toolbar widget login signup search".split())
+#: Of those, words that a part of an article may bear too: inside one they count only on elements that are mostly links.
+OWN_MARKS = frozenset("banner alert menu search".split())
+#: Words that mark readers' comments, also as the name of a section.
+READERS = frozenset("comment comments disqus respond responses replies".split())
 #: Words that may follow a mark in the name of such an element, and words that turn its sense.
 HOLDERS = frozenset("area bar block box buttons container content form group inner items links list panel posts articles section slot unit wrap wrapper".split())
 TURNS = frozenset("with has have no non not without is".split())
@@ -60,7 +64,7 @@ IMPLIED = {
 }
 CLOSES_P = BLOCKS - frozenset("body html caption dd dt legend li summary tbody td tfoot th thead tr".split())
 SCOPE = frozenset("table td th caption object button html".split())
-#: A pair of pages of whose characters more than this share aligns, on both sides, is one page twice: nothing is deleted.
+#: A pair of pages of whose open characters more than this share aligns, on both sides, is one page twice: nothing is deleted.
 SAME_PAGE = 0.9
 #: Deleted lines of so many pages, and eight times as many lines, are broadcast; beyond it the pages are shuffled.
 BROADCAST_PAGES = 200_000
@@ -162,7 +166,10 @@ class _Tree:
 
     @staticmethod
     def bar(name: str, attributes: str, inside: bool) -> int:
-        """2: furniture by its tag; 1: by its class, id or role, or a form, unless it holds the article; 0: none."""
+        """2: furniture by its tag; 1: by its class, id or role, or a form, unless it holds the article; 0: none.
+
+        -1: inside an article, furniture if it is mostly links.
+        """
         if name in FURNITURE or name == "header" and not inside:
             return 2
         if name == "form":
@@ -178,8 +185,10 @@ class _Tree:
         if name in TEXTS or name not in BLOCKS or inside and name in ("td", "th"):
             return int(_marked(classes, MARKS))
         if inside and name == "section":
-            ids = []
-        return int(_marked(classes + ids, MARKS | HOLDER_MARKS))
+            ids = [x for x in ids if _marked([x], READERS)]
+        if inside and not _marked(classes + ids, MARKS | READERS | HOLDER_MARKS - OWN_MARKS):
+            return -int(_marked(classes + ids, OWN_MARKS))
+        return int(_marked(classes + ids, MARKS | READERS | HOLDER_MARKS))
 
     def kinds(self) -> tuple[list[int], bool]:
         """The kind of each element's text, and whether the page marks its article."""
@@ -189,6 +198,13 @@ class _Tree:
             if node >= 0:
                 size[node] += len(piece.strip())
 
+        text, linked = list(size), [x if name == "a" else 0 for x, name in zip(size, self.name)]
+        for k in range(n - 1, 0, -1):
+            if self.barred[k] < 0:
+                self.barred[k] = int(2 * linked[k] >= text[k])
+            text[self.parent[k]] += text[k]
+            linked[self.parent[k]] += text[k] if self.name[k] == "a" else linked[k]
+
         def unbarred() -> list[int]:
             """Text below each element that no furniture below it holds."""
             total = list(size)
@@ -221,12 +237,18 @@ class _Tree:
             self.barred[lifted] = 0
             lifted = self.parent[lifted]
         bars = held()
-        guarded, second, out = [False] * n, [False] * n, [OTHER] * n
+        above, k = set(), chosen  # what holds the article
+        while k:
+            above.add(k)
+            k = self.parent[k]
+        guarded, second, strange, out = [False] * n, [False] * n, [False] * n, [OTHER] * n
         for k in range(n):
             up = self.parent[k]
             guarded[k] = k == chosen or k > 0 and guarded[up]
             second[k] = self.name[k] in ("article", "main") or k > 0 and second[up]
-            out[k] = OUT if bars[k] else ARTICLE if guarded[k] else SECOND if second[k] and chosen is not None else OTHER
+            # Beside an article, further ones are teasers of other stories.
+            strange[k] = chosen is not None and self.name[chosen] == self.name[k] == "article" and not guarded[k] and k not in above or k > 0 and strange[up]
+            out[k] = OUT if bars[k] or strange[k] else ARTICLE if guarded[k] else SECOND if second[k] and chosen is not None else OTHER
         return out, chosen is not None
 
 
@@ -359,6 +381,11 @@ def _common(a, b):
     return F.coalesce(F.element_at(F.when(F.size(at) > 0, at), 1) - 1, F.least(F.length(a), F.length(b)))
 
 
+def open_sizes(page: dict) -> list[int]:
+    """Characters of each line that markup leaves open, 0 for the others: furniture tells nothing about copies."""
+    return [n if may_stay(kind, page["marked"]) else 0 for n, kind in zip(page["sizes"], page["kinds"])]
+
+
 def shared_lines(own: list, sizes: list, other: list, other_sizes: list) -> set[int] | None:
     """Positions of the lines that a longest common subsequence aligns; None if the pages are nearly equal."""
     common = set(own) & set(other)
@@ -376,8 +403,8 @@ def differences(lines: DataFrame) -> DataFrame:
     """
     hosted = lines.filter(F.col("host") != "")
     first = hosted.groupBy("host", "body").agg(F.min(F.struct("path", "row")).alias("first")).select("host", "body", "first.*")
-    near = adjacent(first).join(lines.select(F.col("row").alias("other"), "hashes", "sizes"), "other")
-    near = near.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("far"), "later", "hashes", "sizes"))).alias("near"))  # two at most
+    near = adjacent(first).join(lines.select(F.col("row").alias("other"), "marked", "kinds", "hashes", "sizes"), "other")
+    near = near.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("shared")).alias("far"), "later", "marked", "kinds", "hashes", "sizes"))).alias("near"))  # two at most
     near = materialise(near.join(first, "row").select("host", "body", "near"), "neighbours")
     pairs = hosted.join(near, ["host", "body"]).select("row", "marked", "kinds", "hashes", "sizes", "near")
 
@@ -387,7 +414,7 @@ def differences(lines: DataFrame) -> DataFrame:
                 rows, gone = [], []
                 for x in batch.slice(lo, 500).to_pylist():
                     for other in x["near"]:
-                        found = shared_lines(x["hashes"], x["sizes"], other["hashes"], other["sizes"])
+                        found = shared_lines(x["hashes"], open_sizes(x), other["hashes"], open_sizes(other))
                         if found is not None:
                             rows.append(x["row"])
                             gone.append(sorted(i for i in found if may_stay(x["kinds"][i], x["marked"])))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.llm import bpe, chat, decontaminate, html, jaccard, lengths, lexical, repair, sharding, substring, token_files, topk, toxicity
-from lantern.llm._storage import materialise
+from lantern.llm._storage import materialise, small_batches
 
 #: Categories of the chain in order, as 0 or 1 over ``labels``.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -40,6 +40,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -48,6 +49,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
@@ -65,6 +67,7 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return substring.kept_words(table(spark, sf_dir, "documents"))
 
 
@@ -75,6 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     segments = token_files.write_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_ID)
     return token_files.read_spans(segments)
 
