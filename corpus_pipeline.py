@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.llm import bpe, decontaminate, jaccard, substring, toxicity
-from lantern.llm._storage import light, materialise, purge, written
+from lantern.llm._storage import light, materialise, purge, small_batches, written
 from lantern.llm.queries import CATEGORIES, table, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, fitted on the labelled ones among them, doesn't call toxic."""
+    small_batches(spark)
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES)
     return toxicity.keep(docs, chain)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Rows that repeat an id share its fate."""
+    small_batches(spark)
     groups = jaccard.similar_documents(docs).filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = light(materialise(groups, "gone"), 1_000_000)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
@@ -25,17 +27,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that stand in an earlier document are cut from the texts."""
+    small_batches(spark)
     cut = substring.remove_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
+    small_batches(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of every document left."""
+    small_batches(spark)
     return bpe.encode_digests(docs, vocabulary("word_bpe_49k.json"))
 
 
