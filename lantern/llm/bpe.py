@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 _NOT_SPACE = regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 #: Chunks kept by a worker before it starts afresh.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 
 
 def byte_symbols() -> list[str]:
