@@ -40,9 +40,9 @@ def first_rule(text: Column, rules: Sequence[tuple[str, str]], otherwise: str |
     return out
 
 
-def outcome(text: Column, rules: Sequence[tuple[str, str, str]], head: int = 1200) -> tuple[Column, Column]:
-    """(outcome, favourability) by the first rule (pattern, outcome, favourability) that the head of a text fits."""
-    start = F.left(text, F.lit(head))
+def outcome(text: Column, rules: Sequence[tuple[str, str, str]], head: int | None = 1200) -> tuple[Column, Column]:
+    """(outcome, favourability) by the first rule (pattern, outcome, favourability) that the head of a text, or all of it, fits."""
+    start = text if head is None else F.left(text, F.lit(head))
     return first_rule(start, [(p, o) for p, o, _ in rules]), first_rule(start, [(p, f) for p, _, f in rules])
 
 
@@ -52,11 +52,14 @@ def rule_units(units: DataFrame, conditions: str, kinds: Sequence[tuple[str, str
     return units.withColumn("condition", condition).withColumn("rule_type", first_rule(F.col(column), kinds, "general"))
 
 
-def unmet_facts(rules: DataFrame, requirements: DataFrame, known: Column, column: str = "unit_text") -> DataFrame:
-    """``rules`` with ``missing_facts``: facts that the patterns of ``requirements`` (pattern, fact) ask for and that aren't known."""
-    asked = rules.join(F.broadcast(requirements), F.rlike(F.lower(column), F.col("pattern")), "left")
-    facts = asked.groupBy(*rules.columns).agg(F.array_sort(F.collect_set("fact")).alias("required"))
-    return facts.withColumn("missing_facts", F.array_except("required", known)).drop("required")
+def unmet_facts(rules: DataFrame, requirements: Sequence[tuple[str, str]], known: Column, column: str = "unit_text") -> DataFrame:
+    """``rules`` with ``missing_facts``: facts that the patterns of ``requirements`` (pattern, fact) ask for and that aren't known.
+
+    The requirements are a stated list, held against each text in a narrow pass.
+    """
+    low = F.lower(column)
+    asked = F.array_compact(F.array(*[F.when(F.rlike(low, F.lit(p)), F.lit(fact)) for p, fact in requirements]).cast("array<string>"))
+    return rules.withColumn("missing_facts", F.array_sort(F.array_except(asked, known)))
 
 
 def provision_aliases(provisions: Column, domain: Column) -> Column:

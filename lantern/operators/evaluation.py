@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lantern.operators.order_stats import nearest_ranks
+
+LATENCY_SHARES = {"p50": 0.5, "p95": 0.95}
+
 
 def first_match(results: DataFrame, expected: DataFrame, query: str = "query_id", key: str = "doc_id") -> DataFrame:
     """(query, first_rank) of all queries with results; null if nothing expected was found."""
@@ -37,15 +41,18 @@ def precision_at(expected: Column, actual: Column, k: int) -> Column:
 
 
 def nearest_rank(values: Column, share: float) -> Column:
-    """The element at round((n - 1) * share), halves to even, of the sorted values."""
+    """The element at round((n - 1) * share), halves to even, of a sorted array; ``order_stats`` does it for whole groups."""
     have = F.array_sort(F.array_compact(values))
     return F.when(F.size(have) > 0, F.element_at(have, (F.bround((F.size(have) - 1) * F.lit(share)) + 1).cast("int")))
 
 
-def by_variant(rows: DataFrame, metrics: Sequence[str], latency: str, variant: str = "variant") -> DataFrame:
-    """Means without nulls, and p50 and p95 of the latency by nearest rank."""
-    own = F.collect_list(latency)
-    return rows.groupBy(variant).agg(*[F.round(F.avg(m), 6).alias(f"mean_{m}") for m in metrics], nearest_rank(own, 0.5).alias("p50"), nearest_rank(own, 0.95).alias("p95"))
+def by_variant(rows: DataFrame, metrics: Sequence[str], latency: str, variant: str = "variant", shares: Mapping[str, float] = LATENCY_SHARES) -> DataFrame:
+    """Means without nulls, and quantiles of the latency by nearest rank; no group is collected, however large."""
+    means = rows.groupBy(variant).agg(*[F.round(F.avg(m), 6).alias(f"mean_{m}") for m in metrics])
+    found = nearest_ranks(rows, variant, latency, list(shares.values()))
+    columns = [F.max(F.when(F.col("share") == float(s), F.col(latency))).alias(name) for name, s in shares.items()]
+    found = found.groupBy(F.col(variant).alias("_variant")).agg(*columns)
+    return means.join(found, F.col(variant).eqNullSafe(F.col("_variant")), "left").drop("_variant")
 
 
 def unpivoted_means(rows: DataFrame, metrics: Sequence[str], variant: str = "variant") -> DataFrame:

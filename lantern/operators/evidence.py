@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def axis_coverage(hits: DataFrame, axis: str = "axis") -> DataFrame:
@@ -33,8 +34,14 @@ def authority_lines(cards: DataFrame, issue: str = "issue", least_score: float =
     are the ``cap`` best in support.
     """
     n = lambda s: F.count_if(F.col("stance") == s).alias(s)
-    best = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("stance") == "supporting", F.struct((-F.col("score")).alias("s"), "card_id")))), 1, cap), lambda x: x["card_id"])
-    lines = cards.filter(F.col("score") >= least_score).groupBy(issue).agg(n("supporting"), n("contrary"), n("historical"), best.alias("examples"))
+    kept = cards.filter(F.col("score") >= least_score)
+    lines = kept.groupBy(issue).agg(n("supporting"), n("contrary"), n("historical"))
+    # The cap is in the window, so no issue's cards are collected.
+    nth = F.row_number().over(Window.partitionBy(issue).orderBy(F.desc("score"), "card_id"))
+    best = kept.filter("stance = 'supporting'").withColumn("_nth", nth).filter(F.col("_nth") <= cap)
+    best = best.groupBy(F.col(issue).alias("_issue")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "card_id"))), lambda x: x["card_id"]).alias("examples"))
+    lines = lines.join(best, F.col(issue).eqNullSafe(F.col("_issue")), "left").drop("_issue")
+    lines = lines.withColumn("examples", F.coalesce("examples", F.array().cast(T.ArrayType(cards.schema["card_id"].dataType))))
     s, c = F.col("supporting"), F.col("contrary")
     return lines.withColumn("dominance", F.when((s >= 3) & (c == 0), "dominant").when((s > 0) & (c > 0), "mixed").when(s == 1, "isolated").otherwise("unknown"))
 

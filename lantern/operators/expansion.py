@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,17 +13,17 @@ from lantern.operators.selection import first_by
 HARD, SOFT = 1.4, 1.0
 
 
-def expansions(queries: DataFrame, rules: DataFrame, query: str = "query_id", column: str = "text") -> DataFrame:
-    """(query, position, alias): aliases of the rules (rule, pattern, aliases) whose pattern a query has, each once.
+def expansions(queries: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], query: str = "query_id", column: str = "text") -> DataFrame:
+    """(query, position, alias): aliases of the rules (pattern, aliases), in their order, whose pattern a query has, each once.
 
-    Rules are a stated, ordered list and are broadcast.
+    The rules are a stated list, held against each query in a narrow pass.
     """
-    met = queries.join(F.broadcast(rules), F.rlike(F.lower(column), F.col("pattern"))).groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rule", "aliases"))).alias("_rules"))
-    aliases = F.array_distinct(F.flatten(F.transform("_rules", lambda r: r["aliases"])))
-    return met.select(query, F.posexplode(aliases).alias("position", "alias"))
+    low, none = F.lower(column), F.array().cast("array<string>")
+    found = [F.when(F.rlike(low, F.lit(p)), F.array(*map(F.lit, aliases))).otherwise(none) for p, aliases in rules]
+    return queries.select(query, F.posexplode(F.array_distinct(F.concat(none, *found))).alias("position", "alias"))
 
 
-def complementary(queries: DataFrame, rules: DataFrame, query: str = "query_id", column: str = "text", most: int = 24) -> DataFrame:
+def complementary(queries: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], query: str = "query_id", column: str = "text", most: int = 24) -> DataFrame:
     """(query, channel, tokens): the query's own tokens, and its aliases' if they are others; no empty channel."""
     added = expansions(queries, rules, query, column).groupBy(query).agg(F.array_sort(F.collect_list(F.struct("position", "alias"))).alias("_added"))
     added = added.select(query, F.lit("expansion").alias("channel"), query_tokens(F.array_join(F.transform("_added", lambda x: x["alias"]), " "), most).alias("tokens"))
@@ -57,11 +57,17 @@ def families(plan: DataFrame, limit: int = 8, issue: str = "issue") -> DataFrame
     return rows.filter(F.col("position") <= limit).select(issue, "query", "hard", F.when(F.col("hard"), HARD).otherwise(SOFT).alias("weight"), "position")
 
 
-def recovery(issues: DataFrame, primary: DataFrame, candidates: DataFrame, per_issue: int = 2, total: int = 8, issue: str = "issue") -> DataFrame:
-    """(issue, query): second-pass families (issue, position, query) of the issues without a primary source."""
-    open_issues = issues.select(issue).distinct().join(primary.select(issue).distinct(), issue, "left_anti")
-    rows = candidates.join(open_issues, issue).withColumn("_nth", F.row_number().over(Window.partitionBy(issue).orderBy("position", "query")))
-    return rows.filter(F.col("_nth") <= per_issue).orderBy("_nth", issue).limit(total).select(issue, "query")
+def recovery(issues: DataFrame, primary: DataFrame, candidates: DataFrame, per_issue: int = 2, total: int = 8, issue: str = "issue", plan: str = "plan") -> DataFrame:
+    """(plan, issue, query): second-pass families (plan, issue, position, query) of the issues without a primary source.
+
+    Each issue has ``per_issue`` families at most and each plan ``total``: the first of all its issues before the second ones.
+    ``issues`` and ``primary`` are (plan, issue).
+    """
+    by = [plan, issue]
+    open_issues = issues.select(*by).distinct().join(primary.select(*by).distinct(), by, "left_anti")
+    rows = candidates.join(open_issues, by).withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy("position", "query")))
+    rows = rows.filter(F.col("_nth") <= per_issue).withColumn("_place", F.row_number().over(Window.partitionBy(plan).orderBy("_nth", issue)))
+    return rows.filter(F.col("_place") <= total).select(plan, issue, "query")
 
 
 def repeated_fields(fields: Mapping[str, int]) -> Column:

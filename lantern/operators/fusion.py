@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.operators.lineage import small, stored
+
+#: Rows of queries and rules that are broadcast at most.
+BROADCAST_ROWS = 500_000
+
 RRF_K = 60
 NAMED_CHANNEL_WEIGHT = 2.5
 #: Rank of a candidate that a list doesn't have.
@@ -64,14 +69,25 @@ def reasons(components: Column, besides: tuple[str, ...] = ("fusion", "source_ty
     return F.array_sort(F.transform(named, lambda e: e["key"]))
 
 
-def rule_scores(rows: DataFrame, queries: DataFrame, rules: DataFrame, query: str = "query_id", key: str = "doc_id", text: str = "text") -> DataFrame:
+def rule_scores(rows: DataFrame, queries: DataFrame, rules: Sequence[tuple[str, str, float]], query: str = "query_id", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(query, key, score): sum of weights of the rules (query_pattern, row_pattern, weight) that fit query and row.
 
-    Rules and the queries that they fit are small and broadcast; rows are read once.
+    The rules are a stated list. Each pattern is held against a text once, in a narrow pass; queries and rows then
+    meet by the row patterns that they have. Weights of a query's rules with one pattern are added before.
     """
-    active = queries.join(F.broadcast(rules), F.rlike(F.lower("query_text"), F.col("query_pattern"))).select(query, "row_pattern", "weight")
-    hits = rows.join(F.broadcast(active), F.rlike(F.lower(F.col(text)), F.col("row_pattern")))
-    return hits.groupBy(query, key).agg(F.sum("weight").alias("score"))
+
+    def having(texts: DataFrame, own: str, column: str, patterns: list[str]) -> DataFrame:
+        low = F.lower(F.col(column))
+        found = F.array_compact(F.array(*[F.when(F.rlike(low, F.lit(p)), F.lit(p)) for p in patterns]))
+        return texts.select(F.col(own), F.explode(found).alias("_pattern"))
+
+    if not rules:
+        return queries.select(query).join(rows.select(key), F.lit(False)).withColumn("score", F.lit(0.0))
+    weights = rows.sparkSession.createDataFrame([(a, b, float(w)) for a, b, w in rules], "_pattern string, _row string, weight double")
+    active = having(queries, query, "query_text", sorted({a for a, _, _ in rules})).join(F.broadcast(weights), "_pattern")  # the stated list
+    active = stored(active.groupBy(query, F.col("_row").alias("_pattern")).agg(F.sum("weight").alias("weight")), "active-rules")
+    met = having(rows, key, text, sorted({b for _, b, _ in rules})).join(small(active, BROADCAST_ROWS), "_pattern")
+    return met.groupBy(query, key).agg(F.sum("weight").alias("score"))
 
 
 def section_score(text: Column, signed: Mapping[str, float]) -> Column:

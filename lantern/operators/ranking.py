@@ -87,14 +87,20 @@ def two_stage(rows: DataFrame, preliminary: Column, cross: Column, blend: Column
     return rows.select(query, key, "preliminary", "blended", "position")
 
 
-def placed(rows: DataFrame, order: Sequence, by: Sequence[str]) -> DataFrame:
-    """``rows`` with ``position`` from 1 within ``by``, in the given order of priority."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def placed(rows: DataFrame, order: Sequence, by: Sequence[str], limit: int | None = None) -> DataFrame:
+    """``rows`` with ``position`` from 1 within ``by``, in the given order of priority; a limit is pushed below the sort."""
+    out = rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return out if limit is None else out.filter(F.col("position") <= limit)
 
 
-def within_documents(seeds: DataFrame, chunks: DataFrame, score: str = "score", document: str = "doc_id", chunk: str = "chunk_id", most: int = 1) -> DataFrame:
-    """(document, chunk, position): each seed's document keeps its place with its best chunks instead of the seed."""
-    order = first_by(seeds, [document], ["position"]).select(document, F.col("position").alias("_seed"))
-    best = placed(chunks.join(order, document), [F.desc(score), chunk], [document]).filter(F.col("position") <= most)
-    # Places are dense over the seeds' documents, which a query's limit bounds.
-    return best.withColumn("position", F.row_number().over(Window.orderBy("_seed", "position"))).select(document, chunk, "position")
+def within_documents(seeds: DataFrame, chunks: DataFrame, score: str = "score", query: str = "query_id", document: str = "doc_id", chunk: str = "chunk_id", most: int = 1) -> DataFrame:
+    """(query, document, chunk, position): each seed's document keeps its place with its best chunks instead of the seed.
+
+    ``seeds`` is (query, document, position), bounded a query by its search limit. A document's best chunks are found once,
+    whatever the number of queries that it is a seed of.
+    """
+    order = first_by(seeds, [query, document], ["position"]).select(query, document, F.col("position").alias("_seed"))
+    wanted = chunks.join(order.select(document).distinct(), document, "left_semi")
+    best = placed(wanted, [F.desc(score), chunk], [document], most).select(document, chunk, F.col("position").alias("_nth"))
+    rows = best.join(order, document)
+    return placed(rows, ["_seed", "_nth"], [query]).select(query, document, chunk, "position")

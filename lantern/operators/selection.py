@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,22 +40,18 @@ def diverse_window(ranked: DataFrame, limit: int, query: str = "query_id", docum
 def diverse_greedy(ranked: DataFrame, per_document: int, query: str = "query_id") -> DataFrame:
     """(query, doc_id, canonical, rank): in rank order, rows whose canonical id no selected row has, documents capped.
 
-    The choice depends on all earlier choices of the query, so a query's candidate pool, bounded by its search limit,
-    is one group.
+    The choice depends on all earlier choices of the query: a fold over its candidates in order, whose state is what is
+    taken. A query's candidate pool, bounded by its search limit, is one array.
     """
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, seen, per = [], set(), {}
-        for i, row in rows.sort_values("rank").iterrows():
-            if row["canonical"] in seen or per.get(row["doc_id"], 0) >= per_document:
-                continue
-            seen.add(row["canonical"])
-            per[row["doc_id"]] = per.get(row["doc_id"], 0) + 1
-            taken.append(i)
-        return rows.loc[taken]
+    def step(taken: Column, x: Column) -> Column:
+        same = F.exists(taken, lambda t: t["canonical"].eqNullSafe(x["canonical"]))
+        n = F.size(F.filter(taken, lambda t: t["doc_id"].eqNullSafe(x["doc_id"])))
+        return F.when(~same & (n < per_document), F.concat(taken, F.array(x))).otherwise(taken)
 
-    columns = ranked.select(query, "doc_id", "canonical", "rank")
-    return columns.groupBy(query).applyInPandas(pick, columns.schema)
+    pools = ranked.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "canonical"))).alias("_pool"))
+    chosen = pools.select(query, F.explode(F.aggregate("_pool", F.slice("_pool", 1, 0), step)).alias("x"))
+    return chosen.select(query, "x.doc_id", "x.canonical", "x.rank")
 
 
 def representatives(rows: DataFrame, query: str = "query_id", document: str = "doc_id") -> DataFrame:
@@ -121,21 +116,25 @@ def covering(ranked: DataFrame, families: Sequence[str], rounds: Sequence[tuple[
     through. What is left fills up by rank. Each choice depends on those before, within a query's bounded pool.
     """
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        taken: list = []
-        wanted = [(kind, family) for kind, n in rounds for _ in range(n) for family in families]
-        for kind, family in wanted:
-            free = rows[(rows["kind"] == kind) & ~rows[key].isin(taken) & rows["families"].map(lambda f, name=family: name in f)]
-            if len(free) and len(taken) < limit:
-                taken.append(free[key].iat[0])
-        taken += [k for k in rows[key] if k not in set(taken)]
-        taken = taken[: max(limit, 0)]
-        return pd.DataFrame({query: [rows[query].iat[0]] * len(taken), key: taken, "position": range(1, len(taken) + 1)})
+    wanted = [(kind, family) for kind, n in rounds for _ in range(n) for family in families]
+    pools = ranked.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", key, "kind", "families"))).alias("_pool"))
+    keys = F.transform("_pool", lambda x: x[key])
+    taken = F.slice(keys, 1, 0)
+    if wanted:
 
-    rows = ranked.select(query, key, "rank", "kind", "families")
-    kinds = f"{query} {rows.schema[query].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, position int"
-    return rows.groupBy(query).applyInPandas(pick, kinds)
+        def step(taken: Column, w: Column) -> Column:
+            free = F.filter("_pool", lambda x: (x["kind"] == w["kind"]) & F.array_contains(x["families"], w["family"]) & ~F.array_contains(taken, x[key]))
+            return F.when((F.size(free) > 0) & (F.size(taken) < limit), F.concat(taken, F.array(F.get(free, F.lit(0))[key]))).otherwise(taken)
+
+        asked = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(f).alias("family")) for k, f in wanted])
+        taken = F.aggregate(asked, taken, step)
+    return _filled(pools.withColumn("_taken", taken), keys, F.lit(max(limit, 0)), query, key)
+
+
+def _filled(pools: DataFrame, keys: Column, most: Column, query: str, key: str) -> DataFrame:
+    """(query, key, position): what is taken, then the other keys in order, up to a number."""
+    rest = F.filter(keys, lambda k: ~F.array_contains("_taken", k))
+    return pools.select(query, F.posexplode(F.slice(F.concat("_taken", rest), F.lit(1), most)).alias("_p", key)).select(query, key, (F.col("_p") + 1).alias("position"))
 
 
 def pinned(ranked: DataFrame, targets: DataFrame, limit: int, query: str = "query_id", key: str = "doc_id") -> DataFrame:
@@ -144,19 +143,12 @@ def pinned(ranked: DataFrame, targets: DataFrame, limit: int, query: str = "quer
     ``ranked`` is (query, key, rank, references). The limit is never below a query's number of targets.
     """
     wanted = targets.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("target_position", "reference"))), lambda x: x["reference"]).alias("_wanted"))
-    rows = ranked.select(query, key, "rank", "references").join(wanted, query, "left")
-
-    def pick(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("rank")
-        asked = own["_wanted"].iat[0]
-        asked = [] if asked is None else list(asked)
-        taken: list = []
-        for reference in asked:
-            free = [k for k, r in zip(own[key], own["references"]) if k not in taken and r is not None and reference in list(r)]
-            taken += free[:1]
-        most = max(limit, len(asked))
-        taken = (taken + [k for k in own[key] if k not in set(taken)])[:most]
-        return pd.DataFrame({query: [own[query].iat[0]] * len(taken), key: taken, "position": range(1, len(taken) + 1)})
-
-    kinds = f"{query} {rows.schema[query].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, position int"
-    return rows.groupBy(query).applyInPandas(pick, kinds)
+    pools = ranked.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", key, "references"))).alias("_pool")).join(wanted, query, "left")
+    keys, asked = F.transform("_pool", lambda x: x[key]), F.coalesce("_wanted", F.array().cast("array<string>"))
+
+    def step(taken: Column, reference: Column) -> Column:
+        free = F.filter("_pool", lambda x: F.array_contains(x["references"], reference) & ~F.array_contains(taken, x[key]))
+        return F.when(F.size(free) > 0, F.concat(taken, F.array(F.get(free, F.lit(0))[key]))).otherwise(taken)
+
+    pools = pools.withColumn("_taken", F.aggregate(asked, F.slice(keys, 1, 0), step))
+    return _filled(pools, keys, F.greatest(F.lit(limit), F.size(asked)), query, key)

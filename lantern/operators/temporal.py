@@ -34,8 +34,3 @@ def successors(versions: DataFrame, keys: list[str], order: list[str], node: str
     """(source, target, relation): each version of a key and the next one."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return versions.select(F.col(node).alias("source"), F.lead(node).over(w).alias("target"), F.lit("temporal_successor").alias("relation")).filter("target is not null")
-
-
-def valid_pairs(units: DataFrame, dates: DataFrame) -> DataFrame:
-    """Units (start, end) with the dates (target) on which they hold; the stated dates are few and broadcast."""
-    return units.join(F.broadcast(dates), effective_on(F.col("start"), F.col("end"), F.col("target")))

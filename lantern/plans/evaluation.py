@@ -93,3 +93,24 @@ def empty_result_causes(spark, sf_dir):
 
     counts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("value") > 20).alias("filtered"), F.count_if(F.col("event_type") == "purchase").alias("selected"))
     return counts.select("user_id", root_cause(F.col("candidates"), F.col("filtered"), F.col("selected"), F.lit(0)).alias("cause"))
+
+
+@query(
+    """
+    with s as (
+        select 0 as position, 'candidates' as stage, count(*) as n, max(n_chars) as longest from documents
+        union all select 1, 'language', count(*), max(n_chars) from documents where lang in ('en', 'de')
+        union all select 2, 'length', count(*), max(n_chars) from documents where lang in ('en', 'de') and n_chars between 200 and 20000
+        union all select 3, 'unlabelled', count(*), max(n_chars) from documents where lang in ('en', 'de') and n_chars between 200 and 20000 and doc_id not in (select doc_id from labels))
+    select position, stage, n as rows, lag(n) over (order by position) - n as dropped, longest::double as longest from s"""
+)
+def funnel_counts(spark, sf_dir):
+    from lantern.operators.funnel import funnel
+
+    known = table(spark, sf_dir, "labels").select("doc_id")
+    stages = {
+        "language": lambda df: df.filter("lang in ('en', 'de')"),
+        "length": lambda df: df.filter("n_chars between 200 and 20000"),
+        "unlabelled": lambda df: df.join(known, "doc_id", "left_anti"),
+    }
+    return funnel(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), stages, {"longest": F.max("n_chars")})[1]

@@ -201,9 +201,21 @@ def diverse_window(spark, sf_dir):
     return selection.diverse_window(rows, 8, document="source").select("query_id", "doc_id", "position")
 
 
-@query()
+@query(
+    f"""
+    with recursive {BM25_SQL},
+    p as (select query_id, source, sha256(text) as canonical, rank from lex join documents using (doc_id) where rank <= 30),
+    s as (
+        select distinct query_id, 0::bigint as rank, []::varchar[] as canons, []::varchar[] as sources, '' as source, '' as canonical, false as taken from p
+        union all
+        select query_id, rank, case when ok then list_append(canons, canonical) else canons end, case when ok then list_append(sources, source) else sources end, source, canonical, ok
+        from (
+            select p.*, s.canons, s.sources, not list_contains(s.canons, p.canonical) and len(list_filter(s.sources, lambda x: x = p.source)) < 2 as ok
+            from s join p on p.query_id = s.query_id and p.rank = s.rank + 1))
+    select query_id, source as doc_id, canonical, rank::int as rank from s where taken"""
+)
 def diverse_greedy(spark, sf_dir):
-    """Canonical ids cross documents here, so the choice is sequential; tests hold it against a loop."""
+    """Canonical ids cross documents here, so each choice depends on those before."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("canonical"))
     rows = lexical(spark, sf_dir, 30).join(docs, "doc_id").select("query_id", F.col("source").alias("doc_id"), "canonical", "rank")
     return selection.diverse_greedy(rows, 2)
@@ -259,8 +271,7 @@ def context_for_queries(spark, sf_dir):
 )
 def rule_scores(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    rules = spark.createDataFrame([("tion", "keit", 2.0), ("the", "license", 1.5), ("la ", "les ", 0.5)], "query_pattern string, row_pattern string, weight double")
-    return fusion.rule_scores(table(spark, sf_dir, "documents"), queries, rules)
+    return fusion.rule_scores(table(spark, sf_dir, "documents"), queries, [("tion", "keit", 2.0), ("the", "license", 1.5), ("la ", "les ", 0.5)])
 
 
 @query(

@@ -11,7 +11,7 @@ from lantern.plans.retrieval import BM25_SQL, lexical
 
 TOKEN = "[0-9A-Za-zÀ-ÖØ-öø-ÿĄĆĘŁŃŚŹŻąćęłńśźż]"
 #: Rules of the example queries: number, pattern of a query, aliases.
-EXPANSIONS = [(1, "the", ["article", "definite"]), (2, "la |les ", ["femme", "article"]), (3, "tion", ["noun", "xy"])]
+EXPANSIONS = [("the", ["article", "definite"]), ("la |les ", ["femme", "article"]), ("tion", ["noun", "xy"])]
 EXPANSIONS_SQL = """
     rules(rule, pattern, aliases) as (values (1, 'the', ['article', 'definite']), (2, 'la |les ', ['femme', 'article']), (3, 'tion', ['noun', 'xy'])),
     added as (select item_id as query_id, rule, i, aliases[i] as alias from benchmark join rules on regexp_matches(lower(text), pattern) cross join (select unnest([1, 2]) as i)),
@@ -27,10 +27,6 @@ def _lit(*values):
     return F.array(*[F.lit(v) for v in values])
 
 
-def _rules(spark):
-    return spark.createDataFrame(EXPANSIONS, "rule int, pattern string, aliases array<string>")
-
-
 @query("select doc_id from documents where lower(lang) in ('en', 'fr', 'de')")
 def kinds_expanded(spark, sf_dir):
     return _docs(spark, sf_dir).filter(filters.of_kinds(F.col("lang"), ["EN", "fr", None], {"fr": ["de"], "es": ["xx"]})).select("doc_id")
@@ -45,11 +41,11 @@ def domains_filtered(spark, sf_dir):
 
 @query(
     """
-    with k as (select * from documents where lang in ('en', 'de') and source in (select max(source) from documents union all select min(source) from documents) and list_has_any(string_split(lower(left(text, 200)), ' '), ['the', 'der']))
+    with k as (select * from documents where lang in ('en', 'de') and source in (select max(source) from documents union all select min(source) from documents) and list_has_any(string_split(lower(text), ' '), ['the', 'der']))
     select doc_id, source from k qualify row_number() over (partition by source order by n_chars desc, doc_id) <= 5"""
 )
 def filtered_before_limit(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("words", F.split(F.lower(F.left("text", F.lit(200))), " "))
+    docs = _docs(spark, sf_dir).withColumn("words", F.split(F.lower("text"), " "))
     ends = list(docs.agg(F.min("source"), F.max("source")).first())
     wanted = {"lang": ["en", "de"], "source": ends, "words": ["the", "der"], "n_chars": None}
     return selection.capped(filters.filtered(docs, wanted), ["source"], [F.desc("n_chars"), "doc_id"], 5).select("doc_id", "source")
@@ -101,17 +97,17 @@ def document_relations(spark, sf_dir):
 
 @query(
     """
-    with q as (select doc_id, lower(left(text, 300)) as t, case doc_id % 3 when 0 then 'in the tion' when 1 then 'nothing' else 'keit or la' end as asked from documents)
+    with q as (select doc_id, lower(text) as t, case doc_id % 3 when 0 then 'in the tion' when 1 then 'nothing' else 'keit or la' end as asked from documents)
     select doc_id from q where not (contains(asked, 'the') or contains(asked, 'keit')) or (contains(asked, 'the') and contains(t, 'the')) or (contains(asked, 'keit') and contains(t, 'keit'))"""
 )
 def of_named_country(spark, sf_dir):
     asked = F.when(F.col("doc_id") % 3 == 0, "in THE tion").when(F.col("doc_id") % 3 == 1, "nothing").otherwise("Keit or la")
-    return _docs(spark, sf_dir).filter(filters.of_country(F.left("text", F.lit(300)), asked, _lit("the", "keit"))).select("doc_id")
+    return _docs(spark, sf_dir).filter(filters.of_country(F.col("text"), asked, _lit("the", "keit"))).select("doc_id")
 
 
 @query(f"with {EXPANSIONS_SQL} select query_id, position::int as position, alias from placed")
 def query_expansions(spark, sf_dir):
-    return expansion.expansions(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), _rules(spark))
+    return expansion.expansions(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), EXPANSIONS)
 
 
 @query(
@@ -123,7 +119,7 @@ def query_expansions(spark, sf_dir):
     select query_id, channel, string_agg(case when length(t) >= 4 then t || '*' else t end, ' ' order by p) as boolean_query from every group by query_id, channel"""
 )
 def complementary_queries(spark, sf_dir):
-    made = expansion.complementary(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), _rules(spark))
+    made = expansion.complementary(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), EXPANSIONS)
     return made.select("query_id", "channel", expansion.boolean_query(F.col("tokens")).alias("boolean_query"))
 
 
@@ -134,7 +130,7 @@ def complementary_queries(spark, sf_dir):
 )
 def phrase_queries(spark, sf_dir):
     """Phrases only: the words of a query don't widen the search. The aliases are the rules', so few."""
-    phrases = expansion.expansions(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), _rules(spark))
+    phrases = expansion.expansions(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), EXPANSIONS)
     each = _docs(spark, sf_dir).join(F.broadcast(phrases.select("alias").distinct()), F.contains(F.lower("text"), F.col("alias"))).select("doc_id", "alias")
     return phrases.join(each, "alias").select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("n_docs"))
 
@@ -166,17 +162,17 @@ def query_families(spark, sf_dir):
     """
     with i as (select distinct o_custkey as issue from orders where o_custkey not in (select o_custkey from orders where o_orderstatus = 'F')),
     c as (select o_custkey as issue, o_orderpriority as query, row_number() over (partition by o_custkey order by o_orderkey, o_orderpriority) as nth from orders join i on issue = o_custkey)
-    select issue, query from c where nth <= 2 order by nth, issue limit 8"""
+    select issue % 20 as plan, issue, query from c where nth <= 2 qualify row_number() over (partition by issue % 20 order by nth, issue) <= 8"""
 )
 def primary_gap_recovery(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("issue"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("query"), "o_orderstatus")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("issue"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("query"), "o_orderstatus").withColumn("plan", F.col("issue") % 20)
     return expansion.recovery(orders, orders.filter("o_orderstatus = 'F'"), orders.drop("o_orderstatus"))
 
 
-@query("select doc_id, sha256(repeat(lang || chr(10), 5) || repeat(source || chr(10), 2) || left(text, 40)) as digest from documents where trim(lang) <> '' and trim(source) <> '' and trim(left(text, 40)) <> ''")
+@query("select doc_id, sha256(repeat(lang || chr(10), 5) || repeat(source || chr(10), 2) || text) as digest from documents where trim(lang) <> '' and trim(source) <> '' and trim(text) <> ''")
 def embedding_texts(spark, sf_dir):
-    docs = _docs(spark, sf_dir).withColumn("head", F.left("text", F.lit(40))).filter("trim(lang) <> '' and trim(source) <> '' and trim(head) <> ''")
-    return docs.select("doc_id", F.sha2(expansion.repeated_fields({"lang": 5, "source": 2, "head": 1}).cast("binary"), 256).alias("digest"))
+    docs = _docs(spark, sf_dir).filter("trim(lang) <> '' and trim(source) <> '' and trim(text) <> ''")
+    return docs.select("doc_id", F.sha2(expansion.repeated_fields({"lang": 5, "source": 2, "text": 1}).cast("binary"), 256).alias("digest"))
 
 
 @query(
@@ -206,15 +202,15 @@ def judgment_scores(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.round(ranking.clamped(parts, 0.0, 1.0), 6).alias("score"))
 
 
-@query("select doc_id, source, row_number() over (partition by source order by (lang = 'en')::int * 2 + (n_chars > 1000)::int desc, doc_id)::int as position from documents")
+@query("select doc_id, source, row_number() over (partition by source order by (lang = 'en')::int * 2 + (n_chars > 1000)::int desc, doc_id)::int as position from documents qualify position <= 50")
 def metadata_ranked(spark, sf_dir):
     score = (F.col("lang") == "en").cast("int") * 2 + (F.col("n_chars") > 1000).cast("int")
-    return ranking.placed(_docs(spark, sf_dir).withColumn("score", score), [F.desc("score"), "doc_id"], ["source"]).select("doc_id", "source", "position")
+    return ranking.placed(_docs(spark, sf_dir).withColumn("score", score), [F.desc("score"), "doc_id"], ["source"], 50).select("doc_id", "source", "position")
 
 
 CARD_SQL = """
     with c as (
-        select doc_id, string_split(left(lower(text), 120), ' ') as ws, case doc_id % 3 when 0 then 'current' when 1 then 'uncertain' else 'historical' end as status, case when lang = 'en' then 'nsa_judgment' when lang = 'fr' then 'general_interpretation' else 'other' end as kind, doc_id % 5 = 0 as wrong, doc_id % 7 = 0 as penalized from documents),
+        select doc_id, string_split(lower(text), ' ') as ws, case doc_id % 3 when 0 then 'current' when 1 then 'uncertain' else 'historical' end as status, case when lang = 'en' then 'nsa_judgment' when lang = 'fr' then 'general_interpretation' else 'other' end as kind, doc_id % 5 = 0 as wrong, doc_id % 7 = 0 as penalized from documents),
     d as (
         select *, least(1.0, len(list_intersect(['the', 'of', 'der', 'les'], ws)) / 4.0 * 2.5) as issue, case when kind = 'nsa_judgment' then 1.0 when kind = 'general_interpretation' then 0.72 else 0.3 end as w,
             case status when 'current' then 1.0 when 'uncertain' then 0.45 else 0.15 end as t from c)"""
@@ -226,7 +222,7 @@ CARD_SQL = """
     select doc_id, round_even(greatest(0.0, least(1.0, 5.0 * 0.02000137 + 0.13 + 0.17 * issue + 0.08 * t + 0.05 * w - greatest(case when wrong then 0.35 else 0 end, case when penalized then 0.12 else 0 end)))::double, 4) as score from d"""
 )
 def authority_card_scores(spark, sf_dir):
-    words = F.split(F.left(F.lower("text"), F.lit(120)), " ")
+    words = F.split(F.lower("text"), " ")
     status = F.when(F.col("doc_id") % 3 == 0, "current").when(F.col("doc_id") % 3 == 1, "uncertain").otherwise("historical")
     kind = F.when(F.col("lang") == "en", "nsa_judgment").when(F.col("lang") == "fr", "general_interpretation").otherwise("other")
     parts = {"family": F.lit(0.02000137), "tax_match": F.lit(1.0), "issue_match": ranking.overlap(_lit("the", "of", "der", "les"), words, 2.5), "temporal_match": ranking.temporal_match(status), "document_authority_weight": ranking.document_weight(kind)}
@@ -267,25 +263,18 @@ def rules_prioritised(spark, sf_dir):
 
 @query(
     """
-    with s as (select doc_id, row_number() over (order by n_chars desc, doc_id) as seed from documents qualify seed <= 20),
-    l as (select doc_id, seed, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) - 1 as chunk_id from documents join s using (doc_id)),
+    with s as (select doc_id, lang as query_id, row_number() over (partition by lang order by n_chars desc, doc_id) as seed from documents qualify seed <= 200),
+    l as (select doc_id, query_id, seed, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) - 1 as chunk_id from documents join s using (doc_id)),
     r as (select *, row_number() over (partition by doc_id order by length(w) desc, chunk_id) as rn from l)
-    select doc_id, chunk_id::int as chunk_id, row_number() over (order by seed, rn)::int as position from r where rn <= 2"""
+    select query_id, doc_id, chunk_id::int as chunk_id, row_number() over (partition by query_id order by seed, rn)::int as position from r where rn <= 2"""
 )
 def reranked_within_documents(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    seeds = docs.orderBy(F.desc("n_chars"), "doc_id").limit(20)
-    seeds = seeds.select("doc_id", F.row_number().over(_by_length()).alias("position"))
+    seeds = ranking.placed(docs.withColumnRenamed("lang", "query_id"), [F.desc("n_chars"), "doc_id"], ["query_id"], 200).select("query_id", "doc_id", "position")
     chunks = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("chunk_id", "w")).withColumn("score", F.length("w"))
     return ranking.within_documents(seeds, chunks, most=2)
 
 
-def _by_length():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc("n_chars"), "doc_id")
-
-
 @query("with s as (select doc_id, source, (contains(text, 'the'))::int * 2 + (contains(text, 'tion'))::int - (n_chars > 3000)::int as score from documents) select source, doc_id, score from s qualify row_number() over (partition by source order by score desc, doc_id) = 1")
 def opening_candidates(spark, sf_dir):
     score = F.contains("text", F.lit("the")).cast("int") * 2 + F.contains("text", F.lit("tion")).cast("int") - (F.col("n_chars") > 3000).cast("int")
@@ -318,12 +307,12 @@ def concept_conflicts(spark, sf_dir):
 
 @query(
     """
-    with t as (select doc_id, lower(left(text, 400)) as t from documents)
+    with t as (select doc_id, lower(text) as t from documents)
     select doc_id, case when regexp_matches(t, 'tion.*the') then 'rejected' when regexp_matches(t, 'keit|ung') then 'accepted' when regexp_matches(t, 'les') then 'quashed' end as outcome,
         case when regexp_matches(t, 'tion.*the') then 'unfavorable' when regexp_matches(t, 'keit|ung') then 'favorable' when regexp_matches(t, 'les') then 'favorable_or_mixed' end as favorability from t"""
 )
 def outcomes(spark, sf_dir):
-    what, how = concepts.outcome(F.col("text"), [("tion.*the", "rejected", "unfavorable"), ("keit|ung", "accepted", "favorable"), ("les", "quashed", "favorable_or_mixed")], 400)
+    what, how = concepts.outcome(F.col("text"), [("tion.*the", "rejected", "unfavorable"), ("keit|ung", "accepted", "favorable"), ("les", "quashed", "favorable_or_mixed")], None)
     return _docs(spark, sf_dir).select("doc_id", what.alias("outcome"), how.alias("favorability"))
 
 
@@ -350,7 +339,7 @@ def rule_unit_types(spark, sf_dir):
     select doc_id, array_to_string(list_sort(list_filter(need, lambda x: x is not null and x <> 'amount')), ',') as missing_facts from f"""
 )
 def facts_required(spark, sf_dir):
-    needs = spark.createDataFrame([("the", "date"), ("tion", "amount"), ("keit", "role"), ("les", "date")], "pattern string, fact string")
+    needs = [("the", "date"), ("tion", "amount"), ("keit", "role"), ("les", "date")]
     found = concepts.unmet_facts(_docs(spark, sf_dir).select("doc_id", F.col("text").alias("unit_text")), needs, _lit("amount"))
     return found.select("doc_id", F.array_join("missing_facts", ",").alias("missing_facts"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lantern.functions import calculations as C
-from lantern.operators import graph, temporal
+from lantern.operators import dated, graph, temporal
 from lantern.plans.registry import query, table
 
 LINKS = """
@@ -50,7 +50,7 @@ def exact_lookup(spark, sf_dir):
 )
 def validity_join(spark, sf_dir):
     dates = spark.createDataFrame([("1994-01-01",), ("1996-07-01",), ("1998-01-01",)], "d string").select(F.to_date("d").alias("target"))
-    return temporal.valid_pairs(_versions(spark, sf_dir), dates).groupBy("target").agg(F.count("*").alias("n_valid"))
+    return dated.valid_on(_versions(spark, sf_dir), dates).groupBy("target").agg(F.count("*").alias("n_valid"))
 
 
 @query(
@@ -136,3 +136,72 @@ def next_paragraphs(spark, sf_dir):
     size = F.col("p_size").cast("string")
     keys = part.select(size.alias("paragraph")).union(part.select(F.concat(size, F.substring(F.lit("abyz"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1))))).distinct()
     return keys.select("paragraph", C.next_key(F.col("paragraph")).alias("next_paragraph"))
+
+
+#: Customers as provisions of an act, numbered 0, 0a, 0z, 0c, 1, 1a, ...; their orders are the versions.
+PARAGRAPH_SQL = "(c_custkey // 4)::varchar || substr(' azc', (c_custkey % 4)::int + 1, 1)"
+VERSIONS_SQL = f"""
+    v as materialized (
+        select o_custkey as provision, o_orderkey as version, c_custkey // 200 as document, trim({PARAGRAPH_SQL}) as paragraph, case when o_orderstatus = 'F' then 'repealed' else 'active' end as status,
+            o_orderdate::date as s, case when o_orderstatus <> 'P' then o_orderdate::date + 400 end as e from orders join customer on c_custkey = o_custkey),
+    d(target) as (values (date '1995-09-01'), (date '1997-03-01')),
+    ok as materialized (select target, provision, count(*) as n, max(version) as version from v, d where status = 'active' and s <= target and (e is null or target <= e) group by all)"""
+
+
+def _provisions(spark, sf_dir):
+    k = F.col("c_custkey")
+    paragraph = F.trim(F.concat(F.floor(k / 4).cast("string"), F.substring(F.lit(" azc"), (k % 4 + 1).cast("int"), F.lit(1))))
+    customers = table(spark, sf_dir, "customer").select(k.alias("record"), F.floor(k / 200).alias("document"), F.lit("1").alias("article"), paragraph.alias("paragraph"))
+    return _versions(spark, sf_dir).join(customers, "record").withColumnRenamed("record", "provision")
+
+
+@query(
+    f"""
+    with recursive {VERSIONS_SQL},
+    p as (select distinct provision, document, paragraph, regexp_extract(paragraph, '^[0-9]+') as number, regexp_extract(paragraph, '[a-z]$') as letter from v),
+    steps as (
+        select c_custkey as source, c_custkey // 2 as next from customer where c_custkey > 1
+        union select a.provision, b.provision from p a join p b on a.document = b.document and b.paragraph = case a.letter when '' then a.number || 'a' when 'z' then (a.number::int + 1)::varchar else a.number || chr(ascii(a.letter) + 1) end),
+    r as (
+        select c_custkey as seed, target, c_custkey as provision from customer, d
+        union select r.seed, r.target, next from r join ok on ok.provision = r.provision and ok.target = r.target and n = 1 join steps on source = r.provision)
+    select seed, r.target, r.provision, case when n = 1 then version end as version, n > 1 as conflict from r join ok on ok.provision = r.provision and ok.target = r.target"""
+)
+def dated_closure(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("seed"))
+    seeds = customers.withColumn("target", F.explode(F.array(*[F.to_date(F.lit(x)) for x in ("1995-09-01", "1997-03-01")])))
+    links = customers.filter("seed > 1").select(F.col("seed").alias("source"), F.lit(None).cast("long").alias("source_version"), F.floor(F.col("seed") / 2).alias("target"), F.lit("general_rule").alias("type"))
+    return dated.applicable(seeds, _provisions(spark, sf_dir), links).drop("depth")
+
+
+@query(
+    """
+    with v as (select o_custkey as record, o_orderkey as version, o_orderdate::date as s, case when o_custkey % 7 = 0 then date '1996-12-31' when o_orderstatus <> 'P' then o_orderdate::date + 400 end as e from orders)
+    select record, version, date '1992-01-01' + (c_custkey * 3 % 2400)::int as target from v join customer on c_custkey = record where s <= date '1992-01-01' + (c_custkey * 3 % 2400)::int and (e is null or date '1992-01-01' + (c_custkey * 3 % 2400)::int <= e)"""
+)
+def validity_by_record(spark, sf_dir):
+    """Each customer's versions on a date of its own, with end dates that a rule table states for some."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record"))
+    dates = customers.withColumn("target", F.date_add(F.to_date(F.lit("1992-01-01")), (F.col("record") * 3 % 2400).cast("int")))
+    ends = customers.filter("record % 7 = 0").withColumn("end", F.to_date(F.lit("1996-12-31")))
+    return dated.valid_on(dated.with_ends(_versions(spark, sf_dir), ends, "record"), dates, ["record"]).select("record", "version", "target")
+
+
+@query(
+    """
+    select count(*) as n_versions, count(*) filter (where trim(o_comment_version) = '') as provisions_without_version, count(*) filter (where s is null) as provisions_without_effective_dates
+    from (select case when o_orderkey % 11 = 0 then ' ' else o_orderkey::varchar end as o_comment_version, case when o_orderkey % 13 > 0 then o_orderdate::date end as s from orders)"""
+)
+def registry_counters(spark, sf_dir):
+    version = F.when(F.col("version") % 11 == 0, " ").otherwise(F.col("version").cast("string"))
+    return dated.registry_counts(_versions(spark, sf_dir).withColumn("start", F.when(F.col("version") % 13 > 0, F.col("start"))).withColumn("version", version))
+
+
+@query(
+    f"""
+    with {VERSIONS_SQL},
+    a as (select provision, version, s, max({{'e': coalesce(e, date '9999-12-31'), 'v': version}}) over (partition by provision order by s, version rows between unbounded preceding and 1 preceding) as latest from v where status = 'active')
+    select provision, latest.v as version, version as other from a where latest.e >= s"""
+)
+def overlapping_versions(spark, sf_dir):
+    return dated.overlapping(_provisions(spark, sf_dir))
