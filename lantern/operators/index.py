@@ -8,7 +8,8 @@ An index is a folder of Parquet tables::
     versions                         one row a version; the last one is what readers see
 
 A refresh writes the postings of new and changed documents only, then the two small tables, and its row of
-``versions`` last, so that readers see all of a refresh or nothing of it. One refresh may run at a time.
+``versions`` last, so that readers see all of a refresh or nothing of it; what a failed one left is overwritten by the next. One refresh may run at a
+time.
 """
 
 from __future__ import annotations
@@ -135,13 +136,13 @@ def _write_postings(words: DataFrame, path: str, key: str) -> None:
     """Postings by buckets of stems, sorted by term; a bucket with a frequent stem is written by several tasks."""
     terms = words.groupBy(key, "length", "term").agg(F.sum("w").alias("w")).withColumn("stem", F.left("term", F.lit(fulltext.LEAST)))
     rows = terms.withColumn("bucket", _bucket("stem")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-    rows.write.partitionBy("bucket").parquet(path)
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _commit(spark: SparkSession, root: str, version: int, kept: DataFrame, dead: DataFrame | None, generations: tuple[int, ...], key: str, index_version: str) -> None:
-    kept.write.parquet(f"{root}/documents/{version}")
+    kept.write.mode("overwrite").parquet(f"{root}/documents/{version}")
     if dead is not None:
-        dead.write.parquet(f"{root}/dead/{version}")
+        dead.write.mode("overwrite").parquet(f"{root}/dead/{version}")
     n, total = spark.read.parquet(f"{root}/documents/{version}").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     row = (version, f"documents/{version}", f"dead/{version}" if dead is not None else None, [*generations], n, total, key, index_version)
     spark.createDataFrame([row], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{root}/versions")
@@ -154,7 +155,7 @@ def compact(spark: SparkSession, root: str) -> Snapshot:
         return at
     version = at.version + 1
     rows = postings(spark, at).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
-    rows.write.partitionBy("bucket").parquet(f"{root}/postings/generation={version}")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/generation={version}")
     kept = _documents(spark, at).withColumn("generation", F.lit(version).cast("long"))
     _commit(spark, root, version, kept, None, (version,), at.key, at.index_version)
     return snapshot(spark, root)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lantern.operators.incremental import replaced
+from lantern.sources import bucketed
 
 
 def first_seen(stream: DataFrame, key: str, time: str, lateness: str = "1 hour") -> DataFrame:
@@ -36,3 +37,12 @@ def upsert_stream(stream: DataFrame, table: str, key: str, order: list[str], che
         new.write.mode("overwrite").parquet(f"{table}/v={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_buckets(stream: DataFrame, table: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
+    """Keep the latest row of each key in a bucketed table; a batch rewrites only the buckets of its keys.
+
+    A batch that is run again, or comes late, changes nothing, as rows older than the table's own don't replace it.
+    """
+    merge = lambda batch, number: bucketed.upsert(batch, table, keys, order) and None
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
