@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 #: White_Space of Unicode; ``str.split`` also splits at 0x1C-0x1F, which are ordinary characters here.
 _NOT_SPACE = regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-#: Chunks kept by a worker before it starts afresh.
-CACHE_ENTRIES = 150_000
+#: Chunks, and pieces of chunks, kept by a worker before it starts afresh.
+CACHE_ENTRIES = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -35,7 +35,8 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """Encoder of a tokenizer file with byte-level symbols and an end-of-word suffix."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
+        self._most = CACHE_ENTRIES if most is None else most
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -105,7 +106,7 @@ class WordBpe:
             one = kept.get(piece)
             if one is None:
                 one = self.piece_strings(piece)
-                if len(kept) >= CACHE_ENTRIES:
+                if len(kept) >= self._most:
                     kept.clear()
                 if len(piece) <= 64:
                     kept[piece] = one
@@ -114,7 +115,7 @@ class WordBpe:
             out = found[0]
         else:
             out = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
-        if len(self._kept) >= CACHE_ENTRIES:
+        if len(self._kept) >= self._most:
             self._kept.clear()
         if len(chunk) <= 64:
             self._kept[chunk] = out
@@ -144,13 +145,13 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
-_models: dict[str, WordBpe] = {}
+_models: dict[tuple[str, int | None], WordBpe] = {}
 
 
-def model(path: str) -> WordBpe:
-    if path not in _models:
-        _models[path] = WordBpe(path)
-    return _models[path]
+def model(path: str, most: int | None = None) -> WordBpe:
+    if (path, most) not in _models:
+        _models[path, most] = WordBpe(path, most)
+    return _models[path, most]
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -173,15 +174,16 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", colu
     return docs.select(docs[key].alias("key"), docs[column].cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def encode_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", column: str = "text") -> DataFrame:
+def encode_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", column: str = "text", most: int | None = None) -> DataFrame:
     """As ``encode_documents``, with lowercase SHA-256 of ids and decoded text in place of the strings.
 
-    The digests are taken beside the encoder, so that the long strings never leave the worker.
+    The digests are taken beside the encoder, so that the long strings never leave the worker. A worker keeps the results
+    of ``most`` chunks and pieces (by default CACHE_ENTRIES), about 200 bytes each, beyond its task.
     """
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(vocabulary)
+        bpe = model(vocabulary, most)
         for batch in batches:
             counts, ids, decoded = [], [], []
             for x in batch.column(1):
