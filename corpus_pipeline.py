@@ -9,6 +9,9 @@ from lantern.llm import bpe, decontaminate, jaccard, substring, toxicity
 from lantern.llm._storage import light, materialise, purge, small_batches, written
 from lantern.llm.queries import CATEGORIES, table, vocabulary
 
+#: Chunks whose tokens a worker keeps: beside the other stages there is less room than for the encoder alone.
+KEPT_CHUNKS = 120_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain, fitted on the labelled ones among them, doesn't call toxic."""
@@ -41,7 +44,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text of every document left."""
     small_batches(spark)
-    return bpe.encode_digests(docs, vocabulary("word_bpe_49k.json"))
+    return bpe.encode_digests(docs, vocabulary("word_bpe_49k.json"), most=KEPT_CHUNKS)
 
 
 STAGES = [
