@@ -22,6 +22,8 @@ PERSONAL = {
     "tax_id": r"\b[0-9]{3}-[0-9]{3}-[0-9]{2}-[0-9]{2}\b",
     "phone": r"\+[0-9]{1,3}[ -]?[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{3,4}\b",
 }
+#: What each match of those patterns has in it.
+PERSONAL_NEEDS = {"email": "@", "tax_id": "-", "phone": "+"}
 #: Suffixes that the light stemmer takes off, longest first.
 SUFFIXES = ("ements", "ement", "tions", "ation", "tion", "ings", "ing", "ment", "edly", "ed", "ly", "es", "s")
 
@@ -78,12 +80,18 @@ def match_specificity(required: Column, found: Column) -> Column:
     return F.when(found == required, 2).when(F.startswith(found, F.concat(required, F.lit(" "))), 1).otherwise(0)
 
 
-def redact(c: Column, patterns: Mapping[str, str] = PERSONAL) -> tuple[Column, Column]:
-    """The text with personal data replaced, and the labels that were found, in order."""
+def redact(c: Column, patterns: Mapping[str, str] = PERSONAL, needs: Mapping[str, str] = PERSONAL_NEEDS) -> tuple[Column, Column]:
+    """The text with personal data replaced, and the labels that were found, in order.
+
+    ``needs`` names a string that every match of a pattern has: a text without it isn't searched.
+    """
     labels = []
     for label, pattern in patterns.items():
-        labels.append(F.when(F.rlike(c, F.lit(pattern)), F.lit(label)))
-        c = F.regexp_replace(c, pattern, f"[REDACTED_{label.upper()}]")
+        found = F.rlike(c, F.lit(pattern))
+        if label in needs and patterns[label] == PERSONAL.get(label):
+            found = F.contains(c, F.lit(needs[label])) & found
+        labels.append(F.when(found, F.lit(label)))
+        c = F.when(found, F.regexp_replace(c, pattern, f"[REDACTED_{label.upper()}]")).otherwise(c)
     return c, F.array_compact(F.array(*labels))
 
 
