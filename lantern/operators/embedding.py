@@ -6,7 +6,6 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -115,69 +114,122 @@ def _best(scores: np.ndarray, keys: np.ndarray, limit: int, least: float | None)
 def nearest(queries: DataFrame, vectors: DataFrame, limit: int, metric: str = "cosine", least: float | None = None, within: tuple[str, str] | None = None, besides_self: bool = False, query: str = "query_id", key: str = "vec_id", column: str = "embedding", digits: int = 6) -> DataFrame:
     """(query, key, score, rank): exact search by ``cosine`` or ``dot`` over all vectors; ties go to the smaller key.
 
-    ``queries`` is (query, query_vector) with integer ids, a stated set that is gone through in blocks of about
-    QUERY_BLOCK rows, each broadcast as one matrix. ``within`` names a column of the queries and one of the vectors
-    that must be equal; ``besides_self`` leaves out a vector with the query's own id. A null vector takes no part, and
-    cosine with a zero vector is 0. A task multiplies a block by the vectors where they lie and passes on ``limit``
-    rows a query, so pairs never leave it.
+    ``queries`` is (query, query_vector) with integer ids, a stated set. ``within`` names a column of the queries and one
+    of the vectors that must be equal; ``besides_self`` leaves out a vector with the query's own id. A null vector takes
+    no part, and cosine with a zero vector is 0. Up to QUERY_BLOCK queries are broadcast as one matrix and multiplied by
+    the vectors where they lie; more of them are dealt to blocks that meet the vectors in a shuffle (``_tiled``). Either
+    way the vectors are read once, a task passes on ``limit`` rows a query, and pairs never leave it.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     own = [F.col(query).cast("long").alias("id"), F.col("query_vector").cast("array<double>").alias("v"), (F.col(within[0]) if within else F.lit("")).cast("string").alias("g")]
-    asked = queries.filter("query_vector is not null").withColumn("_block", F.pmod(F.xxhash64(query), F.lit(blocks)))
+    asked = queries.filter("query_vector is not null").select(*own)
     rows = vectors.filter(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"), (F.col(within[1]) if within else F.lit("")).cast("string").alias("g"))
-    parts = [_nearest_of(asked.filter(F.col("_block") == i).select(*own).toArrow(), rows, limit, metric, least, bool(within), besides_self, digits) for i in range(blocks)]
-    found = reduce(DataFrame.union, parts)
+    how = (limit, metric, least, bool(within), besides_self, digits)
+    n = asked.count()
+    found = _broadcast(asked, rows, how) if n <= QUERY_BLOCK else _tiled(asked, rows, -(-n // QUERY_BLOCK), how)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     names = [F.col("query").cast(queries.schema[query].dataType).alias(query), F.col("key").cast(vectors.schema[key].dataType).alias(key)]
     return ranked.select(*names, "score", "rank")
 
 
-def _nearest_of(block: pa.Table, rows: DataFrame, limit: int, metric: str, least: float | None, grouped: bool, besides_self: bool, digits: int) -> DataFrame:
-    """(query, key, score) of one block of queries, ``limit`` rows a query and task."""
-    block = block.combine_chunks()
-    ids, groups = block["id"].to_numpy(), np.array(block["g"].to_pylist(), object)
-    matrix = _matrix(block["v"].chunk(0)) if len(block) else np.zeros((0, 0))
-    norms = np.sqrt((matrix * matrix).sum(axis=1))
-    shared = rows.sparkSession.sparkContext.broadcast((ids, groups, matrix, norms))
+FOUND = "query long, key long, score double"
+
+
+class _Search:
+    """The best vectors of a block of queries among the batches (id, v, g) added so far."""
+
+    def __init__(self, block: pa.Table, limit: int, metric: str, least: float | None, grouped: bool, besides_self: bool, digits: int):
+        self.limit, self.metric, self.least, self.grouped, self.besides_self, self.digits = limit, metric, least, grouped, besides_self, digits
+        block = block.combine_chunks()
+        self.ids, self.groups = block["id"].to_numpy(), np.array(block["g"].to_pylist(), object)
+        self.matrix = _matrix(block["v"].chunk(0)) if len(block) else np.zeros((0, 0))
+        self.norms = np.sqrt((self.matrix * self.matrix).sum(axis=1))
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for lo in range(0, batch.num_rows if len(self.ids) else 0, VECTOR_BLOCK):
+            part = batch.slice(lo, VECTOR_BLOCK)
+            keys, own = part["id"].to_numpy(), _matrix(part["v"])
+            if own.shape[1] != self.matrix.shape[1]:
+                raise ValueError("vectors differ in length")
+            scores = self.matrix @ own.T
+            if self.metric == "cosine":
+                size = self.norms[:, None] * np.sqrt((own * own).sum(axis=1))[None, :]
+                scores = np.divide(scores, size, out=np.zeros_like(scores), where=size > 0)
+            scores = rounded(scores, self.digits)
+            if self.grouped:
+                scores[self.groups[:, None] != np.array(part["g"].to_pylist(), object)[None, :]] = -np.inf
+            if self.besides_self:
+                scores[self.ids[:, None] == keys[None, :]] = -np.inf
+            query, at = _best(scores, keys, self.limit, self.least)
+            self.kept.append((query, keys[at], scores[query, at]))
+            if len(self.kept) > 16:
+                self.kept = [self._merged()]
+
+    def _merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, keys, scores = (np.concatenate(x) for x in zip(*self.kept))
+        order = np.lexsort((keys, -scores, query))
+        query, keys, scores = query[order], keys[order], scores[order]
+        first = np.arange(len(query)) - np.searchsorted(query, query) < self.limit
+        return query[first], keys[first], scores[first]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.kept:
+            query, keys, scores = self._merged()
+            for lo in range(0, len(query), 50_000):
+                part = slice(lo, lo + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(self.ids[query[part]], pa.int64()), pa.array(keys[part], pa.int64()), pa.array(scores[part])], names=["query", "key", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, groups, matrix, norms = shared.value
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            query, keys, scores = (np.concatenate(x) for x in zip(*kept))
-            order = np.lexsort((keys, -scores, query))
-            query, keys, scores = query[order], keys[order], scores[order]
-            first = np.arange(len(query)) - np.searchsorted(query, query) < limit
-            return query[first], keys[first], scores[first]
+def _broadcast(asked: DataFrame, rows: DataFrame, how: tuple) -> DataFrame:
+    """(query, key, score) of QUERY_BLOCK queries at most, in a narrow pass over the vectors."""
+    shared = rows.sparkSession.sparkContext.broadcast(asked.toArrow())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _Search(shared.value, *how)
         for batch in batches:
-            for lo in range(0, batch.num_rows if len(ids) else 0, VECTOR_BLOCK):
-                part = batch.slice(lo, VECTOR_BLOCK)
-                keys, own = part.column(0).to_numpy(), _matrix(part.column(1))
-                if own.shape[1] != matrix.shape[1]:
-                    raise ValueError("vectors differ in length")
-                scores = matrix @ own.T
-                if metric == "cosine":
-                    size = norms[:, None] * np.sqrt((own * own).sum(axis=1))[None, :]
-                    scores = np.divide(scores, size, out=np.zeros_like(scores), where=size > 0)
-                scores = rounded(scores, digits)
-                if grouped:
-                    scores[groups[:, None] != np.array(part.column(2).to_pylist(), object)[None, :]] = -np.inf
-                if besides_self:
-                    scores[ids[:, None] == keys[None, :]] = -np.inf
-                query, at = _best(scores, keys, limit, least)
-                kept.append((query, keys[at], scores[query, at]))
-                if len(kept) > 16:
-                    kept = [merged()]
-        if kept:
-            query, keys, scores = merged()
-            for lo in range(0, len(query), 50_000):
-                part = slice(lo, lo + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[query[part]], pa.int64()), pa.array(keys[part], pa.int64()), pa.array(scores[part])], names=["query", "key", "score"])
+            search.add(batch)
+        yield from search.rows()
+
+    return rows.mapInArrow(run, FOUND)
 
-    return rows.mapInArrow(run, "query long, key long, score double")
+
+def _tiled(asked: DataFrame, rows: DataFrame, blocks: int, how: tuple) -> DataFrame:
+    """(query, key, score) of any number of queries: each block of them meets each piece of the vectors in one place.
+
+    Sorted by place, a block's queries come before its vectors, so a task holds one block and streams the vectors past
+    it, however many there are. A vector is sent to every block and a query to every piece; the pieces are as many as
+    give each shuffle partition a place.
+    """
+    spark = rows.sparkSession
+    pieces = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_piece", every(pieces)).withColumn("_kind", F.lit(0))
+    right = rows.withColumn("_piece", F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int")).withColumn("_block", every(blocks)).withColumn("_kind", F.lit(1))
+    both = left.unionByName(right).select("id", "v", "g", (F.col("_block").cast("long") * pieces + F.col("_piece")).alias("place"), "_kind")
+    both = both.repartition("place").sortWithinPartitions("place", "_kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, search = None, [], None
+        for batch in batches:
+            step = batch["place"].to_numpy() * 2 + batch["_kind"].to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)] if len(step) else []
+            for lo, hi in zip(starts, starts[1:]):
+                place, kind = divmod(int(step[lo]), 2)
+                if place != now:
+                    if search:
+                        yield from search.rows()
+                    now, waiting, search = place, [], None
+                part = batch.slice(lo, hi - lo)
+                if kind == 0:
+                    waiting.append(part)
+                elif waiting:
+                    search = search or _Search(pa.Table.from_batches(waiting), *how)
+                    search.add(part)
+        if search:
+            yield from search.rows()
+
+    return both.mapInArrow(run, FOUND)
 
 
 def semantic_scores(rows: DataFrame, digits: int = 6) -> DataFrame:

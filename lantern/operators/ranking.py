@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lantern.operators.fusion import cross_rank_score
-from lantern.operators.selection import first_by
+from lantern.operators.fusion import cross_rank_score, hybrid_score
+from lantern.operators.selection import diverse_window, first_by
 
 # Weights of the parts of an authority card's score.
 CARD_WEIGHTS = {
@@ -87,6 +87,39 @@ def two_stage(rows: DataFrame, preliminary: Column, cross: Column, blend: Column
     return rows.select(query, key, "preliminary", "blended", "position")
 
 
+def local_ranked(rows: DataFrame, extra: Column, blend: Column, shortlist: int, limit: int, query: str = "query_id", key: str = "doc_id", document: str = "document_id", digits: int = 6) -> DataFrame:
+    """(query, key, document, preliminary, blended, position): the whole local ranking of a query's candidates.
+
+    ``rows`` is (query, key, document, rank, semantic, cross, procedural, asks_procedure), bounded a query by its searches.
+    Procedural rows go unless the query asks for procedure or nothing else is left. The preliminary score is the hybrid
+    score of both ranks plus ``extra``. The best ``shortlist`` rows (``limit`` at least) are blended with their cross rank
+    (1 to 0); where a query has a row of the shortlist without ``cross``, the preliminary order of all rows holds. If the document
+    that the search put first isn't among the first ``limit``, its row takes the place of the last row whose document
+    stands there twice, or else of the last row. Then documents take turns: the first row of each before second ones.
+    """
+    own = Window.partitionBy(query)
+    rows = rows.withColumn("_keep", F.coalesce(~F.col("procedural") | F.col("asks_procedure"), F.lit(True)))
+    rows = rows.withColumn("_any", F.max("_keep").over(own)).filter("_keep or not _any").withColumn("_extra", extra).withColumn("_blend", blend)
+    rows = rows.withColumn("_lexical", F.row_number().over(own.orderBy("rank", key))).withColumn("_semantic", F.row_number().over(own.orderBy(F.desc("semantic"), key)))
+    rows = rows.withColumn("preliminary", F.round(hybrid_score(F.col("_lexical"), F.col("_semantic")) + F.col("_extra"), digits))
+    rows = rows.withColumn("_first", F.row_number().over(own.orderBy(F.desc("preliminary"), key))).withColumn("_short", F.col("_first") <= max(shortlist, limit))
+    rows = rows.withColumn("_pool", F.count_if("_short").over(own)).withColumn("_crossed", F.count_if(F.col("_short") & F.col("cross").isNull()).over(own) == 0)
+    rows = rows.withColumn("_second", F.row_number().over(own.orderBy(F.desc("_short"), F.desc_nulls_last("cross"), key)))
+    mixed = (1 - F.col("_blend")) * F.col("preliminary") + F.col("_blend") * cross_rank_score(F.col("_second"), F.col("_pool"))
+    rows = rows.withColumn("blended", F.when(F.col("_crossed") & F.col("_short"), F.round(mixed, digits)).when(~F.col("_crossed"), F.col("preliminary")))
+    order = [F.desc_nulls_last("blended"), F.when(F.col("_crossed"), F.col("_second")).otherwise(F.col("_first"))]
+    rows = rows.withColumn("_place", F.row_number().over(own.orderBy(*order))).withColumn("_in", F.col("_place") <= limit)
+
+    leader = F.max(F.when(F.col("_lexical") == 1, F.col(document))).over(own)
+    rows = rows.withColumn("_leader", leader).withColumn("_held", F.count_if(F.col("_in") & F.col(document).eqNullSafe(F.col("_leader"))).over(own) > 0)
+    rows = rows.withColumn("_twice", F.col("_in") & (F.count_if("_in").over(Window.partitionBy(query, document)) > 1))
+    rows = rows.withColumn("_victim", F.coalesce(F.max(F.when(F.col("_twice"), F.col("_place"))).over(own), F.lit(limit)))
+    moved = F.when((F.col("_lexical") == 1), F.col("_victim").cast("double")).when(F.col("_place") == F.col("_victim"), F.lit(limit + 0.5)).otherwise(F.col("_place").cast("double"))
+    rows = rows.withColumn("_order", F.when(F.col("_held"), F.col("_place").cast("double")).otherwise(moved))
+    rows = rows.filter(F.col("blended").isNotNull() | ((F.col("_lexical") == 1) & ~F.col("_held"))).drop("rank").withColumn("rank", F.row_number().over(own.orderBy("_order")))
+    return diverse_window(rows, limit, query, document).filter(F.col("position") <= limit).select(query, key, document, "preliminary", "blended", "position")
+
+
 def placed(rows: DataFrame, order: Sequence, by: Sequence[str], limit: int | None = None) -> DataFrame:
     """``rows`` with ``position`` from 1 within ``by``, in the given order of priority; a limit is pushed below the sort."""
     out = rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
