@@ -147,15 +147,20 @@ def json_list(c: Column) -> Column:
 def sections(c: Column, headings: Sequence[str]) -> Column:
     """Map from the headings that stand alone on a line to the text up to the next one."""
     lines = F.transform(F.split(c, "\n"), normalize_whitespace)
-    known = F.array(*[F.lit(h.lower()) for h in headings])
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<struct<h:string,t:string>>").alias("parts"))
-
-    def step(s: Column, line: Column) -> Column:
-        is_heading = F.array_contains(known, F.lower(line))
-        now = F.when(is_heading, F.lower(line)).otherwise(s["now"])
-        add = F.when(is_heading | (s["now"] == "") | (line == ""), F.array().cast("array<struct<h:string,t:string>>")).otherwise(F.array(F.struct(s["now"].alias("h"), line.alias("t"))))
-        return F.struct(now.alias("now"), F.concat(s["parts"], add).alias("parts"))
-
-    parts = F.aggregate(lines, start, step, lambda s: s["parts"])
-    names = F.array_distinct(F.transform(parts, lambda p: p["h"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(F.transform(F.filter(parts, lambda p: p["h"] == n), lambda p: p["t"]), " ")))
+    known = [h.lower() for h in headings]
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def between(ls: Column, marks: Column) -> Column:
+        # Each heading's lines reach to the next heading: every line is copied once, however long the text.
+        end = lambda j: F.coalesce(F.get(marks, j + 1)["i"], F.size(ls))
+        return F.transform(marks, lambda m, j: F.struct(m["h"].alias("h"), F.array_join(F.filter(F.slice(ls, m["i"] + 2, end(j) - m["i"] - 1), lambda x: x != ""), " ").alias("t")))
+
+    def folded(parts: Column) -> Column:
+        names = F.array_distinct(F.transform(parts, lambda p: p["h"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(F.transform(F.filter(parts, lambda p: p["h"] == n), lambda p: p["t"]), " ")))
+
+    def marked(ls: Column) -> Column:
+        places = F.transform(ls, lambda x, i: F.struct(F.lower(x).alias("h"), i.alias("i")))
+        return F.filter(places, lambda m: m["h"].isin(*known))
+
+    return once(lines, lambda ls: once(marked(ls), lambda marks: once(F.filter(between(ls, marks), lambda p: p["t"] != ""), folded)))

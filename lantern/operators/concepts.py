@@ -8,26 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.functions.text import normalize_citation
+from lantern.operators.fulltext import holding
 from lantern.operators.selection import first_by
 
 
 def match_concepts(texts: DataFrame, phrases: DataFrame, related: DataFrame, key: str = "doc_id", column: str = "text", most: float = 0.75) -> DataFrame:
     """(key, concept_id, kind, confidence): the best phrase of each concept in a text, and concepts related to those.
 
-    ``phrases`` is (concept_id, kind, phrase, confidence), ``related`` (concept_id, related_id); both are stated
-    dictionaries and broadcast. A derived concept has the confidence of its origin, ``most`` at most, and gives way to
+    ``phrases`` is (concept_id, kind, phrase, confidence), ``related`` (concept_id, related_id). A derived concept has the confidence of its origin, ``most`` at most, and gives way to
     one that the text has.
     """
-    met = texts.join(F.broadcast(phrases), F.contains(F.lower(column), F.col("phrase")))
+    met = holding(texts.select(F.col(key), F.lower(column).alias("_low")), phrases, "phrase", key, "_low")
     found = first_by(met, [key, "concept_id"], [F.desc("confidence"), "kind", "phrase"]).select(key, "concept_id", "kind", "confidence")
-    derived = found.join(F.broadcast(related), "concept_id").groupBy(key, F.col("related_id").alias("concept_id")).agg(F.max(F.least("confidence", F.lit(most))).alias("confidence"))
+    derived = found.join(related, "concept_id").groupBy(key, F.col("related_id").alias("concept_id")).agg(F.max(F.least("confidence", F.lit(most))).alias("confidence"))
     both = found.unionByName(derived.withColumn("kind", F.lit("related_concept"))).withColumn("_derived", F.col("kind") == "related_concept")
     return first_by(both, [key, "concept_id"], ["_derived"]).drop("_derived")
 
 
 def conflicts(found: DataFrame, incompatible: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, concept_id, incompatible_with): found concepts that exclude others found in the same text."""
-    pairs = found.select(key, "concept_id").join(F.broadcast(incompatible), "concept_id")
+    pairs = found.select(key, "concept_id").join(incompatible, "concept_id")
     other = found.select(key, F.col("concept_id").alias("incompatible_with"))
     return pairs.join(other, [key, "incompatible_with"], "left_semi").select(key, "concept_id", "incompatible_with")
 

@@ -15,6 +15,8 @@ K1, B = 1.2, 0.75
 LEAST = 3
 #: Query tokens that are broadcast to the documents; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
+#: Phrases that are held against every text; more are met by their first characters, so many at most.
+FEW_PHRASES, GRAM = 64, 4
 
 
 def occurrences(documents: DataFrame, fields: Mapping[str, float], key: str = "doc_id", least: int = 1) -> DataFrame:
@@ -89,7 +91,7 @@ def containing(documents: DataFrame, phrases: DataFrame, key: str = "doc_id", co
     """(phrase_key, key): the documents whose text contains a phrase, character for character; rows may repeat.
 
     A phrase of five pieces between spaces or more has three in its inside that stand in the text as they are: they
-    are joined by hash, and what meets is checked in full. Shorter phrases are held against every text.
+    are joined by hash, and what meets is checked in full. Shorter phrases go by their first characters (``holding``).
     """
     pieces = F.split(F.col(phrase), " ")
     wanted = phrases.filter(F.col(phrase).isNotNull()).select(F.col(phrase_key), F.col(phrase).alias("_phrase"), F.size(pieces).alias("_size"), F.xxhash64(*[F.get(pieces, F.lit(k)) for k in (1, 2, 3)]).alias("_anchor"))
@@ -98,10 +100,32 @@ def containing(documents: DataFrame, phrases: DataFrame, key: str = "doc_id", co
     own = texts.withColumn("_pieces", F.split("_text", " ")).filter(F.size("_pieces") >= 5)
     anchors = F.transform(F.sequence(F.lit(1), F.size("_pieces") - 4), lambda i: F.xxhash64(*[F.element_at("_pieces", i + k) for k in (1, 2, 3)]))
     met = own.select(key, "_text", F.explode(F.array_distinct(anchors)).alias("_anchor")).join(small(wanted.filter("_size >= 5"), BROADCAST_ROWS), "_anchor")
-    short = texts.join(F.broadcast(wanted.filter("_size < 5")), F.contains("_text", F.col("_phrase")))
+    short = holding(texts, wanted.filter("_size < 5").select(phrase_key, "_phrase"), "_phrase", key, "_text")
     return met.filter(F.contains("_text", F.col("_phrase"))).select(phrase_key, key).union(short.select(phrase_key, key))
 
 
+def holding(texts: DataFrame, phrases: DataFrame, phrase: str, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, columns of ``phrases``): every text with every phrase in it, character for character, parts of words too.
+
+    At most FEW_PHRASES phrases are broadcast and held against each text. More of them are met by equality with their
+    first GRAM characters (a shorter phrase with all of its own), each of which a text has once, and what meets is
+    checked against the text. An empty phrase is in every text, a null one in none. Rows repeat if a key does.
+    """
+    wanted = stored(phrases.filter(F.col(phrase).isNotNull()), "held")
+    own = texts.select(F.col(key), F.col(column).alias("_held"))
+    if wanted.limit(FEW_PHRASES + 1).count() <= FEW_PHRASES:
+        return own.join(F.broadcast(wanted), F.contains("_held", F.col(phrase))).drop("_held")
+    letters = F.split("_letters", "")
+    of = lambda n: F.when(F.length("_letters") >= n, F.transform(F.sequence(F.lit(1), F.length("_letters") - (n - 1)), lambda i: F.concat(*[F.element_at("_split", i + k) for k in range(n)])))
+    grams = F.flatten(F.array_compact(F.array(F.array(F.lit("")), *[F.array_distinct(of(n)) for n in range(1, GRAM + 1)])))
+    sizes = [r[0] for r in wanted.select(F.least(F.length(phrase), F.lit(GRAM)).alias("n")).distinct().collect()]  # GRAM + 1 values at most
+    anchors = small(wanted.withColumn("_gram", F.left(phrase, F.lit(GRAM))), BROADCAST_ROWS)
+    split = own.filter("_held is not null").select(F.col(key), F.col("_held").alias("_letters")).withColumn("_split", letters)
+    found = split.select(F.col(key), F.explode(F.filter(grams, lambda g: F.length(g).isin(*sizes))).alias("_gram")).join(anchors, "_gram").drop("_gram")
+    named = own.select(F.col(key).alias("_key"), "_held")
+    return found.join(named, F.col(key).eqNullSafe(F.col("_key")) & F.contains("_held", F.col(phrase))).drop("_key", "_held")
+
+
 def additive_score(text: Column, phrases: Column) -> Column:
     """How many of the phrases the lower-cased text contains."""
     low = F.lower(text)

@@ -53,11 +53,11 @@ def pending(records: DataFrame, cursors: DataFrame, manifest: DataFrame, source:
     """The records that a resumed load still has to take: those after their source's cursor.
 
     ``cursors`` is (source, cursor, manifest_hash), ``manifest`` (source, manifest_hash): a source whose manifest has
-    changed, or that has no cursor, begins anew. One row a source, so both are broadcast.
+    changed, or that has no cursor, begins anew.
     """
     valid = cursors.join(manifest.select(F.col(source).alias("_source"), F.col("manifest_hash").alias("_now")), (F.col(source) == F.col("_source")) & (F.col("manifest_hash") == F.col("_now")))
     marks = valid.select(F.col(source).alias("_source"), F.col("cursor").alias("_cursor"))
-    rows = records.join(F.broadcast(marks), F.col(source) == F.col("_source"), "left")
+    rows = records.join(marks, F.col(source) == F.col("_source"), "left")
     return rows.filter(F.col("_cursor").isNull() | (F.col(position) > F.col("_cursor"))).drop("_source", "_cursor")
 
 

@@ -7,6 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lantern.operators.lineage import small
+
+#: Patterns of a stated list that are broadcast to a query's candidates.
+FEW_PATTERNS = 10_000
+
 
 def first_by(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """The first row of each key in the given order; unlike ``dropDuplicates``, always the same one."""
@@ -104,7 +109,7 @@ def missing_numbers(rows: DataFrame, key: str, number: str) -> DataFrame:
 
 def required_first(rows: DataFrame, requirements: DataFrame, query: str = "query_id", key: str = "doc_id") -> DataFrame:
     """``rows`` with ``met``: the first requirement (position, pattern) for which a row is the best match, else null."""
-    hits = rows.join(F.broadcast(requirements), F.rlike(F.lower("text"), F.col("pattern")))
+    hits = rows.join(small(requirements, FEW_PATTERNS), F.rlike(F.lower("text"), F.col("pattern")))
     best = first_by(hits, [query, "position"], ["rank", key]).groupBy(query, key).agg(F.min("position").alias("met"))
     return rows.join(best, [query, key], "left")
 

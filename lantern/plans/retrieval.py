@@ -336,7 +336,7 @@ def phrase_coverage(spark, sf_dir):
 )
 def dictionary_matches(spark, sf_dir):
     phrases = spark.createDataFrame([("c1", "alias", "tion", 0.9), ("c1", "hint", "the", 0.5), ("c2", "alias", "keit", 0.8), ("c3", "alias", "the", 0.5)], "concept_id string, kind string, phrase string, confidence double")
-    met = table(spark, sf_dir, "documents").join(F.broadcast(phrases), F.contains(F.lower("text"), F.col("phrase")))
+    met = fulltext.holding(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low")), phrases, "phrase", column="low")
     return selection.first_by(met, ["doc_id", "concept_id"], [F.desc("confidence"), "kind"]).select("doc_id", "concept_id", "kind", "confidence")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lantern.functions import calculations as C
-from lantern.operators import concepts, expansion, filters, incremental, provisions, ranking, selection
+from lantern.operators import concepts, expansion, filters, fulltext, incremental, provisions, ranking, selection
 from lantern.plans.registry import query, table
 from lantern.plans.retrieval import BM25_SQL, lexical
 
@@ -129,9 +129,9 @@ def complementary_queries(spark, sf_dir):
     select query_id, count(*) as n_docs from (select query_id, doc_id from placed join documents on contains(lower(text), alias) group by all) group by query_id"""
 )
 def phrase_queries(spark, sf_dir):
-    """Phrases only: the words of a query don't widen the search. The aliases are the rules', so few."""
+    """Phrases only: the words of a query don't widen the search."""
     phrases = expansion.expansions(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), EXPANSIONS)
-    each = _docs(spark, sf_dir).join(F.broadcast(phrases.select("alias").distinct()), F.contains(F.lower("text"), F.col("alias"))).select("doc_id", "alias")
+    each = fulltext.holding(_docs(spark, sf_dir).select("doc_id", F.lower("text").alias("low")), phrases.select("alias").distinct(), "alias", column="low")
     return phrases.join(each, "alias").select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("n_docs"))
 
 

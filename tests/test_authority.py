@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lantern.functions import text as X
-from lantern.operators import authority, embedding, ranking
+from lantern.operators import authority, embedding, fulltext, ranking
 
 
 def value(spark, column):
@@ -115,3 +115,23 @@ def test_vectors_by_blocks_equal_one_block(spark, monkeypatch, metric):
         assert "place" in embedding.nearest(queries, df, 4)._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_texts_hold_phrases(spark, monkeypatch, few):
+    monkeypatch.setattr(fulltext, "FEW_PHRASES", few)
+    r = random.Random(few)
+    word = lambda n: "".join(r.choice("abż😀 ") for _ in range(n))
+    texts = [(i, word(r.randint(0, 30))) for i in range(50)] + [(50, None), (51, "")]
+    phrases = [(k, word(r.randint(0, 7))) for k in range(40)] + [(40, None), (41, "nowhere"), (42, ""), (42, "a")]
+    found = fulltext.holding(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(phrases, "p int, phrase string"), "phrase")
+    assert {tuple(x) for x in found.select("doc_id", "p", "phrase").collect()} == {(i, k, p) for i, t in texts for k, p in phrases if t is not None and p is not None and p in t}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("NestedLoop" in plan) == (few > 0) and "Cartesian" not in plan
+
+
+def test_sections_of_long_texts(spark):
+    lines = ["ignored", "FACTS", "a", "", " b  c ", "Other", "facts", "Question", "facts", "d", "Decision"] + ["x"] * 20_000
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, ""), (4, "facts")], "doc_id int, text string")
+    found = {x["doc_id"]: x["s"] for x in df.select("doc_id", X.sections(F.col("text"), ["Facts", "question", "decision"]).alias("s")).collect()}
+    assert found == {1: {"facts": "a b c Other d", "decision": " ".join(["x"] * 20_000)}, 2: None, 3: {}, 4: {}}
