@@ -61,19 +61,22 @@ def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dependencies(references: DataFrame, units: DataFrame, scope: list[str]) -> DataFrame:
-    """``references`` (scope, ref_id, article, paragraph, point) with the narrowest unit that they name.
+    """``references`` (scope, ref_id, article, paragraph, point) with the broadest unit that they name, ties to the smaller id.
 
-    Article is equal; paragraph and point are equal or not given in the reference.
+    Article is equal; paragraph and point are equal or not given in the reference. A unit stands under its own paragraph
+    and point and under none, so that a reference meets one best unit by equality, not every unit of its article. Units
+    are never broadcast: the estimate of their size doesn't see what an explode made of a small table.
     """
-    from pyspark.sql import Window
-
-    r, u = references.alias("r"), units.alias("u")
+    specificity = F.col("paragraph").isNotNull().cast("int") + F.col("point").isNotNull().cast("int")
+    under = units.select(*scope, "article", "paragraph", "point", F.struct(specificity.alias("specificity"), "unit_id").alias("_unit"))
+    for c in ("paragraph", "point"):
+        under = under.withColumn(c, F.explode(F.array_distinct(F.array(F.lit(None).cast(units.schema[c].dataType), c))))
+    best = under.groupBy(*scope, "article", "paragraph", "point").agg(F.min("_unit").alias("_unit"))
+    r, u = references.alias("r"), best.hint("merge").alias("u")
     same = F.col("r.article") == F.col("u.article")
     for c in scope:
         same &= F.col(f"r.{c}") == F.col(f"u.{c}")
     for c in ("paragraph", "point"):
-        same &= F.col(f"r.{c}").isNull() | (F.col(f"r.{c}") == F.col(f"u.{c}"))
-    specificity = F.col("u.paragraph").isNotNull().cast("int") + F.col("u.point").isNotNull().cast("int")
-    met = r.join(u, same).select("r.ref_id", "u.unit_id", specificity.alias("specificity"))
-    best = Window.partitionBy("ref_id").orderBy("specificity", "unit_id")
-    return met.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").select("ref_id", "unit_id")
+        same &= F.col(f"r.{c}").eqNullSafe(F.col(f"u.{c}"))
+    met = r.join(u, same).groupBy("r.ref_id").agg(F.min("u._unit").alias("_unit"))
+    return met.select("ref_id", "_unit.unit_id")

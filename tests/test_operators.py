@@ -126,6 +126,26 @@ def test_selectors_against_loops(spark):
     assert got == window
 
 
+def test_dependencies_meet_the_broadest_unit_without_a_broadcast(spark):
+    r = random.Random(11)
+    some = lambda n: r.choice([None, *range(n)])
+    units = [(r.randrange(2), r.randrange(4), some(3), some(2), i) for i in range(60)]
+    refs = [(r.randrange(2), i % 90, r.randrange(5), some(4), some(3)) for i in range(120)]
+    u = spark.createDataFrame(units, "act int, article int, paragraph long, point int, unit_id int")
+    df = graph.dependencies(spark.createDataFrame(refs, "act int, ref_id int, article int, paragraph long, point int"), u, ["act"])
+    want = {}
+    for act, ref, article, paragraph, point in refs:
+        for a, b, c, d, i in units:
+            if (a, b) == (act, article) and paragraph in (None, c) and point in (None, d):
+                want[ref] = min(want.get(ref, (9, 0)), ((c is not None) + (d is not None), i))
+    assert {x["ref_id"]: x["unit_id"] for x in df.collect()} == {k: v[1] for k, v in want.items()}
+    assert df.count() == len(want)
+    # A small table whose explode makes many units.
+    parts = spark.range(100).select(F.lit(1).alias("act"), F.col("id").cast("int").alias("article"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(50).cast("long"))).alias("paragraph"), F.lit(None).cast("int").alias("point"))
+    many = graph.dependencies(spark.createDataFrame(refs, "act int, ref_id int, article int, paragraph long, point int"), parts.withColumn("unit_id", F.col("article")), ["act"])
+    assert "Broadcast" not in many._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_covering_and_pinning_against_loops(spark):
     r = random.Random(7)
     rows = [(q, d, d + 1, r.choice(["interpretive", "judicial", "other"]), r.sample("abc", r.randint(0, 2)), r.sample(["x", "y", "z"], r.randint(0, 2))) for q in range(15) for d in range(r.randint(1, 12))]
