@@ -75,23 +75,21 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str = "doc_id", colum
     """
     known = stored(_prepared(phrases), "phrases")
     longest = known.agg(F.coalesce(F.max(F.size("core")), F.lit(1))).first()[0]
-    own = texts.select(F.col(key).alias("_key"), _pieces(normalized(F.coalesce(F.col(column).cast("string"), F.lit("")))).alias("_e")).filter(F.size("_e") > 0)
-    first = F.when(_is_word(F.col("_e")[0]), 1).otherwise(2)
+    own = texts.select(F.col(key).alias("_key"), _pieces(normalized(F.coalesce(F.col(column).cast("string"), F.lit("")))).alias("_e"))
+    first = F.when(_is_word(_at(F.col("_e"), F.lit(1))), 1).otherwise(2)
     places = F.when(F.size("_e") >= first, F.sequence(first, F.size("_e"), F.lit(2)))
+    # Up to a broadcast join all is generated code that hands a text's pieces on without copying them for each word;
+    # a lambda in between would break that and cost the square of a text's length.
     words = own.select("_key", "_e", F.explode(places).alias("_i"))
     words = words.select("_key", "_e", "_i", F.explode(_anchors(F.col("_e"), F.col("_i"))).alias("anchor"))
     dictionary = small(known, BROADCAST_ROWS)
-    i, e = F.col("_i"), F.col("_e")
+    e, i, leads = F.col("_e"), F.col("_i"), F.col("_i") == 2  # the text begins with the gap
     if dictionary is known:
-        near = words.select("_key", "anchor", F.slice("_e", i, F.lit(longest)).alias("_core"), _at(e, i - 1).alias("_before"), (i == 2).alias("_leads"), F.transform(F.sequence(F.lit(0), F.lit(longest)), lambda n: _at(e, i + n)).alias("_after"))
-        met = near.join(dictionary, "anchor").filter(F.slice("_core", F.lit(1), F.size("core")) == F.col("core"))
-        before, after, beyond = F.col("_before"), F.get("_after", F.size("core")), F.get("_after", F.size("core") + 1)
-        beyond = F.coalesce(beyond, F.lit(""))
+        # As many words as the longest phrase has, and one piece before and two after, go with a word into the shuffle.
+        words = words.select("_key", "anchor", F.slice("_e", F.greatest(i - 1, F.lit(1)), F.lit(longest + 3)).alias("_e"), F.least(i, F.lit(2)).alias("_i"), leads.alias("_leads"))
         leads = F.col("_leads")
-    else:
-        met = words.join(dictionary, "anchor").filter(F.slice("_e", i, F.size("core")) == F.col("core"))
-        before, after, beyond = _at(e, i - 1), _at(e, i + F.size("core")), _at(e, i + F.size("core") + 1)
-        leads = i == 2  # the text begins with the gap
+    met = words.join(dictionary, "anchor").filter(F.slice("_e", i, F.size("core")) == F.col("core"))
+    before, after, beyond = _at(e, i - 1), _at(e, i + F.size("core")), _at(e, i + F.size("core") + 1)
     led = (F.col("lead") == "") | F.endswith(before, F.col("lead")) & ((F.length(before) > F.length("lead")) | leads)
     trailed = (F.col("trail") == "") | F.startswith(after, F.col("trail")) & ((F.length(after) > F.length("trail")) | (beyond == ""))
     return met.filter(led & trailed).groupBy(F.col("_key").alias(key), "phrase").agg(F.count("*").alias("n"))
@@ -181,7 +179,7 @@ def with_related(found: DataFrame, related: DataFrame, key: str = "doc_id") -> D
 
     A related concept that the text hasn't itself has the confidence of its origin, DERIVED at most, and is never locked.
     """
-    own = found.select(key, "concept_id", "kind", "confidence", "locked")
+    own = stored(found.select(key, "concept_id", "kind", "confidence", "locked"), "recognised")
     near = own.join(small(stored(related.select("concept_id", "related_id").distinct(), "related"), BROADCAST_ROWS), "concept_id")
     derived = near.groupBy(key, F.col("related_id").alias("concept_id")).agg(F.max(F.least("confidence", F.lit(DERIVED))).alias("confidence"))
     derived = derived.join(own.select(key, "concept_id"), [key, "concept_id"], "left_anti")

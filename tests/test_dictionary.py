@@ -98,3 +98,20 @@ def test_nothing_to_look_for(spark):
     assert dictionary.phrase_hits(texts, phrases.limit(0)).count() == 0
     assert dictionary.recognised(texts.limit(0), concepts, phrases).count() == 0
     assert dictionary.recognised(texts, concepts.limit(0), phrases).count() == 0
+
+
+def test_a_text_is_not_copied_for_each_of_its_words(spark):
+    """A lambda after the explode of words ends generated code, so that each word's row would hold the whole text."""
+    texts, phrases = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id int, text string"), spark.createDataFrame([("a b",)], "phrase string")
+    hits = dictionary.phrase_hits(texts, phrases)
+    assert "lambdafunction" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in hits.collect()] == [(1, "a b", 1)]
+
+
+def test_matches_are_found_once_for_those_related_to_them(spark):
+    from lantern.operators import lineage
+
+    found = spark.createDataFrame([(1, "a", "exact_phrase", 0.99, True)], "doc_id int, concept_id string, kind string, confidence double, locked boolean")
+    got = dictionary.with_related(found, spark.createDataFrame([("a", "b")], "concept_id string, related_id string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "a", "exact_phrase", 0.99, True), (1, "b", "related_concept", 0.75, False)}
+    assert any(x.endswith("/recognised") for x in lineage.written())
