@@ -18,9 +18,9 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("document_id"), F.col("source"), F.col("lang").alias("source_type"), F.col("text").alias("content_text"))).alias("value"))
 
 
-def _lines(df: DataFrame, path: str, parts: int = 4) -> str:
-    """Lines in the order of their documents, a range to each file."""
-    df.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+def _lines(df: DataFrame, path: str) -> str:
+    """Lines in the order of their documents, a range to each file, as many as the rows need."""
+    df.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
     return path
 
 

@@ -146,6 +146,23 @@ def test_dependencies_meet_the_broadest_unit_without_a_broadcast(spark):
     assert "Broadcast" not in many._jdf.queryExecution().sparkPlan().toString()
 
 
+def test_lines_are_dealt_to_as_many_files_as_there_are_partitions(spark):
+    from lantern.plans import scans
+
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("value"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        path = scans._lines(rows, lineage.reserved(spark, "lines"))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    back = spark.read.text(path).groupBy(F.input_file_name().alias("f")).agg(F.min(F.col("value").cast("int")).alias("least"), F.count("*").alias("n")).orderBy("f").collect()
+    assert len(back) == 9 and sum(x["n"] for x in back) == 2000
+    assert [x["least"] for x in back] == sorted(x["least"] for x in back)
+
+
 def test_covering_and_pinning_against_loops(spark):
     r = random.Random(7)
     rows = [(q, d, d + 1, r.choice(["interpretive", "judicial", "other"]), r.sample("abc", r.randint(0, 2)), r.sample(["x", "y", "z"], r.randint(0, 2))) for q in range(15) for d in range(r.randint(1, 12))]
