@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ K1, B = 1.2, 0.75
 LEAST = 3
 #: Query tokens that are broadcast to the documents; more are joined by shuffling.
 BROADCAST_ROWS = 500_000
+#: Query tokens that go to the tasks as values, so that texts are counted by them where they are read.
+TOKENS_IN_SCAN = 100_000
+#: Texts that are counted at once, and terms whose beginnings a worker keeps.
+TEXT_BLOCK, KEPT_TERMS = 500, 200_000
 #: Phrases that are held against every text; more are met by their first characters, so many at most.
 FEW_PHRASES, GRAM = 64, 4
 
@@ -32,6 +38,54 @@ def occurrences(documents: DataFrame, fields: Mapping[str, float], key: str = "d
     return rows.select(key, "length", F.explode(F.array_append("words", F.struct(F.lit("").alias("term"), F.lit(1.0).alias("w")))).alias("x")).select(key, "length", "x.term", "x.w")
 
 
+def counted(documents: DataFrame, fields: Mapping[str, float], key: str = "doc_id", least: int = 1, wanted: frozenset[str] | None = None) -> DataFrame:
+    """(key, length, term, w): ``occurrences`` added up within each row of the documents, without a hash table of a task's terms.
+
+    With ``wanted``, the terms are those of its tokens with which the text's terms begin, as in ``matches``; others go
+    no further than the block of texts that they stand in.
+    """
+    kind = documents.schema[key].dataType.simpleString()
+    weights = [float(w) for w in fields.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun: dict[str, list[str]] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXT_BLOCK):
+                part = batch.slice(lo, TEXT_BLOCK)
+                lists = [part.column(1 + i) for i in range(len(weights))]
+                doc = np.concatenate([np.repeat(np.arange(part.num_rows), x.value_lengths().to_numpy()) for x in lists])
+                length = np.bincount(doc, minlength=part.num_rows)
+                w = np.concatenate([np.full(len(x.flatten()), y) for x, y in zip(lists, weights)])
+                coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+                terms, code = coded.dictionary, coded.indices.to_numpy()
+                if wanted is not None:
+                    doc, terms, code, w = _begun(doc, terms.to_pylist(), code, w, begun)
+                # The row of each document itself has the empty term.
+                terms = pa.concat_arrays([terms, pa.array([""], pa.string())])
+                every = np.concatenate([doc * len(terms) + code, np.arange(1, part.num_rows + 1) * len(terms) - 1])
+                found, at = np.unique(every, return_inverse=True)
+                sums = np.bincount(at, np.concatenate([w, np.ones(part.num_rows)]))
+                own = found // len(terms)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(length[own], pa.int32()), terms.take(pa.array(found % len(terms))), pa.array(sums)], names=["key", "length", "term", "w"])
+
+    def _begun(doc: np.ndarray, terms: list[str], code: np.ndarray, w: np.ndarray, begun: dict[str, list[str]]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """The same occurrences by the wanted tokens with which their terms begin; each term brings its run of tokens."""
+        if len(begun) > KEPT_TERMS:
+            begun.clear()
+        for t in terms:
+            if t not in begun:
+                begun[t] = [t[:n] for n in range(LEAST, len(t) + 1) if t[:n] in wanted]
+        size = np.array([len(begun[t]) for t in terms], np.int64)
+        tokens_of = pa.array([x for t in terms for x in begun[t]], pa.string()).dictionary_encode()
+        first, n = np.cumsum(size) - size, size[code]
+        ends = np.cumsum(n)
+        place = np.repeat(first[code] - (ends - n), n) + np.arange(n.sum())
+        return np.repeat(doc, n), tokens_of.dictionary, tokens_of.indices.to_numpy()[place], np.repeat(w, n)
+
+    words = [tokens(F.coalesce(documents[c].cast("string"), F.lit("")), least).alias(f"_{i}") for i, c in enumerate(fields)]
+    return documents.select(documents[key].alias("key"), *words).mapInArrow(run, f"key {kind}, length int, term string, w double").withColumnRenamed("key", key)
+
+
 def terms_of(queries: DataFrame, key: str = "query_id", column: str = "text", most: int = 24) -> DataFrame:
     """(query, position, token): the tokens that a query looks for, each as a prefix."""
     return queries.select(key, F.posexplode(query_tokens(F.col(column), most)).alias("position", "token"))
@@ -82,8 +136,15 @@ def search(documents: DataFrame, queries: DataFrame, fields: Mapping[str, float]
     Texts are read once: what the wanted tokens meet is written, and frequencies, lengths and scores come from it.
     """
     wanted = stored(terms_of(queries, query, most=most).select(query, "token").distinct(), "wanted")
-    every = wanted.select("token").union(documents.sparkSession.createDataFrame([("",)], "token string")).distinct()
-    hits = stored(matches(occurrences(documents, fields, key), small(every, BROADCAST_ROWS), key), "hits")
+    asked = wanted.select("token").distinct()
+    few = [r[0] for r in asked.limit(TOKENS_IN_SCAN + 1).collect()]
+    if len(few) <= TOKENS_IN_SCAN:
+        found = counted(documents, fields, key, wanted=frozenset(few)).repartition(F.col(key))
+        hits = found.groupBy(F.col("term").alias("token"), key, "length").agg(F.sum("w").alias("weighted_tf"))
+    else:
+        every = asked.union(documents.sparkSession.createDataFrame([("",)], "token string"))
+        hits = matches(counted(documents, fields, key), small(stored(every, "every-token"), BROADCAST_ROWS), key)
+    hits = stored(hits, "hits")
     return ranked(bm25(hits, wanted, query, key), query, key, limit=limit)
 
 

@@ -118,7 +118,7 @@ def refresh(documents: DataFrame, root: str, fields: Mapping[str, float], key: s
     wanted = changed.filter("status <> 'gone'").select(F.col(key).alias("_key"), F.col("fingerprint").alias("_fingerprint"))
     marked = documents.withColumn("_own", _fingerprint(fields, index_version))
     fresh = marked.join(small(wanted, BROADCAST_ROWS), (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_fingerprint"))).dropDuplicates([key])
-    _write_postings(fulltext.occurrences(fresh, fields, key), f"{root}/postings/generation={version}", key)
+    _write_postings(fulltext.counted(fresh, fields, key), f"{root}/postings/generation={version}", key)
     own = _postings(spark, root, documents.schema[key]).filter((F.col("generation") == version) & (F.col("term") == "")).select(key, "length")
     made = own.join(changed.select(key, "fingerprint"), key).select(key, "fingerprint", "length", F.lit(version).cast("long").alias("generation"))
     if at is None:
@@ -132,9 +132,9 @@ def refresh(documents: DataFrame, root: str, fields: Mapping[str, float], key: s
     return changed
 
 
-def _write_postings(words: DataFrame, path: str, key: str) -> None:
+def _write_postings(terms: DataFrame, path: str, key: str) -> None:
     """Postings by buckets of stems, sorted by term; a bucket with a frequent stem is written by several tasks."""
-    terms = words.groupBy(key, "length", "term").agg(F.sum("w").alias("w")).withColumn("stem", F.left("term", F.lit(fulltext.LEAST)))
+    terms = terms.withColumn("stem", F.left("term", F.lit(fulltext.LEAST)))
     rows = terms.withColumn("bucket", _bucket("stem")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
     rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
 

@@ -86,3 +86,19 @@ def test_many_stems_are_joined(spark, root, monkeypatch):
     index.refresh(frame(spark, DOCS), root, FIELDS)
     index.refresh(frame(spark, DOCS[2:]), root, FIELDS)
     assert found(spark, root) == direct(spark, DOCS[2:])
+
+
+def test_terms_counted_within_rows_equal_counted_occurrences(spark):
+    docs = frame(spark, [*DOCS, (8, "act Act", "act"), (8, "act Act", "act"), (None, "tax", "act")])
+    totals = lambda df, name: sorted(map(tuple, df.groupBy("doc_id", "length", name).sum().select("doc_id", "length", name, f"sum({df.columns[-1]})").collect()), key=str)
+    assert totals(fulltext.counted(docs, FIELDS), "term") == totals(fulltext.occurrences(docs, FIELDS), "term")
+    wanted = spark.createDataFrame([("",), ("tax",), ("abc",), ("hou",), ("housing",)], "token string")
+    met = fulltext.counted(docs, FIELDS, wanted=frozenset(r[0] for r in wanted.collect()))
+    assert totals(met, "term") == totals(fulltext.matches(fulltext.occurrences(docs, FIELDS), wanted), "token")
+    assert "HashAggregate" not in fulltext.counted(docs, FIELDS)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_query_tokens_are_met_by_a_join(spark, monkeypatch):
+    few = direct(spark, DOCS)
+    monkeypatch.setattr(fulltext, "TOKENS_IN_SCAN", 1)
+    assert direct(spark, DOCS) == few
