@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lantern.operators import evaluation, fulltext
+from lantern.operators.lineage import stored
 from lantern.plans.registry import query, table
 from lantern.plans.retrieval import BM25_SQL, lexical
 
@@ -35,7 +36,7 @@ def hits_at_k(spark, sf_dir):
     select query_id, p::int as pool_rank, f::int as final_rank, p is not null and f is null as lost from r"""
 )
 def lost_in_rerank(spark, sf_dir):
-    pool = lexical(spark, sf_dir, 40)
+    pool = stored(lexical(spark, sf_dir, 40), "pool")
     return evaluation.lost_in_rerank(pool, pool.filter("rank <= 2"), _expected(spark, sf_dir))
 
 

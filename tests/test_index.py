@@ -102,3 +102,12 @@ def test_many_query_tokens_are_met_by_a_join(spark, monkeypatch):
     few = direct(spark, DOCS)
     monkeypatch.setattr(fulltext, "TOKENS_IN_SCAN", 1)
     assert direct(spark, DOCS) == few
+
+
+def test_the_pool_of_a_rerank_is_ranked_once(spark):
+    from lantern.operators import lineage
+    from lantern.plans import evaluation
+
+    before = len(lineage.written())
+    evaluation.lost_in_rerank(spark, "/root/testdata/sf0.001")
+    assert [x for x in lineage.written()[before:] if x.endswith("/pool")]
