@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions.text import SPACE, normalize_whitespace
+from lantern.operators.lineage import small, stored
 from lantern.operators.ranking import clamped
 
 # Points of a judgment that a query names.
@@ -181,8 +182,10 @@ def opening_quotes(rows: DataFrame, score: Column, asked_domains: Column, own_do
     return best.filter("_rn = 1").select(query, key, "score", "quote")
 
 
-#: Channels of a plan's families in the order in which they are made: type, column of the plan, how many, hardness.
+#: Channels of a plan's families in the order in which they are made: type, column of the plan, how many.
 PLAN_CHANNELS = (("legal_concepts", "legal_concepts", 2), ("model_soft_expansion", "synonyms", 2))
+#: Entries of a dictionary that plans name which are broadcast; more are joined by shuffling.
+FEW_ENTRIES = 50_000
 
 
 def plan_families(plans: DataFrame, dictionary: DataFrame, types: Mapping[str, str], limit: int = 8, plan: str = "plan") -> DataFrame:
@@ -192,34 +195,44 @@ def plan_families(plans: DataFrame, dictionary: DataFrame, types: Mapping[str, s
     locked entry of the dictionary its name, two provisions and a statutory term, then the names of detected entries whose
     kind ``types`` maps to a family, two concepts, two synonyms, and the names of two roles, if both sides have one. ``dictionary`` is (concept_id,
     name, kind, provisions, statutory). A query counts once a type, spaces and case aside, so one text may stand under two.
-    Ids are looked up by joins; a plan's families are few.
+    All ids of a plan meet the entries that plans name in one join, and an entry's families are made before it. A plan's
+    families are few: they are gathered once and ordered within its row, by functions that run inside generated code.
     """
-    place = lambda *n: F.array(*[F.lit(x).cast("long") if not isinstance(x, Column) else x.cast("long") for x in n])
-    family = lambda order, kind, text, hard: F.struct(order.alias("order"), F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), text.alias("query"), F.lit(hard).alias("hard"))
-    listed = lambda column, most=None: F.coalesce(F.col(column) if most is None else F.slice(F.col(column), 1, most), F.array().cast("array<string>"))
-
-    own = [F.array(family(place(0, 0, 0), "exact_user_phrase", F.col("question"), False))]
-    channel = lambda n, kind: lambda v, i: family(place(3 + n, i, 0), kind, v, False)
-    own += [F.transform(listed(column, most), channel(n, kind)) for n, (kind, column, most) in enumerate(PLAN_CHANNELS)]
-    rows = plans.select(plan, F.explode(F.concat(*own)).alias("f"))
-
-    def entries(ids: Column) -> DataFrame:
-        return plans.select(plan, F.posexplode(ids).alias("_at", "concept_id")).join(dictionary, "concept_id")
-
-    made = F.concat(
-        F.array(family(place(1, F.col("_at"), 0), "locked_institution", F.col("name"), True)),
-        F.transform(listed("provisions", 2), lambda v, i: family(place(1, F.col("_at"), i + 1), "verified_provision", v, True)),
-        F.transform(listed("statutory", 1), lambda v, i: family(place(1, F.col("_at"), i + 3), "statutory_language", v, False)),
-    )
-    rows = rows.unionByName(entries(listed("locked")).select(plan, F.explode(made).alias("f")))
+    empty = F.array().cast("array<string>")
+    listed = lambda column: F.coalesce(F.col(column), empty)
+
+    def family(kind, text: Column, hard: bool) -> Column:
+        """(type, query, hard, key): equal keys are one family, an empty one is none."""
+        kind, clean = kind if isinstance(kind, Column) else F.lit(kind), normalize_whitespace(text)
+        key = F.when((clean != "") & kind.isNotNull(), F.concat_ws("\n", kind, F.lower(clean))).otherwise("")
+        return F.struct(kind.alias("type"), clean.alias("query"), F.lit(hard).alias("hard"), key.alias("key"))
+
+    channel = lambda kind, column, most, hard: [family(kind, F.get(listed(column), F.lit(i)), hard) for i in range(most)]
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in types.items() for x in pair]), F.col("kind"))
-    rows = rows.unionByName(entries(listed("detected")).filter(kind.isNotNull()).select(plan, family(place(2, F.col("_at"), 0), kind, F.col("name"), False).alias("f")))
-    two_sided = F.when((F.size(listed("roles")) > 0) & (F.size(listed("counter_roles")) > 0), F.concat(listed("roles"), listed("counter_roles"))).otherwise(F.array().cast("array<string>"))
-    both = entries(two_sided).groupBy(plan).agg(F.array_sort(F.collect_list(F.struct("_at", "name"))).alias("_names"))
-    joined = F.array_join(F.transform(F.slice("_names", 1, 2), lambda x: x["name"]), " ")
-    rows = rows.unionByName(both.select(plan, family(place(9, 0, 0), "role_and_direction", joined, False).alias("f")))
-
-    clean = rows.select(plan, "f.*").withColumn("query", normalize_whitespace(F.col("query"))).filter("query <> ''")
-    once = clean.withColumn("_rn", F.row_number().over(Window.partitionBy(plan, "type", F.lower("query")).orderBy("order"))).filter("_rn = 1")
-    placed = once.withColumn("position", F.row_number().over(Window.partitionBy(plan).orderBy("order"))).filter(F.col("position") <= limit)
+    locked = F.array(family("locked_institution", F.col("name"), True), *channel("verified_provision", "provisions", 2, True), *channel("statutory_language", "statutory", 1, False))
+    detected = F.array(family(kind, F.col("name"), False))
+    two_sided = F.when((F.size(listed("roles")) > 0) & (F.size(listed("counter_roles")) > 0), F.concat(listed("roles"), listed("counter_roles"))).otherwise(empty)
+    named = plans.select(F.explode(F.concat(listed("locked"), listed("detected"), two_sided)).alias("concept_id")).distinct()
+    entries = dictionary.join(named, "concept_id", "left_semi").select("concept_id", F.col("name").alias("_name"), locked.alias("_locked"), detected.alias("_detected"))
+
+    # A plan's own texts stand at two places that ask for no entry: first the question, then what follows the detected ones.
+    opening = F.array(family("exact_user_phrase", F.col("question"), False))
+    closing = F.array(*[x for name, column, most in PLAN_CHANNELS for x in channel(name, column, most, False)])
+    asked = F.concat(F.array(F.lit(None), F.lit(None)).cast("array<string>"), listed("locked"), listed("detected"), two_sided)
+    # Before the ids are dealt out, so that a plan's texts are normalised once.
+    own = plans.select(plan, opening.alias("_opening"), closing.alias("_closing"), asked.alias("_asked"), (F.size(listed("locked")) + 2).alias("_end1"), (F.size(listed("locked")) + F.size(listed("detected")) + 2).alias("_end2"))
+    rows = own.select(plan, "_opening", "_closing", "_end1", "_end2", F.posexplode("_asked").alias("_at", "concept_id"))
+    met = rows.join(small(stored(entries, "plan-entries"), FEW_ENTRIES), "concept_id", "left")
+    at, last = F.col("_at"), F.lit(2**31 - 1)
+    families = F.when(at == 0, F.col("_opening")).when(at == 1, F.col("_closing")).when(at < F.col("_end1"), F.col("_locked")).when(at < F.col("_end2"), F.col("_detected"))
+    found = F.when(families.isNotNull(), F.struct(F.when(at == 1, last).otherwise(at).alias("at"), families.alias("families")))
+    role = F.when((at >= F.col("_end2")) & F.col("_locked").isNotNull(), F.struct("_at", "_name"))
+    sets = met.filter("_at < 2 or _locked is not null").select(plan, found.alias("f"), role.alias("r"))
+    sets = sets.groupBy(plan).agg(F.sort_array(F.collect_list("f")).alias("_sets"), F.slice(F.sort_array(F.collect_list("r")), 1, 2).alias("_names"))
+
+    both = family("role_and_direction", F.array_join(F.col("_names._name"), " "), False)
+    ordered = sets.select(plan, F.concat(F.flatten(F.col("_sets.families")), F.array(both)).alias("_all"))
+    keys = F.slice(F.array_remove(F.array_distinct(F.col("_all.key")), ""), 1, limit)
+    placed = ordered.select(plan, "_all", F.posexplode(keys).alias("_p", "_key"))
+    placed = placed.select(plan, (F.col("_p") + 1).alias("position"), F.element_at("_all", F.array_position("_all.key", F.col("_key")).cast("int")).alias("f")).select(plan, "position", "f.*")
     return placed.select(plan, "position", F.concat_ws("_", "type", F.col("position").cast("string")).alias("family_id"), "type", "query", "hard", F.when(F.col("hard"), 1.4).otherwise(1.0).alias("weight"))

@@ -98,6 +98,49 @@ def test_plan_keeps_its_order_and_counts_a_text_once_a_type(spark):
     assert found[0][2] == "exact_user_phrase_1" and [x[6] for x in found[:2]] == [1.0, 1.4]
 
 
+def families_by_hand(plan, entries, types, limit):
+    _, question, locked, detected, concepts, synonyms, roles, counter = plan
+    made = [("exact_user_phrase", question, False)]
+    for e in (entries[i] for i in locked or [] if i in entries):
+        made += [("locked_institution", e[1], True)] + [("verified_provision", x, True) for x in (e[3] or [])[:2]] + [("statutory_language", x, False) for x in (e[4] or [])[:1]]
+    made += [(types[entries[i][2]], entries[i][1], False) for i in detected or [] if i in entries and entries[i][2] in types]
+    made += [("legal_concepts", x, False) for x in (concepts or [])[:2]] + [("model_soft_expansion", x, False) for x in (synonyms or [])[:2]]
+    names = [entries[i][1] for i in (roles or []) + (counter or []) if i in entries][:2] if roles and counter else []
+    made.append(("role_and_direction", " ".join(x for x in names if x is not None), False))
+    found, seen = [], set()
+    for kind, text, hard in made:
+        clean = " ".join((text or "").split())
+        if clean and (kind, clean.lower()) not in seen:
+            seen.add((kind, clean.lower()))
+            found.append((kind, clean, hard))
+    return [(i + 1, *x) for i, x in enumerate(found[:limit])]
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_plans_gathered_once(spark, monkeypatch, few):
+    monkeypatch.setattr(authority, "FEW_ENTRIES", few, raising=False)
+    r = random.Random(14)
+    text = lambda: r.choice(["A  b", " a B", "c", "", " ", "d\te", None, "C"])
+    texts = lambda most: None if r.random() < 0.1 else [text() for _ in range(r.randint(0, most))]
+    entries = {str(i): (str(i), text(), r.choice(["k", "l", "m", None]), texts(3), texts(2)) for i in range(9)}
+    named = lambda: None if r.random() < 0.1 else [r.choice([*entries, "no", None]) for _ in range(r.randint(0, 4))]
+    plans = [(k, text(), named(), named(), texts(3), texts(3), named(), named()) for k in range(200)]
+    types = {"k": "material_facts", "l": "legal_concepts"}
+    left = spark.createDataFrame(plans, "plan int, question string, locked array<string>, detected array<string>, legal_concepts array<string>, synonyms array<string>, roles array<string>, counter_roles array<string>")
+    right = spark.createDataFrame(list(entries.values()), "concept_id string, name string, kind string, provisions array<string>, statutory array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df, found = authority.plan_families(left, right, types, 5), {}
+        for x in df.orderBy("plan", "position").collect():
+            found.setdefault(x["plan"], []).append((x["position"], x["type"], x["query"], x["hard"]))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {p[0]: rows for p in plans if (rows := families_by_hand(p, entries, types, 5))}
+    # One join with the dictionary, and a plan's families meet once.
+    assert plan.count("Join") == 1 and "Window" not in plan and plan.count("Exchange hashpartitioning") == (1 if few else 3)
+
+
 @pytest.mark.parametrize("metric", ["dot", "cosine"])
 def test_vectors_by_blocks_equal_one_block(spark, monkeypatch, metric):
     r = random.Random(5)
