@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lantern.operators import cards, density, rule_units
+from lantern.operators import cards, density, lineage, rule_units
 from lantern.operators.funnel import funnel
 
 TEXTS = {
@@ -82,6 +82,27 @@ def test_covers_by_force(spark, broadcast, monkeypatch):
     assert best == pytest.approx(scores, abs=1e-6)
 
 
+def test_positions_are_kept_once_for_all_queries(spark):
+    r = random.Random(8)
+    some = lambda n: " ".join(r.choice(["aa", "bb", "cc"]) for _ in range(n))
+    docs = [(k, some(r.randint(0, 3)), some(r.randint(0, 12))) for k in range(30)] + [(98, None, "aa " * 200), (99, "cc", None)]
+    queries = [(q, "aa bb") for q in range(20)] + [(50, "cc"), (51, "zz aa")]
+    known = set(lineage.written())
+    found = density.covers(spark.createDataFrame(docs, "doc_id int, title string, text string"), spark.createDataFrame(queries, "query_id int, text string"), {"title": "A", "text": "C"})
+    truth = {}
+    for d, title, text in docs:
+        words, lead = (title or "").split() + (text or "").split(), len((title or "").split())
+        for q, asked in queries:
+            for a, b in covers_by_force(words, set(asked.split())):
+                at = [i for i in range(a - 1, b) if words[i] in asked.split()]
+                truth[q, d, a, b] = (len(at), sum(1.0 if i < lead else 5.0 for i in at))
+    got = {(x["query_id"], x["doc_id"], x["start"], x["end"]): (x["matched"], x["weights"]) for x in found.collect()}
+    assert got == truth and len(got) == found.count()
+    # A row for each document, term and class of field, however often a term stands there and whatever asks for it.
+    kept = [p for p in lineage.written() if p not in known and not p.endswith("cover-terms")]
+    assert sum(spark.read.parquet(p).count() for p in kept) == len({(d, c, w) for d, *texts in docs for c, t in enumerate(texts) for w in (t or "").split()})
+
+
 def test_funnel_counts_in_one_pass(spark):
     rows = spark.range(100).withColumn("x", F.col("id") % 7)
     kept, counts = funnel(rows, {"even": lambda d: d.filter("id % 2 = 0"), "large": lambda d: d.filter("id >= 50"), "none": lambda d: d.filter("id < 0")}, {"top": F.max("x")})
